@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import suffix_dedup
+from . import bpe, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,5 +20,22 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
+def _byte_bpe() -> str:
+    """The vocabulary file, read on the driver (its size is fixed)."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = _byte_bpe()
+    both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), file), file)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _byte_bpe(), limit=1024)
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_bpe": op2_bpe, "op4_token_counts": op4_token_counts}
 ORACLE_SQL: dict[str, str] = {}
