@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, suffix_dedup, token_counts
+from . import bpe, mixing, simhash, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +33,23 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _byte_bpe(), limit=1024)
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_bpe": op2_bpe, "op4_token_counts": op4_token_counts}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_bpe": op2_bpe,
+    "op3_mixing": op3_mixing,
+    "op4_token_counts": op4_token_counts,
+    "op9_simhash": op9_simhash,
+}
 ORACLE_SQL: dict[str, str] = {}
