@@ -3,7 +3,7 @@
 A source whose target is r times its words gives floor(r) whole copies of every document; the rest of its target is
 sampled. With inclusion probability p (the fractional part of r) and a uniform U from a hash, documents are ranked
 by the odds ratio (U/(1-U)) / (p/(1-p)) and taken in that order as long as they fit into the rest; what is then
-missing is filled by the one other document of the source that fits it best, if one brings it nearer.
+missing is filled with documents after the cut, up to FILLERS of each size class (powers of two), largest first.
 p is the same for all documents of a source, so that order is the order of U within the source. The cut is found on
 sums per source and bucket of U, 12 bits at a time, so no task holds a whole source; documents are then compared
 with the cut of their source.
@@ -24,6 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Source tables of up to this many rows are broadcast.
 MAX_SOURCES = 100_000
 BITS, LEVELS = 12, 2
+FILLERS = 32
 
 
 def hash_bits(seed: int) -> Column:
@@ -55,7 +56,7 @@ def _with(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mixing_plan(docs: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, size, u) of the documents, and of each source source_size, target, whole copies, cut
-    of u and the u of an extra document."""
+    of u and the u of extra documents."""
     sized = docs.select(F.col("doc_id").cast("long"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hash_bits(seed).alias("u"))
     sized = materialize(sized, "sized")
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -84,16 +85,19 @@ def mixing_plan(docs: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     below = F.shiftleft("prefix", low) - 1
     gap = F.col("rest") - F.coalesce("last.upto", F.lit(0))
     plan = materialize(plan.select("source", "source_size", "target", "whole", gap.alias("gap"), F.coalesce("last.u", below).alias("cut")), "plan")
-    over = _with(sized, plan.select("source", "cut", "gap")).where("u > cut").groupBy("source", "u", "gap").agg(F.sum("size").alias("words"))
-    off = F.abs(F.col("words") - F.col("gap"))
-    best = over.where(off < F.col("gap")).groupBy(F.col("source").alias("s")).agg(F.min(F.struct(off.alias("off"), "u"))["u"].alias("extra"))
+    over = _with(sized, plan.select("source", "cut", "gap")).where("u > cut and size > 0 and size <= gap")
+    classes = over.groupBy("source", "gap", F.floor(F.log2("size")).alias("class"), F.pmod("u", F.lit(FILLERS)).alias("part")).agg(F.min(F.struct("size", "u")).alias("doc"))
+    classes = classes.groupBy(F.col("source").alias("s"), "gap").agg(F.sort_array(F.collect_list("doc"), asc=False).alias("docs"))
+    fits = lambda acc, d: F.when(d["size"] <= acc["gap"], F.struct((acc["gap"] - d["size"]).alias("gap"), F.concat(acc["us"], F.array(d["u"])).alias("us"))).otherwise(acc)
+    fill = F.aggregate("docs", F.struct(F.col("gap"), F.array().cast("array<bigint>").alias("us")), fits, lambda acc: acc["us"])
+    best = classes.select("s", fill.alias("extra"))
     plan = plan.join(best, plan["source"].eqNullSafe(best["s"]), "left").drop("s", "gap")
     return sized, materialize(plan, "plan")
 
 
 def copies(u: str = "u", plan: str = "") -> Column:
     """How many copies of a row are taken, once it has the columns of its source's plan."""
-    sampled = (F.col(u) <= F.col(plan + "cut")) | F.col(u).eqNullSafe(F.col(plan + "extra"))
+    sampled = (F.col(u) <= F.col(plan + "cut")) | F.coalesce(F.array_contains(F.col(plan + "extra"), F.col(u)), F.lit(False))
     return F.col(plan + "whole") + sampled.cast("long")
 
 
