@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, mixing, quality, simhash, suffix_dedup, token_counts
+from . import bpe, license_scan, mixing, quality, secret_scan, simhash, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _byte_bpe(), limit=1024)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["kind"].isin(*secret_scan.KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secret_scan.KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
     out = license_scan.scan(_table(spark, sf_dir, "documents"))
@@ -60,6 +69,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
+    "op5_secret_scan": op5_secret_scan,
     "op7_license_scan": op7_license_scan,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
