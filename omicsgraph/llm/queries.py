@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, mixing, quality, secret_scan, simhash, suffix_dedup, token_counts
+from . import bpe, langid, license_scan, mixing, quality, secret_scan, simhash, suffix_dedup, token_counts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +28,7 @@ def _byte_bpe() -> str:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    file = _byte_bpe()
-    both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), file), file)
+    both = bpe.encode(_table(spark, sf_dir, "documents"), _byte_bpe(), decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
@@ -50,12 +49,23 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secret_scan.KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+    return out.select("query_id", "rank", "vec_id", "score")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
     out = license_scan.scan(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base")).alias("base_labels"), joined(F.concat("base", "found")).alias("labels"), "score")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", F.coalesce(langid.fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -70,7 +80,9 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op5_secret_scan": op5_secret_scan,
+    "op6_topk": op6_topk,
     "op7_license_scan": op7_license_scan,
+    "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
