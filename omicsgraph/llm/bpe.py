@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from itertools import chain
 
 import numpy as np
@@ -25,9 +25,9 @@ from .common import by_bytes
 
 #: The word pattern of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words kept with their encodings at most, and the bytes of the longest of them; others are encoded anew.
-KEEP_WORDS, KEEP_BYTES = 400_000, 64
-SLICE = 8 << 20
+#: A generation of words that a worker keeps with their values, the bytes of the longest of them, and pairs kept.
+KEEP_WORDS, KEEP_BYTES, KEEP_PAIRS = 250_000, 64, 500_000
+SLICE = 2 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -51,12 +51,19 @@ class Vocabulary:
         self.bytes_of = {i: t for t, i in self.id_of.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(self.id_of[raw(a)], self.id_of[raw(b)]): (k, self.id_of[raw(a + b)]) for k, (a, b) in enumerate(pairs)}
+        self.after: dict[int, dict[int, int]] = {}  # ranks by left, then right token
+        self.made: dict[int, tuple[int, int, int]] = {}  # left, right and rank of the merge that makes a token
+        for (a, b), (k, t) in self.rank.items():
+            self.after.setdefault(a, {})[b] = k
+            self.made.setdefault(t, (a, b, k))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         #: every end of a token: how far back the search for last tokens has to go
         self.ends = {t[k:] for t in self.id_of for k in range(len(t))}
         self._apart: dict[tuple[int, int], bool] = {}
         self._alone: dict[int, bool] = {}
+        self._right: dict[int, list] = {}
+        self._left: dict[int, list] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Plain BPE by merging the pair of least rank again and again; for short strings."""
@@ -76,11 +83,35 @@ class Vocabulary:
             ids = out
         return ids
 
+    def edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The parts that stand at one end (0 left, 1 right) while the token is merged, with the ranks that end them."""
+        out, ends = [], float("inf")
+        while True:
+            out.append((token, ends))
+            if token not in self.made:
+                return out
+            ends = self.made[token][2]
+            token = self.made[token][side]
+
     def apart(self, a: int, b: int) -> bool:
-        """Whether BPE leaves the tokens a, b as they are when they stand together."""
+        """Whether BPE leaves the tokens a, b as they are when they stand together.
+
+        It doesn't if a part at a's end and one at b's start merge before either is used up inside its token; of
+        equal merges the left one comes first.
+        """
         found = self._apart.get((a, b))
         if found is None:
-            found = self._apart[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            if len(self._apart) >= KEEP_PAIRS:
+                self._apart.clear()
+            right = self._right.get(a) or self._right.setdefault(a, self.edge(a, 1))
+            left = self._left.get(b) or self._left.setdefault(b, self.edge(b, 0))
+            found = self.alone(b)
+            for x, ends in right if found else ():
+                ranks = self.after.get(x)
+                if ranks and any((k := ranks.get(y)) is not None and k < ends and k <= until for y, until in left):
+                    found = False
+                    break
+            self._apart[a, b] = found
         return found
 
     def alone(self, a: int) -> bool:
@@ -159,63 +190,108 @@ class Splitter:
         return [w for part in self.special.split(text) for w in ([part] if part in self.added else self.plain(part))]
 
 
+class Words:
+    """Values of words, computed for all new ones of a batch together; common ones are kept, in two generations."""
+
+    def __init__(self, compute: Callable[[set[str]], dict[str, tuple]]):
+        self.compute = compute
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+        self.long: set[str] = set()
+
+    def __call__(self, split: list[list[str]]) -> dict[str, tuple]:
+        """A dictionary with all words of the batch."""
+        for w in self.long:
+            self.young.pop(w, None)
+        if len(self.young) > KEEP_WORDS:
+            self.young, self.old = {}, self.young
+        need = set().union(*split) - self.young.keys()
+        known = need & self.old.keys()
+        self.young.update((w, self.old[w]) for w in known)
+        new = need - known
+        self.young.update(self.compute(new))
+        self.long = {w for w in new if len(w) > KEEP_BYTES}
+        return self.young
+
+
 class Encoder:
-    """Encodes texts batch by batch; keeps the encodings of words it has seen, within a bound."""
+    """Encodes texts batch by batch."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.split = Splitter(vocabulary.added)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.words = Words(self._encode)
 
-    def __call__(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
-        """For each text the tokens of each of its words."""
-        split = [self.split(t) for t in texts]
+    def _encode(self, words: set[str]) -> dict[str, tuple[int, ...]]:
         added = self.vocabulary.added
-        new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > KEEP_WORDS:
-            self.known, new = {}, {w for words in split for w in words}
-        encoded = self.vocabulary.encode_words(w.encode() for w in new if w not in added)
-        known = self.known
-        extra = {w: (added[w],) if w in added else encoded[w.encode()] for w in new}
-        known.update(extra)
-        out = [[known[w] for w in words] for words in split]
-        for w in extra:
-            if len(w) > KEEP_BYTES:
-                del known[w]
-        return out
+        found = self.vocabulary.encode_words(w.encode() for w in words if w not in added)
+        return {w: (added[w],) if w in added else found[w.encode()] for w in words}
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        split = [self.split(t) for t in texts]
+        ids = self.words(split)
+        return [list(chain.from_iterable(map(ids.__getitem__, words))) for words in split]
+
+
+class Decoder:
+    """Decodes ids; unknown ones are skipped, wrong UTF-8 is replaced."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.bytes_of = [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of) + 1)]
+
+    def __call__(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept_by_worker(make: Callable[[Vocabulary], object], vocabulary: str):
+    """make(Vocabulary(vocabulary)), made once by each Python worker."""
+    key = (make, hash(vocabulary))
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make(Vocabulary(vocabulary))
+    return _KEPT[key]
+
+
+def _both(vocabulary: Vocabulary) -> tuple[Encoder, Decoder]:
+    return Encoder(vocabulary), Decoder(vocabulary)
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text; vocabulary: the text of a byte-level BPE file.
 
-    Null or empty texts have no ids; repeated rows stay; columns other than doc_id and text are ignored.
+    decoded: also `text`, decoded from the ids. Null or empty texts have no ids; repeated rows stay; columns other
+    than doc_id and text are ignored; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))] + [("text", pa.string())] * decoded
 
     def run(batches):
-        encoder = Encoder(Vocabulary(shared.value))
+        encoder, decoder = kept_by_worker(_both, shared.value)
         for whole in batches:
             for batch in by_bytes(whole, "text", SLICE):
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                per_text = [list(chain.from_iterable(words)) for words in encoder(texts)]
-                off = np.cumsum([0, *map(len, per_text)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(per_text), np.int32, int(off[-1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(off, flat)], schema=schema)
+                ids = encoder([t or "" for t in batch.column(1).to_pylist()])
+                off = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(off[-1]))
+                columns = [batch.column(0), pa.ListArray.from_arrays(off, flat)]
+                if decoded:
+                    columns.append(pa.array(map(decoder, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """encoded (doc_id, ids) with `text`: the bytes of the ids joined, wrong UTF-8 replaced; null ids count as none."""
+    """encoded (doc_id, ids) with `text`: the bytes of the ids joined; null ids count as none."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
 
     def run(batches):
-        bytes_of = Vocabulary(shared.value).bytes_of
-        table = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
+        _, decoder = kept_by_worker(_both, shared.value)
         for batch in batches:
-            texts = [b"".join(map(table.__getitem__, ids or ())).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            texts = [decoder(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")

@@ -7,50 +7,44 @@ text's prefixes are running sums over its words. Totals, budgets and truncation
 from __future__ import annotations
 
 from itertools import accumulate
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import KEEP_BYTES, KEEP_WORDS, SLICE, Splitter, Vocabulary
+from .bpe import SLICE, Splitter, Vocabulary, Words, kept_by_worker
 from .common import by_bytes, text_bytes
 
 
 class Counter:
-    """Prefix tables of words, kept within a bound."""
+    """Prefix tables of the words of texts."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.split = Splitter(vocabulary.added)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.words = Words(self._tables)
 
-    def tables(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...]]]]:
-        """For each text its words with their token counts by prefix length in bytes."""
-        split = [self.split(t) for t in texts]
+    def _tables(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """Of each word its token counts by prefix length in bytes."""
         added = self.vocabulary.added
-        new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > KEEP_WORDS:
-            self.known, new = {}, {w for words in split for w in words}
-        found = {word: tuple(count) for word, _, count in self.vocabulary.walk(w.encode() for w in new if w not in added)}
-        for w in new:
-            self.known[w] = (0, 1) if w in added else found[w.encode()]
-        known = self.known
-        out = [[(w, known[w]) for w in words] for words in split]
-        for w in new:
-            if len(w) > KEEP_BYTES:
-                del known[w]
-        return out
+        found = {word: tuple(count) for word, _, count in self.vocabulary.walk(w.encode() for w in words if w not in added)}
+        return {w: (0, 1) if w in added else found[w.encode()] for w in words}
 
     def totals(self, texts: list[str]) -> list[int]:
-        return [sum(t[-1] for _, t in words) for words in self.tables(texts)]
+        split = [self.split(t) for t in texts]
+        tables = self.words(split)
+        whole = itemgetter(-1)
+        return [sum(map(whole, map(tables.__getitem__, words))) for words in split]
 
     def cut(self, text: str, budget: int) -> tuple[str, int]:
         """The longest prefix within the budget, and its count.
 
         It ends after a word or, in a word of letters or digits, after a character.
         """
-        words = self.tables([text])[0]
+        split = self.split(text)
+        words = list(zip(split, map(self.words([split]).__getitem__, split)))
         sums = list(accumulate((t[-1] for _, t in words), initial=0))
         full = int(np.searchsorted(sums, budget, side="right")) - 1
         out, used = "".join(w for w, _ in words[:full]), sums[full]
@@ -60,6 +54,9 @@ class Counter:
             fit = max(k for k, e in enumerate(ends) if used + table[e] <= budget)
             if word[:fit].strip(" "):
                 out, used = out + word[:fit], used + table[ends[fit]]
+        while self.totals([out])[0] != used:  # what follows a cut can change how the words before it are split
+            full -= 1
+            out, used = "".join(w for w, _ in words[:full]), sums[full]
         return out, used
 
 
@@ -72,7 +69,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        counter = Counter(Vocabulary(shared.value))
+        counter = kept_by_worker(Counter, shared.value)
         for whole in batches:
             for batch in by_bytes(whole, "text", SLICE):
                 _, off = text_bytes(batch.column(1))
@@ -91,7 +88,7 @@ def truncate(docs: DataFrame, vocabulary: str, budget: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        counter = Counter(Vocabulary(shared.value))
+        counter = kept_by_worker(Counter, shared.value)
         for whole in batches:
             for batch in by_bytes(whole, "text", SLICE):
                 cut = [counter.cut(t or "", budget) for t in batch.column(1).to_pylist()]
