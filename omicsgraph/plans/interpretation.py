@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chains, enrichment, graph, ranking, scoring
+from ..sources.shared import materialize
 
 
 def score_interactions(features: DataFrame, edges: DataFrame, head: scoring.Head, top_genes: int = 2000, top_edges: int = 10_000, mode: str = "mean", attention=None) -> tuple[DataFrame, DataFrame]:
     """(importance, top edges): gene scores averaged over samples, and the best edges of each type that touch the top genes."""
     z = features.withColumnRenamed("x", "z")
     genes = z.where("node_type = 'gene'").select("sample_id", F.col("node_id").alias("gene_id"), "z")
-    importance = scoring.gene_importance(scoring.gradient_x_input(genes, head, mode, attention))
+    importance = materialize(scoring.gene_importance(scoring.gradient_x_input(genes, head, mode, attention)), "importance")
     masked = scoring.mask_edges_by_top_genes(edges, ranking.top_ids(importance, top_genes))
     keys = masked.select("edge_ix", "src_type", "rel", "dst_type", "src_id", "dst_id")
-    return importance, ranking.top_edges(scoring.interaction_scores(keys, z), top_edges)
+    return importance, materialize(ranking.top_edges(scoring.interaction_scores(keys, z), top_edges), "top_edges")
 
 
 def interpret(nodes: DataFrame, edges: DataFrame, importance: DataFrame, tf_region: DataFrame, top_ppi: DataFrame, gene2go: DataFrame, names: DataFrame | None = None, top_regions: int = 2000, top_importance: int = 2000, min_bg: int = 5, min_overlap: int = 3) -> dict[str, DataFrame]:
@@ -24,8 +25,8 @@ def interpret(nodes: DataFrame, edges: DataFrame, importance: DataFrame, tf_regi
     The least overlap of the set added by chip is between 2 and 5; that of the interaction partners 2 at least.
     """
     regions = nodes.where("node_type = 'region'").select(F.col("node_id").alias("region_id"))
-    found = chains.tf_region_gene_chains(tf_region, edges, regions, top_regions)
-    hits = chains.target_gene_hits(found)
+    found = materialize(chains.tf_region_gene_chains(tf_region, edges, regions, top_regions), "chains")
+    hits = materialize(chains.target_gene_hits(found), "hits")
     promoter = hits.where("hit_promoter > 0").select("gene_id", F.col("hit_promoter").cast("double").alias("weight"))
     every = hits.select("gene_id", F.col("hit_all").cast("double").alias("weight"))
     ops = chains.gene_set_ops(promoter, every)

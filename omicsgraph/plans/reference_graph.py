@@ -13,6 +13,7 @@ from ..operators import graph
 from ..operators.embed import embed_sequences
 from ..operators.variants import build_loci
 from ..sources import text
+from ..sources.shared import materialize
 
 #: Sequence lengths by region type.
 LENGTHS = {"promoter_1000": 1000, "promoter_500": 500, "chip_peak": 600, "motif_site": 600, "re": 600}
@@ -40,11 +41,11 @@ def reference_loci(lines: dict[str, DataFrame], genome: DataFrame, sizes: Sizes
     """
     sizes = sizes or Sizes()
     edges = {k: text.parse_weighted_edges(v) for k, v in lines.items() if k in graph.EDGE_REGION_TYPE}
-    regions = graph.collect_regions({k: v.select(F.col("dst" if k == "motif" else "src").alias("region_id")) for k, v in edges.items()})
+    regions = materialize(graph.collect_regions({k: v.select(F.col("dst" if k == "motif" else "src").alias("region_id")) for k, v in edges.items()}), "regions")
     windows, pairs = G.build_windows(regions, sizes.window, sizes.stride)
     names = genome.select(F.col("chrom").alias("name"), F.col("chrom").alias("seq_no"))
     genes = G.map_chrom_names(text.parse_gff_genes(lines["gff"]), "chrom", names)
-    return build_loci(genes, regions, windows, flank=gene_flank), pairs
+    return materialize(build_loci(genes, regions, windows, flank=gene_flank), "loci"), pairs
 
 
 def embed_loci(loci: DataFrame, tiles: DataFrame, embedder, dim: int, sizes: Sizes | None = None) -> DataFrame:
@@ -54,7 +55,7 @@ def embed_loci(loci: DataFrame, tiles: DataFrame, embedder, dim: int, sizes: Siz
     length = F.when(F.col("kind") == "window", sizes.window).otherwise(fixed_len_for_type(F.col("rtype"), sizes.lengths))
     fixed = embed_sequences(seqs.where("kind <> 'gene'").withColumn("fixed_len", length), embedder, dim, ["kind", "locus_id"], "fixed")
     genes = embed_sequences(seqs.where("kind = 'gene'"), embedder, dim, ["kind", "locus_id"], "adaptive", sizes.gene_short, sizes.gene_window, sizes.gene_stride)
-    return fixed.unionByName(genes).select(F.col("kind").alias("node_type"), F.col("locus_id").alias("node_id"), "x")
+    return materialize(fixed.unionByName(genes).select(F.col("kind").alias("node_type"), F.col("locus_id").alias("node_id"), "x"), "vectors")
 
 
 def build_graph(lines: dict[str, DataFrame], vectors: DataFrame, region_window: DataFrame, min_ppi: float = 0.0, ppi_mode: str = "none", reverse: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +65,7 @@ def build_graph(lines: dict[str, DataFrame], vectors: DataFrame, region_window:
     genes = vectors.where("node_type = 'gene'")
     if "ppi" in lines:
         known = genes.select(F.col("node_id").alias("gene_id"))
-        ppi = graph.filter_ppi(text.parse_ppi(lines["ppi"]), known, min_ppi, ppi_mode).withColumn("edge_ix", F.struct(F.lit("ppi").alias("file"), F.lit(0).cast("bigint").alias("block"), F.monotonically_increasing_id().alias("row")))
+        ppi = materialize(graph.filter_ppi(text.parse_ppi(lines["ppi"]), known, min_ppi, ppi_mode).withColumn("edge_ix", F.struct(F.lit("ppi").alias("file"), F.lit(0).cast("bigint").alias("block"), F.monotonically_increasing_id().alias("row"))), "ppi")
         edges.append(_edge(graph.directed_ppi(ppi), "gene", "ppi", "gene", "gene1", "gene2", F.col("score")))
     nodes = vectors
     if "motif" in lines:
@@ -79,5 +80,6 @@ def build_graph(lines: dict[str, DataFrame], vectors: DataFrame, region_window:
     every = edges[0]
     for more in edges[1:]:
         every = every.unionByName(more)
-    valid = graph.valid_edges(every, nodes)
+    nodes = materialize(nodes, "nodes")
+    valid = materialize(graph.valid_edges(materialize(every, "edges"), nodes), "edges")
     return nodes, graph.reverse_edges(valid) if reverse else valid

@@ -10,6 +10,7 @@ from ..operators import genome as G
 from ..operators import graph, variants
 from ..operators.embed import embed_sequences
 from ..sources import text
+from ..sources.shared import materialize
 from .reference_graph import Sizes
 
 
@@ -18,11 +19,11 @@ def sample_snp_table(vcf_lines: DataFrame, genome: DataFrame, tiles: DataFrame,
     sizes = sizes or Sizes()
     site, calls = text.parse_vcf(vcf_lines, samples)
     names = genome.select(F.col("chrom").alias("name"), F.col("chrom").alias("seq_no"))
-    site = G.map_chrom_names(site, "chrom", names, "key")
+    site = materialize(G.map_chrom_names(site, "chrom", names, "key"), "sites")
     site = variants.snps_in_intervals(site, variants.merge_intervals(loci, gap))
     if strict_ref:
         site = variants.check_ref_allele(site, tiles, sizes.tile).where("ref_ok").drop("ref_ok")
-    return variants.sample_snps(site, calls)
+    return materialize(variants.sample_snps(site, calls), "snps")
 
 
 def sample_deltas(snps: DataFrame, loci: DataFrame, tiles: DataFrame, embedder, dim: int, sizes: Sizes | None = None) -> DataFrame:
@@ -32,7 +33,7 @@ def sample_deltas(snps: DataFrame, loci: DataFrame, tiles: DataFrame, embedder,
     """
     sizes = sizes or Sizes()
     seqs = G.extract_locus_seq(loci, tiles, sizes.tile)
-    mutated = variants.apply_snps(seqs, snps)
+    mutated = materialize(variants.apply_snps(seqs, snps), "mutated")
     kinds = loci.select("kind", "locus_id", "rtype")
     distinct = mutated.select("kind", "locus_id", "seq").distinct().join(kinds, ["kind", "locus_id"])
     length = F.when(F.col("kind") == "window", sizes.window).otherwise(fixed_len_for_type(F.col("rtype"), sizes.lengths))
@@ -41,7 +42,8 @@ def sample_deltas(snps: DataFrame, loci: DataFrame, tiles: DataFrame, embedder,
     fixed = embed_sequences(keyed.where("kind <> 'gene'"), embedder, dim, keys, "fixed")
     genes = embed_sequences(keyed.where("kind = 'gene'"), embedder, dim, keys, "adaptive", sizes.gene_short, sizes.gene_window, sizes.gene_stride)
     x = fixed.unionByName(genes)
-    return mutated.select("sample_id", "kind", "locus_id", F.sha2("seq", 256).alias("hap")).join(x, keys).select("sample_id", F.col("kind").alias("node_type"), F.col("locus_id").alias("node_id"), "x")
+    delta = mutated.select("sample_id", "kind", "locus_id", F.sha2("seq", 256).alias("hap")).join(x, keys)
+    return materialize(delta.select("sample_id", F.col("kind").alias("node_type"), F.col("locus_id").alias("node_id"), "x"), "delta")
 
 
 def sample_features(nodes: DataFrame, delta: DataFrame, samples: DataFrame, strict_tf: bool = True) -> DataFrame:

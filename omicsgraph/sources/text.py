@@ -20,9 +20,13 @@ def read_lines(spark: SparkSession, path: str, partitions: int | None = None) ->
     return lines.repartition(partitions) if partitions else lines
 
 
-def columns(line: str = "line") -> Column:
-    """A line's tab-separated columns."""
-    return F.split(line, "\t")
+def split_columns(lines: DataFrame) -> DataFrame:
+    """lines with their tab-separated columns, split once."""
+    return lines.withColumn("__cells", F.split("line", "\t"))
+
+
+def columns() -> Column:
+    return F.col("__cells")
 
 
 def cell(k: int) -> Column:
@@ -36,7 +40,7 @@ def _words() -> Column:
 
 def _filled(lines: DataFrame, comment: str | None = None) -> DataFrame:
     keep = F.trim(F.regexp_replace("line", r"\s", " ")) != ""
-    return lines.where(keep & ~F.startswith(F.col("line"), F.lit(comment)) if comment else keep)
+    return split_columns(lines.where(keep & ~F.startswith(F.col("line"), F.lit(comment)) if comment else keep))
 
 
 def _first_line(lines: DataFrame) -> DataFrame:
@@ -71,6 +75,7 @@ def parse_vcf(lines: DataFrame, samples: list[str] | None = None) -> tuple[DataF
 
     Alleles that are missing are -1; a genotype of one allele counts as two equal ones.
     """
+    lines = split_columns(lines)
     head = lines.where(F.startswith("line", F.lit("#CHROM"))).select(F.slice(columns(), 10, 1_000_000).alias("names"))
     records = lines.where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
     site = records.select(F.col("line_no").alias("rec_ix"), cell(0).alias("chrom"), cell(1).try_cast("bigint").alias("pos"), cell(3).alias("ref"), F.when(cell(4) == ".", F.array().cast("array<string>")).otherwise(F.split(cell(4), ",")).alias("alt"))
