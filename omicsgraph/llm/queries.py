@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, license_scan, mixing, quality, secret_scan, simhash, suffix_dedup, token_counts, topk
+from .oracles import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,4 +87,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+
