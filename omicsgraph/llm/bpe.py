@@ -21,12 +21,12 @@ import regex
 import tokenizers
 from pyspark.sql import DataFrame
 
-from .common import by_bytes
+from .common import by_bytes, kept, map_arrow
 
 #: The word pattern of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A generation of words that a worker keeps with their values, the bytes of the longest of them, and pairs kept.
-KEEP_WORDS, KEEP_BYTES, KEEP_PAIRS = 250_000, 64, 500_000
+KEEP_WORDS, KEEP_BYTES, KEEP_PAIRS = 150_000, 64, 300_000
 SLICE = 2 << 20
 
 
@@ -243,16 +243,9 @@ class Decoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_KEPT: dict[tuple, object] = {}
-
-
 def kept_by_worker(make: Callable[[Vocabulary], object], vocabulary: str):
     """make(Vocabulary(vocabulary)), made once by each Python worker."""
-    key = (make, hash(vocabulary))
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = make(Vocabulary(vocabulary))
-    return _KEPT[key]
+    return kept("bpe", (make.__qualname__, hash(vocabulary)), lambda: make(Vocabulary(vocabulary)))
 
 
 def _both(vocabulary: Vocabulary) -> tuple[Encoder, Decoder]:
@@ -280,7 +273,7 @@ def encode(docs: DataFrame, vocabulary: str, decoded: bool = False) -> DataFrame
                     columns.append(pa.array(map(decoder, ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
+    return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, ids array<int>" + ", text string" * decoded, keeps="bpe")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -294,4 +287,4 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             texts = [decoder(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, text string", keeps="bpe")

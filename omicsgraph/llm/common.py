@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+__all__ = ["broadcast_if_small", "by_bytes", "doc_key", "kept", "map_arrow", "materialize", "shared_dir", "text_bytes"]
 
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of an Arrow batch, set where the session has Spark's own limit.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -64,3 +54,46 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Reco
 def doc_key() -> list:
     """Columns that identify a document row: its id and a hash of its text (rows may repeat)."""
     return [F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")]
+
+
+#: What this Python worker keeps from one task to the next, by name.
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(name: str, key: object, make: Callable[[], object]) -> object:
+    """make(), made once by this worker as long as `key` stays."""
+    if name not in _KEPT or _KEPT[name][0] != key:
+        _KEPT[name] = (key, make())
+    return _KEPT[name][1]
+
+
+def start_task(name: str | None) -> None:
+    """Drop what other operators have kept in this worker."""
+    for other in [k for k in _KEPT if k != name]:
+        del _KEPT[other]
+
+
+def end_task() -> None:
+    """Give free memory back, so that a worker's size is that of its current task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str | None = None) -> DataFrame:
+    """df.mapInArrow(run, schema) with small batches; workers keep only what `keeps` names between tasks."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_LIMIT, "67108864b") == "67108864b":
+        conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+    def lean(batches):
+        start_task(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            end_task()
+
+    return df.mapInArrow(lean, schema)

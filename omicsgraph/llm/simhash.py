@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, doc_key, materialize
+from .common import by_bytes, doc_key, map_arrow, materialize
 
 RADIUS = 2
 #: Bits of the bands, and the groups of three bands that two near fingerprints may share.
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], schema=schema)
 
     id_, key = doc_key()
-    return docs.select(id_.cast("long").alias("doc_id"), key, "text").mapInArrow(run, "doc_id long, text_key long, fp long")
+    return map_arrow(docs.select(id_.cast("long").alias("doc_id"), key, "text"), run, "doc_id long, text_key long, fp long")
 
 
 def band_masks() -> list[int]:
@@ -148,7 +148,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all within the radius."""
     keys = F.array(*[F.struct(F.lit(k).cast("byte").alias("bands"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(band_masks())])
     groups = fps.select("fp", F.explode(keys).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("members"))
-    return groups.where(F.size("members") > 1).select("members").mapInArrow(_search, "a long, b long")
+    return map_arrow(groups.where(F.size("members") > 1).select("members"), _search, "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:

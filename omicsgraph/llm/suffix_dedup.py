@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, doc_key, materialize, text_bytes
+from .common import by_bytes, doc_key, map_arrow, materialize, text_bytes
 
 KGRAM = 32
 #: Positions handled at once while pieces are cut.
@@ -356,7 +356,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, max_group: int = 8192) ->
         raise ValueError(f"length must be over {KGRAM}")
     keyed = docs.select(*doc_key(), "text")
     run, schema = _find_pieces(length)
-    found = materialize(keyed.mapInArrow(run, schema), "pieces")
+    found = materialize(map_arrow(keyed, run, schema), "pieces")
     digest = F.struct("d1", "d2")
     kgrams = found.groupBy("kgram").agg(F.count("*").alias("seen"), (F.min(digest) == F.max(digest)).alias("alike")).where("seen > 1").drop("seen")
     repeated = materialize(found.join(kgrams, "kgram"), "repeated")
@@ -377,14 +377,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, max_group: int = 8192) ->
     run, schema = _take_pieces(length)
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
     with_text = keyed.join(wanted.hint("shuffle_hash"), same(keyed, wanted))
-    pieces = with_text.select("text", "want").mapInArrow(run, schema)
+    pieces = map_arrow(with_text.select("text", "want"), run, schema)
     pieces = materialize(pieces, "shards")
     run, schema = _sort_shard(length)
     small = pieces.where(F.col("pieces") <= max_group)
     sorted_ = small.withColumn("shard", F.pmod(F.xxhash64("kgram"), F.lit(shards))).groupBy("shard").applyInArrow(run, schema)
     run, schema = _cut_strings(length)
     large = pieces.where(F.col("pieces") > max_group)
-    strings = large.mapInArrow(run, schema).distinct()
+    strings = map_arrow(large, run, schema).distinct()
     common = strings.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     counted = strings.join(common, ["w1", "w2"]).groupBy("d1", "d2").agg(F.collect_list(F.struct(F.col("s"), (F.col("s") + length).alias("e"))).alias("spans"))
     shared = sorted_.unionByName(counted)
@@ -434,7 +434,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, max_group: int = 8192) ->
     keyed = docs.select(*doc_key(), "text")
     spans = repeated_spans(docs, length, max_group)
     joined = keyed.join(spans.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(spans["doc_id"]) & (keyed["text_key"] == spans["text_key"]), "left")
-    return joined.select(keyed["doc_id"].cast("long"), "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>")
+    return map_arrow(joined.select(keyed["doc_id"].cast("long"), "text", "spans"), _remove, "doc_id long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>")
 
 
 def brute_force(texts: list[str | None], length: int = 400) -> list[tuple[int, int, int, str]]:

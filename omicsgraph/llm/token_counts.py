@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SLICE, Splitter, Vocabulary, Words, kept_by_worker
-from .common import by_bytes, text_bytes
+from .common import by_bytes, map_arrow, text_bytes
 
 
 class Counter:
@@ -76,7 +76,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
                 totals = counter.totals([t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off), pa.int64()), pa.array(totals, pa.int64())], schema=schema)
 
-    counted = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long", keeps="bpe")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
@@ -94,4 +94,4 @@ def truncate(docs: DataFrame, vocabulary: str, budget: int) -> DataFrame:
                 cut = [counter.cut(t or "", budget) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c[0] for c in cut], pa.string()), pa.array([c[1] for c in cut], pa.int64())], schema=schema)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, text string, n_tokens long")
+    return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, text string, n_tokens long", keeps="bpe")
