@@ -19,6 +19,15 @@ def s1(spark, d):
     return text.tile_genome(view(spark, d, "fx_genome"), 1000)
 
 
+@register("s1_read_fasta", "fx_genome", "select chrom, seq from fx_genome")
+def s1r(spark, d):
+    """Written as FASTA with lines of 60 letters, and read again."""
+    path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    lines = F.concat(F.lit(">"), F.col("chrom"), F.lit(" text\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))
+    view(spark, d, "fx_genome").select(lines.alias("value")).write.text(path)
+    return text.read_fasta(spark, path)
+
+
 @register("s2_parse_gff", "fx_gene", "select gene_id, chrom, gstart, gend, strand from fx_gene where gene_key%7<>0")
 def s2(spark, d):
     line = r"case when gene_key%7=0 then '# '||gene_id else concat_ws('\t',chrom,'src','gene',gstart,gend,'.',strand,'.','Name=x;ID='||gene_id||';Note=y') end"
