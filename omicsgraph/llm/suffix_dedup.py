@@ -30,7 +30,7 @@ from .common import by_bytes, doc_key, map_arrow, materialize, text_bytes
 KGRAM = 32
 #: Positions handled at once while pieces are cut.
 BLOCK = 1 << 20
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- pieces
@@ -350,7 +350,7 @@ def _cut_strings(length: int):
     return run, "d1 long, d2 long, s int, w1 long, w2 long"
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, max_group: int = 8192) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, max_group: int = 4096) -> DataFrame:
     """(doc_id, text_key, spans array<struct<s,e>>) of the documents with bytes in repeated strings of `length`."""
     if length <= KGRAM:
         raise ValueError(f"length must be over {KGRAM}")
@@ -359,6 +359,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, max_group: int = 8192) ->
     found = materialize(map_arrow(keyed, run, schema), "pieces")
     digest = F.struct("d1", "d2")
     kgrams = found.groupBy("kgram").agg(F.count("*").alias("seen"), (F.min(digest) == F.max(digest)).alias("alike")).where("seen > 1").drop("seen")
+    kgrams = materialize(kgrams, "kgrams")  # so that Spark can split the partition of a very frequent k-gram in the join
     repeated = materialize(found.join(kgrams, "kgram"), "repeated")
     alike = repeated.where("alike").select("doc_id", "text_key", F.col("start").alias("s"), (F.col("start") + F.col("n") + (length - 1)).alias("e"))
 
@@ -366,7 +367,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, max_group: int = 8192) ->
     mixed = repeated.where("not alike")
     kinds = mixed.groupBy("kgram", "d1", "d2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_key", "start", "n")).alias("of"))
     kinds = materialize(kinds, "kinds")
-    group = kinds.groupBy("kgram").agg(F.count("*").alias("pieces"))
+    group = materialize(kinds.groupBy("kgram").agg(F.count("*").alias("pieces")), "groups")
     total = kinds.agg(F.sum(F.col("of.n") + length)).first()[0] or 0
     shards = max(1, int(total) // SHARD_BYTES)
     wanted = (
@@ -426,7 +427,7 @@ def _remove(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(kept, pa.binary()), pa.array(removed, spans_type)], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, max_group: int = 8192) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, max_group: int = 4096) -> DataFrame:
     """One row per document: doc_id, n_bytes, kept (binary), removed (array of byte spans, end exclusive).
 
     docs needs doc_id and text; other columns are ignored. An empty table gives an empty one.
