@@ -272,6 +272,18 @@ def test_language_id(spark, edge_docs):
     assert kept.columns == edge_docs.columns and {2, 3, 6, 7}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_ngrams_within_the_bound(spark, small_docs):
+    counts = langid.count_ngrams(small_docs).collect()
+    few = langid.fit(small_docs, max_ngrams=400)
+    langs = {r.lang for r in counts}
+    assert set(few.names) == langs
+    for name, model in zip(few.names, few.models):
+        own = {np.uint64(r.gram % 2**64): r.n for r in counts if r.lang == name}
+        kept = set(model.orders[-1].grams.tolist())
+        assert 0 < len(kept) <= 400 // len(langs)
+        assert min(own[np.uint64(g)] for g in kept) > max(n for g, n in own.items() if int(g) not in kept)
+
+
 def test_language_id_uses_training_rows_only(spark):
     """Changing the language of held-out rows changes nothing."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
