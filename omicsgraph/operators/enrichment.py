@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.shared import materialize
 from .joins import small
 
 
@@ -98,7 +99,7 @@ def go_enrichment(fg: DataFrame, bg: DataFrame, gene2go: DataFrame, names: DataF
     fg: (set_name, gene_id[, weight][, min_overlap]); all sets are tested in one job.
     """
     weighed = fg if "weight" in fg.columns else fg.withColumn("weight", F.lit(None).cast("double"))
-    counts = go_counts(fg, bg, gene2go, min_bg, min_overlap)
+    counts = materialize(go_counts(fg, bg, gene2go, min_bg, min_overlap), "counts")
     gene_ratio, bg_ratio = F.col("k") / F.col("big_n"), F.col("n") / F.col("m")
     tested = counts.select("*", gene_ratio.alias("gene_ratio"), bg_ratio.alias("bg_ratio"), (gene_ratio / bg_ratio).alias("fold_enrichment"), hypergeom_sf(F.col("k"), F.col("m"), F.col("n"), F.col("big_n")).alias("pvalue"))
     tested = bh_fdr(tested, ["set_name"])
