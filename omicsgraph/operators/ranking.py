@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
+from .joins import small
 
 
 def number_rows(df: DataFrame, by: list[str], order: list[Column], out: str = "rank") -> DataFrame:
@@ -23,7 +24,7 @@ def number_rows(df: DataFrame, by: list[str], order: list[Column], out: str = "r
     same = F.col("__part") == F.col("__p")
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
-    joined = ranged.withColumn("__place", place).join(F.broadcast(offsets), same)  # a row per range and group
+    joined = ranged.withColumn("__place", place).join(small(offsets), same)  # a row per range and group
     return joined.withColumn(out, F.col("__offset") + F.col("__place")).select(*df.columns, out)
 
 
