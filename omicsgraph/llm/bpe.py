@@ -26,7 +26,7 @@ from .common import by_bytes, kept, map_arrow
 #: The word pattern of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A generation of words that a worker keeps with their values, the bytes of the longest of them, and pairs kept.
-KEEP_WORDS, KEEP_BYTES, KEEP_PAIRS = 150_000, 64, 300_000
+KEEP_WORDS, KEEP_BYTES, KEEP_PAIRS = 220_000, 64, 400_000
 SLICE = 2 << 20
 
 
@@ -56,10 +56,11 @@ class Vocabulary:
         for (a, b), (k, t) in self.rank.items():
             self.after.setdefault(a, {})[b] = k
             self.made.setdefault(t, (a, b, k))
+        self.sizes = {i: len(t) for t, i in self.id_of.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
-        #: every end of a token: how far back the search for last tokens has to go
-        self.ends = {t[k:] for t in self.id_of for k in range(len(t))}
+        #: every end of a token, with its id if it is a token: how far back the search for last tokens has to go
+        self.ends = {t[k:]: -1 for t in self.id_of for k in range(1, len(t))} | self.id_of
         self._apart: dict[tuple[int, int], bool] = {}
         self._alone: dict[int, bool] = {}
         self._right: dict[int, list] = {}
@@ -122,14 +123,19 @@ class Vocabulary:
 
     def last_token(self, word: bytes, end: int, last: list[int]) -> int:
         """The last token of word[:end], where last has those of the shorter prefixes."""
-        fits, begin = [], end - 1
-        while begin >= 0 and (part := word[begin:end]) in self.ends:
-            t = self.id_of.get(part)
-            if t is not None:
+        ends, fits, begin = self.ends, [], end - 1
+        while begin >= 0 and (t := ends.get(word[begin:end])) is not None:
+            if t >= 0:
                 fits.append((begin, t))
             begin -= 1
+        pairs = self._apart
         for begin, t in reversed(fits):
-            if self.apart(last[begin], t) if begin else self.alone(t):
+            if begin:
+                before = last[begin]
+                fine = pairs.get((before, t))
+                if self.apart(before, t) if fine is None else fine:
+                    return t
+            elif self.alone(t):
                 return t
         raise ValueError("a byte has no token")
 
@@ -139,26 +145,29 @@ class Vocabulary:
         The two lists are the traversal's stack: they change with the next word.
         """
         last, count, before = [-1], [0], b""
+        last_token, sizes = self.last_token, self.sizes
         for word in sorted(set(words)):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :], count[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                t = self.last_token(word, end, last)
+                t = last_token(word, end, last)
                 last.append(t)
-                count.append(count[end - len(self.bytes_of[t])] + 1)
+                count.append(count[end - sizes[t]] + 1)
             before = word
             yield word, last, count
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
-        out = {}
+        out, sizes = {}, self.sizes
         for word, last, _ in self.walk(words):
             ids, end = [], len(word)
             while end:
-                ids.append(last[end])
-                end -= len(self.bytes_of[last[end]])
-            out[word] = tuple(reversed(ids))
+                t = last[end]
+                ids.append(t)
+                end -= sizes[t]
+            ids.reverse()
+            out[word] = tuple(ids)
         return out
 
 
@@ -224,8 +233,9 @@ class Encoder:
 
     def _encode(self, words: set[str]) -> dict[str, tuple[int, ...]]:
         added = self.vocabulary.added
-        found = self.vocabulary.encode_words(w.encode() for w in words if w not in added)
-        return {w: (added[w],) if w in added else found[w.encode()] for w in words}
+        raw = {w: w.encode() for w in words if w not in added}
+        found = self.vocabulary.encode_words(raw.values())
+        return {w: found[b] for w, b in raw.items()} | {w: (added[w],) for w in words if w in added}
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(t) for t in texts]
