@@ -191,7 +191,12 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """One document of each component: the one with the smallest doc_id (of equal ids, the smallest hash of text)."""
-    keep = near_duplicates(docs, words).select("keep").distinct().select(F.col("keep.doc_id").alias("__id"), F.col("keep.text_key").alias("__key"))
+    return keep_only(docs, near_duplicates(docs, words).select("keep").distinct())
+
+
+def keep_only(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The documents named in keep (keep: no_id, doc_id, text_key), each once, with the columns of docs."""
+    keep = keep.select(F.col("keep.doc_id").alias("__id"), F.col("keep.text_key").alias("__key"))
     id_, key = doc_key()
     keyed = docs.withColumn("__text_key", key)
     kept = keyed.join(keep.hint("shuffle_hash"), keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")
