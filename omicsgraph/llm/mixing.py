@@ -2,11 +2,12 @@
 
 A source whose target is r times its words gives floor(r) whole copies of every document; the rest of its target is
 sampled. With inclusion probability p (the fractional part of r) and a uniform U from a hash, documents are ranked
-by the odds ratio (U/(1-U)) / (p/(1-p)) and taken in that order as long as they fit into the rest; what is then
-missing is filled with documents after the cut, up to FILLERS of each size class (powers of two), largest first.
-p is the same for all documents of a source, so that order is the order of U within the source. The cut is found on
+by the odds ratio (U/(1-U)) / (p/(1-p)) and taken in that order, each that still fits into the rest.
+p is the same for all documents of a source, so that order is the order of U within the source. The documents are
+taken in rounds: those larger than the gap are dropped, the cut is where the running sum of the others exceeds the
+gap, and what is after the cut goes into the next round with the smaller gap, until nothing fits. A cut is found on
 sums per source and bucket of U, 12 bits at a time, so no task holds a whole source; documents are then compared
-with the cut of their source.
+with the rounds of their source.
 
 Null texts have size 0. Null is a source of its own, the last one. Rows that repeat, or that share id and text, share
 their U and are taken or left together. An empty table gives an empty one.
@@ -24,7 +25,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Source tables of up to this many rows are broadcast.
 MAX_SOURCES = 100_000
 BITS, LEVELS = 12, 2
-FILLERS = 32
 
 
 def hash_bits(seed: int) -> Column:
@@ -54,64 +54,89 @@ def _with(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"])).drop("plan_source")
 
 
-def mixing_plan(docs: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size, u) of the documents, and of each source source_size, target, whole copies, cut
-    of u and the u of extra documents."""
-    sized = docs.select(F.col("doc_id").cast("long"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hash_bits(seed).alias("u"))
-    sized = materialize(sized, "sized")
-    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = plan.withColumn("whole", F.floor(rate)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long"))
-    plan = materialize(plan, "plan")
+def word_count() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def next_cut(units: DataFrame, left: DataFrame) -> DataFrame:
+    """(source, cut, gap): the last u up to which the words of the units fit into the gap of their source, and what
+    is left of it. left: (source, gap)."""
+    plan = left.select("source", F.col("gap").alias("rest"), F.lit(0).cast("long").alias("prefix"))
     for level in range(1, LEVELS + 1):
         low = 63 - BITS * level
-        rows = _with(sized, plan.select("source", "prefix")).where(F.shiftright("u", low + BITS) == F.col("prefix"))
-        sums = rows.groupBy("source", F.shiftright("u", low).alias("bucket")).agg(F.sum("size").alias("words"))
+        rows = _with(units, plan.select("source", "prefix")).where(F.shiftright("u", low + BITS) == F.col("prefix"))
+        sums = rows.groupBy("source", F.shiftright("u", low).alias("bucket")).agg(F.sum("words").alias("words"))
         order = Window.partitionBy("source").orderBy("bucket")
         sums = sums.withColumn("upto", F.sum("words").over(order)).withColumnRenamed("source", "s")
         known = plan.join(sums, plan["source"].eqNullSafe(sums["s"]), "left")
-        # the first bucket that fills the rest; if sums fall short by rounding, the last one
+        # the first bucket that fills the rest; if sums fall short, the last one
         pick = known.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("rest"), F.struct("bucket", "upto", "words"))), F.max(F.struct("bucket", "upto", "words"))).alias("b"))
         pick = pick.select(F.col("source").alias("s"), "b")
         plan = plan.join(pick, plan["source"].eqNullSafe(pick["s"])).drop("s")
         plan = plan.withColumn("rest", F.col("rest") - F.coalesce(F.col("b.upto") - F.col("b.words"), F.lit(0))).withColumn("prefix", F.coalesce("b.bucket", F.lit(-1)).cast("long")).drop("b")
         plan = materialize(plan, "plan")
     low = 63 - BITS * LEVELS
-    rows = _with(sized, plan.select("source", "prefix", "rest")).where(F.shiftright("u", low) == F.col("prefix"))
-    rows = rows.groupBy("source", "rest", "u").agg(F.sum("size").alias("words"))
+    rows = _with(units, plan.select("source", "prefix", "rest")).where(F.shiftright("u", low) == F.col("prefix"))
     rows = rows.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("u")))
     cut = rows.where("upto <= rest").groupBy(F.col("source").alias("s")).agg(F.max(F.struct("u", "upto")).alias("last"))
     plan = plan.join(cut, plan["source"].eqNullSafe(cut["s"]), "left")
     below = F.shiftleft("prefix", low) - 1
-    gap = F.col("rest") - F.coalesce("last.upto", F.lit(0))
-    plan = materialize(plan.select("source", "source_size", "target", "whole", gap.alias("gap"), F.coalesce("last.u", below).alias("cut")), "plan")
-    over = _with(sized, plan.select("source", "cut", "gap")).where("u > cut and size > 0 and size <= gap")
-    classes = over.groupBy("source", "gap", F.floor(F.log2("size")).alias("class"), F.pmod("u", F.lit(FILLERS)).alias("part")).agg(F.min(F.struct("size", "u")).alias("doc"))
-    classes = classes.groupBy(F.col("source").alias("s"), "gap").agg(F.sort_array(F.collect_list("doc"), asc=False).alias("docs"))
-    fits = lambda acc, d: F.when(d["size"] <= acc["gap"], F.struct((acc["gap"] - d["size"]).alias("gap"), F.concat(acc["us"], F.array(d["u"])).alias("us"))).otherwise(acc)
-    fill = F.aggregate("docs", F.struct(F.col("gap"), F.array().cast("array<bigint>").alias("us")), fits, lambda acc: acc["us"])
-    best = classes.select("s", fill.alias("extra"))
-    plan = plan.join(best, plan["source"].eqNullSafe(best["s"]), "left").drop("s", "gap")
-    return sized, materialize(plan, "plan")
+    return materialize(plan.select("source", F.coalesce("last.u", below).alias("cut"), (F.col("rest") - F.coalesce("last.upto", F.lit(0))).alias("gap")), "cuts")
+
+
+def mixing_plan(docs: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, source, size, u) of the documents; of each source source_size, target, whole copies and the rounds
+    (after, cut, most) of the sample; (source, u, words) of the documents with several rows."""
+    sized = docs.select(F.col("doc_id").cast("long"), "source", word_count().alias("size"), hash_bits(seed).alias("u"))
+    sized = materialize(sized, "sized")
+    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = materialize(plan.withColumn("whole", F.floor(rate)), "plan")
+    units = materialize(sized.groupBy("source", "u").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "units")
+    repeats = units.where("n > 1").select("source", "u", "words")
+    left = plan.select("source", F.lit(-1).cast("long").alias("cut"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("gap"))
+    rounds = left.limit(0).select("source", F.col("cut").alias("after"), "cut", F.col("gap").alias("most"))
+    while True:  # each round takes a document at least
+        units = materialize(_with(units.select("source", "u", "words"), left).where("u > cut and words > 0 and words <= gap").select("source", "u", "words"), "units")
+        if units.isEmpty():
+            break
+        some = units.select(F.col("source").alias("s")).distinct()
+        left = left.join(some, left["source"].eqNullSafe(some["s"]), "left_semi")
+        new = next_cut(units, left.select("source", "gap"))
+        old = left.select(F.col("source").alias("s"), F.col("cut").alias("after"), F.col("gap").alias("most"))
+        rounds = materialize(rounds.union(new.join(old, new["source"].eqNullSafe(old["s"])).select("source", "after", "cut", "most")), "rounds")
+        left = new
+    of_source = rounds.groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list(F.struct("after", "cut", "most"))).alias("rounds"))  # as many as rounds
+    plan = plan.join(of_source, plan["source"].eqNullSafe(of_source["s"]), "left").drop("s")
+    return sized, materialize(plan, "plan"), repeats
+
+
+def _with_words(rows: DataFrame, repeats: DataFrame, u: str, size: Column) -> DataFrame:
+    """rows with __words: the size of all rows that share the document's id and text."""
+    named = broadcast_if_small(repeats.select(F.col("source").alias("__s"), F.col("u").alias("__ru"), F.col("words").alias("__all")), MAX_SOURCES)
+    same = (rows[u] == named["__ru"]) & rows["source"].eqNullSafe(named["__s"])
+    return rows.join(named, same, "left").withColumn("__words", F.coalesce("__all", size)).drop("__s", "__ru", "__all")
 
 
 def copies(u: str = "u", plan: str = "") -> Column:
-    """How many copies of a row are taken, once it has the columns of its source's plan."""
-    sampled = (F.col(u) <= F.col(plan + "cut")) | F.coalesce(F.array_contains(F.col(plan + "extra"), F.col(u)), F.lit(False))
-    return F.col(plan + "whole") + sampled.cast("long")
+    """How many copies of a row are taken, once it has __words and the columns of its source's plan."""
+    fits = lambda r: (F.col(u) > r["after"]) & (F.col(u) <= r["cut"]) & (F.col("__words") <= r["most"])
+    return F.col(plan + "whole") + F.coalesce(F.exists(plan + "rounds", fits), F.lit(False)).cast("long")
 
 
 def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every document."""
-    sized, plan = mixing_plan(docs, seed)
-    return _with(sized, plan).select("doc_id", "source", "size", "source_size", "target", copies().alias("copies"), (copies() * F.col("size")).alias("taken"))
+    sized, plan, repeats = mixing_plan(docs, seed)
+    rows = _with_words(_with(sized, plan), repeats, "u", F.col("size"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies().alias("copies"), (copies() * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    _, plan = mixing_plan(docs, seed)
+    _, plan, repeats = mixing_plan(docs, seed)
     named = plan.select(F.struct(*plan.columns).alias("__plan"))
     named = broadcast_if_small(named, MAX_SOURCES)
     rows = docs.withColumn("__u", hash_bits(seed)).join(named, docs["source"].eqNullSafe(named["__plan.source"]))
+    rows = _with_words(rows, repeats, "__u", word_count())
     repeated = rows.withColumn("__n", copies("__u", "__plan.").cast("int")).where("__n > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__n"))))
     return repeated.select(*docs.columns)
