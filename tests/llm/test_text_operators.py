@@ -36,7 +36,9 @@ def docs(request, edge_docs, small_docs):
 # ---------------------------------------------------------------- suffix arrays
 
 
-def test_suffix_array():
+@pytest.mark.parametrize("many", [0, 512])
+def test_suffix_array(monkeypatch, many):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
     rng = random.Random(1)
     for _ in range(200):
         s = [rng.randint(1, rng.choice([2, 3, 20])) for _ in range(rng.randint(1, 60))] + [0]
