@@ -20,7 +20,8 @@ span as (select doc_id, min(i) s, max(i)+400 e from run group by doc_id, r),
 edge as (select doc_id, s, e from span union all select doc_id, octet_length(b), null from d),
 gap as (select doc_id, coalesce(lag(e) over (partition by doc_id order by s, e nulls last), 0) a, s b from edge),
 kept as (select g.doc_id, string_agg(substr(hex(d.b), 2*g.a+1, 2*(g.b-g.a)), '' order by g.a) x from gap g join d on d.doc_id=g.doc_id group by g.doc_id)
-select d.doc_id, octet_length(d.b) n_bytes, cast(coalesce(s.n, 0) as bigint) n_removed, coalesce(s.k, 0) n_spans, sha256(unhex(k.x)) kept_sha256
+select d.doc_id, octet_length(d.b) n_bytes, cast(coalesce(s.n, 0) as bigint) n_removed, coalesce(s.k, 0) n_spans, sha256(unhex(k.x)) kept_sha256,
+    decode(unhex(regexp_replace(k.x, '([0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].)|..', '\\1', 'g'))) "text"
 from d join kept k on k.doc_id=d.doc_id left join (select doc_id, sum(e-s) n, count(*) k from span group by doc_id) s on s.doc_id=d.doc_id"""
 
 OP6 = """

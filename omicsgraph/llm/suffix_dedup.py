@@ -476,12 +476,12 @@ def _remove(batches):
                 cut = [base, *(base + x for r in runs for x in r), int(off[k + 1])]
                 kept.append(b"".join([buf[a:b].tobytes() for a, b in zip(cut[::2], cut[1::2])]))
                 removed.append([{"start": a, "end": b} for a, b in runs])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(kept, pa.binary()), pa.array(removed, spans_type), pa.array([k.decode("utf-8", "replace") for k in kept])], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(kept, pa.binary()), pa.array(removed, spans_type), pa.array([k.decode("utf-8", "ignore") for k in kept])], schema=schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, max_group: int = 4096) -> DataFrame:
     """One row per document: doc_id, n_bytes, kept (binary), removed (array of byte spans, end exclusive), text (what is
-    kept as a string; a character that is cut apart becomes the replacement character).
+    kept as a string, without characters that are cut apart).
 
     docs needs doc_id and text; other columns are ignored. An empty table gives an empty one.
     """

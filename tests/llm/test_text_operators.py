@@ -190,7 +190,7 @@ def test_formats_are_learned():
 
 
 def brute_top(vectors, k):
-    ok = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(64 * float(x)) for x in v)]
     out = []
     for a, (i, v) in enumerate(ok):
         if i is not None and i % 20 == 0:
@@ -207,20 +207,38 @@ def test_topk(spark):
     asks = F.col("vec_id") % 20 == 0
     assert multiset(map(tuple, topk.top_k(df, asks, k=7).collect())) == brute_top(rows, 7)
     assert topk.top_k(df.limit(0), asks).count() == 0
-    large = [(k, [float(2**40 + k), 1e9]) for k in range(0, 60, 10)]
+    # products beyond 2^53, beyond a long, and of the largest doubles; equal vectors
+    large = [(0, [4e9, 4e9]), (20, [2e9, 3e9]), (40, [1.0, 1.0]), (60, [2.0**40 + 1, 1e9]), (80, [2.0**40, 1e9]), (1, [1e300, -1e300]), (100, [1e300, 1e300]), (3, [1e308, 7.0]), (5, [0.0, 0.0]), (120, [0.0, 0.0])]
+    large += [(200 + k, [1.0, 1.0]) for k in range(30)] + [(300 + k, [3e8 + k, 5e8 - k]) for k in range(40)]
     df = spark.createDataFrame(large, "vec_id long, embedding array<double>")
-    got = topk.top_k(df, asks, k=3, scale=1.0).collect()
-    assert {(r.query_id, r.rank) for r in got} == {(i, k) for i in (0, 20, 40) for k in (1, 2, 3)}
+    clipped = collections.Counter()
+    for (i, r, j, score), n in brute_top(large, 6).items():
+        clipped[i, r, j, min(max(score, -(2**63)), 2**63 - 1)] += n
+    assert multiset(map(tuple, topk.top_k(df, asks, k=6).collect())) == clipped
+    assert topk.top_k(spark.createDataFrame([(0, [1e308]), (1, [1.0])], "vec_id long, embedding array<double>"), asks).count() == 0  # not finite once scaled
 
 
 def test_topk_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 90)
-    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(topk, "STEP", 16)
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet").limit(100)
     rows = [(r.vec_id, r.embedding) for r in emb.collect()]
     assert multiset(map(tuple, topk.top_k(emb, F.col("vec_id") % 20 == 0).collect())) == brute_top(rows, 20)
 
 
+def test_bounds_hold():
+    rng = np.random.default_rng(8)
+    for size in (1.0, 1e5, 1e14, 1e120):
+        v, q = (np.floor(rng.normal(0, size, (50, 9)) * 64) for _ in range(2))
+        scan = topk.Scan(*topk.approximate(v))
+        middle, off = scan.bounds(q, slice(0, 50))
+        scale = [2.0 ** -int(np.frexp(np.abs(x).max())[1]) for x in q]
+        for a in range(50):
+            for b in range(50):
+                exact = sum(int(x) * int(y) for x, y in zip(q[a], v[b]))
+                assert abs(middle[a, b] - exact / 2**64 * scale[a]) <= off[a, b] * (1 + 1e-9)
+
+
 # ---------------------------------------------------------------- licences
 
 
