@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize, shared_dir
+from ..sources.shared import forget, materialize, shared_dir
 
-__all__ = ["broadcast_if_small", "by_bytes", "doc_key", "kept", "map_arrow", "materialize", "shared_dir", "text_bytes"]
+__all__ = ["broadcast_if_small", "by_bytes", "doc_key", "forget", "kept", "map_arrow", "materialize", "shared_dir", "text_bytes"]
 
 #: Bytes of an Arrow batch, set where the session has Spark's own limit.
 BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
@@ -84,7 +84,11 @@ def end_task() -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str | None = None) -> DataFrame:
-    """df.mapInArrow(run, schema) with small batches; workers keep only what `keeps` names between tasks."""
+    """df.mapInArrow(run, schema); workers keep only what `keeps` names between tasks.
+
+    The session's limit of bytes per Arrow batch is lowered for good where it is Spark's own: it is read when a plan
+    runs, so it can't be set back here.
+    """
     conf = df.sparkSession.conf
     if conf.get(BATCH_LIMIT, "67108864b") == "67108864b":
         conf.set(BATCH_LIMIT, str(BATCH_BYTES))

@@ -1,16 +1,17 @@
 """Mixing sources to target weights with Pareto order sampling.
 
-A source whose target is r times its words gives floor(r) whole copies of every document; the rest of its target is
-sampled. With inclusion probability p (the fractional part of r) and a uniform U from a hash, documents are ranked
-by the odds ratio (U/(1-U)) / (p/(1-p)) and taken in that order, each that still fits into the rest.
-p is the same for all documents of a source, so that order is the order of U within the source. The documents are
-taken in rounds: those larger than the gap are dropped, the cut is where the running sum of the others exceeds the
-gap, and what is after the cut goes into the next round with the smaller gap, until nothing fits. A cut is found on
-sums per source and bucket of U, 12 bits at a time, so no task holds a whole source; documents are then compared
-with the rounds of their source.
+A document of a source is wanted rate = c * 2^(-class * SLOPE) times, where the class is the number of bits of its size:
+short documents are wanted more often than long ones, so that a few long ones don't fill a source's share. c makes the
+source's rates times sizes add up to its target, with no rate above the cap. The whole part of a rate gives certain
+copies; its fraction p is the document's inclusion probability for one more. Documents are ranked by the odds ratio
+(U/(1-U)) / (p/(1-p)), U uniform from a hash, and taken in that order, each that still fits into what certain copies
+leave of the target: rounds of cuts, where a cut is the place at which the running sum exceeds the gap, and the next
+round goes on after it with the documents that fit the smaller gap. A cut is found on sums per source and bucket of the
+ranks, 12 bits at a time, so no task holds a whole source; documents are then compared with the rounds of their source.
 
 Null texts have size 0. Null is a source of its own, the last one. Rows that repeat, or that share id and text, share
-their U and are taken or left together. An empty table gives an empty one.
+their U and are taken or left together; of documents with equal ranks too all or none are taken. An empty table gives an
+empty one. Columns other than doc_id, text and source are ignored.
 """
 
 from __future__ import annotations
@@ -18,40 +19,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import number_rows
 from .common import broadcast_if_small, materialize
 
 #: What counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Source tables of up to this many rows are broadcast.
 MAX_SOURCES = 100_000
+#: How fast rates fall with size: by 2^-SLOPE where sizes double.
+SLOPE = 0.25
+#: Ranks are logarithms of odds ratios in so many bits: STEPS to 1, from -FLOOR on.
+RANK_BITS, STEPS, FLOOR = 53, 2**44, 256
 BITS, LEVELS = 12, 2
 
 
-def hash_bits(seed: int) -> Column:
-    """The document's U as 63 bits."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))), 1)
+def uniform(seed: int) -> Column:
+    """The document's U, above 0 and below 1."""
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))), 12)
+    return (bits + 0.5) / 2.0**52
+
+
+def rank(u: Column, p: Column) -> Column:
+    """The odds ratio's place in order, as a whole number; null where p is 0. u and p are above 0 and below 1."""
+    odds = F.ln(u / (1 - u)) - F.ln(p / (1 - p))
+    return F.when(p > 0, F.floor((odds + FLOOR) * STEPS).cast("long"))
+
+
+def size_class(size: Column) -> Column:
+    """The bits of the size."""
+    return F.when(size > 0, F.length(F.bin(size))).otherwise(0)
 
 
 def targets(sources: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame:
     """(source, source_size, target): shares by weight 1..cycle in order of source, none above cap times its size.
 
-    What is above is shared out again by weight until none is: the sources at their cap are those that a common
-    level times their weight exceeds, found by running sums in order of cap over weight.
+    What is above is shared out again by weight until none is. Sources are numbered by ranges and the common level is
+    found in rounds of sums, so no task holds them all.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = sources.withColumn("weight", ((F.row_number().over(by_name) - 1) % cycle + 1).cast("double")).withColumn("most", cap * F.col("source_size"))
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    left = weighed.withColumn("total", F.sum("source_size").over(everything).cast("double"))
-    left = left.withColumn("level", (F.col("total") - F.sum("most").over(order) + F.col("most")) / (F.sum("weight").over(everything) - F.sum("weight").over(order) + F.col("weight")))
-    free = left.withColumn("common", F.min(F.when(F.col("most") / F.col("weight") > F.col("level"), F.struct(F.col("most") / F.col("weight"), F.col("level")))).over(everything)["level"])
-    return free.select("source", "source_size", F.when(F.col("common").isNull(), F.col("most")).otherwise(F.least("most", F.col("common") * F.col("weight"))).alias("target"))
+    numbered = number_rows(sources, [], [F.col("source").asc_nulls_last()], "number")
+    weighed = materialize(numbered.withColumn("weight", (F.col("number") - 1) % cycle + 1).withColumn("most", cap * F.col("source_size")), "weighed")
+    total = weighed.agg(F.sum("source_size")).first()[0] or 0
+    level, over = float("-inf"), -1
+    while True:
+        capped = F.col("most") < level * F.col("weight")
+        row = weighed.agg(F.count_if(capped), F.sum(F.when(capped, F.col("most"))), F.sum(F.when(~capped, F.col("weight")))).first()
+        if row[0] == over or not row[2]:
+            break
+        over, level = row[0], (total - (row[1] or 0.0)) / row[2]
+    return weighed.select("source", "source_size", F.least(F.col("most"), F.lit(level) * F.col("weight")).alias("target"))
 
 
-def _with(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with the columns of their source."""
-    plan = broadcast_if_small(plan.withColumnRenamed("source", "plan_source"), MAX_SOURCES)
-    return rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"])).drop("plan_source")
+def rates(classes: DataFrame, plan: DataFrame, cap: float = 3.0) -> DataFrame:
+    """(source, class, source_size, target, whole, p) of classes (source, class, words), each source at its target."""
+    named = plan.withColumnRenamed("source", "s")
+    rows = classes.join(named, classes["source"].eqNullSafe(named["s"])).drop("s").withColumn("w", F.pow(F.lit(2.0), -SLOPE * F.col("class")))
+    own, upto = Window.partitionBy("source"), Window.partitionBy("source").orderBy("class")  # some 60 classes at most
+    before = F.sum("words").over(upto) - F.col("words")
+    weight = F.sum(F.col("w") * F.col("words"))
+    rest = weight.over(own) - weight.over(upto) + F.col("w") * F.col("words")
+    rows = rows.withColumn("c", F.when(rest > 0, (F.col("target") - cap * before) / rest))
+    # the classes before the first that isn't at the cap are
+    rows = rows.withColumn("c", F.coalesce(F.min(F.when(F.col("c") * F.col("w") <= cap, F.struct("class", "c"))).over(own)["c"], F.lit(float("inf"))))
+    rate = F.when(F.col("words") > 0, F.least(F.lit(cap), F.greatest(F.lit(0.0), F.col("c") * F.col("w")))).otherwise(0.0)
+    whole = F.floor(rate + 1e-12)
+    return rows.select("source", "class", "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), rate - whole).alias("p"), (whole * F.col("words")).alias("certain"))
+
+
+def _with(rows: DataFrame, plan: DataFrame, *keys: str) -> DataFrame:
+    """rows with the columns of their source (and class)."""
+    plan = broadcast_if_small(plan.withColumnsRenamed({k: f"plan_{k}" for k in keys}), MAX_SOURCES)
+    same = [rows[k].eqNullSafe(plan[f"plan_{k}"]) for k in keys]
+    return rows.join(plan, same).drop(*[f"plan_{k}" for k in keys])
 
 
 def word_count() -> Column:
@@ -59,13 +97,13 @@ def word_count() -> Column:
 
 
 def next_cut(units: DataFrame, left: DataFrame) -> DataFrame:
-    """(source, cut, gap): the last u up to which the words of the units fit into the gap of their source, and what
+    """(source, cut, gap): the last rank up to which the words of the units fit into the gap of their source, and what
     is left of it. left: (source, gap)."""
     plan = left.select("source", F.col("gap").alias("rest"), F.lit(0).cast("long").alias("prefix"))
     for level in range(1, LEVELS + 1):
-        low = 63 - BITS * level
-        rows = _with(units, plan.select("source", "prefix")).where(F.shiftright("u", low + BITS) == F.col("prefix"))
-        sums = rows.groupBy("source", F.shiftright("u", low).alias("bucket")).agg(F.sum("words").alias("words"))
+        low = RANK_BITS - BITS * level
+        rows = _with(units, plan.select("source", "prefix"), "source").where(F.shiftright("rank", low + BITS) == F.col("prefix"))
+        sums = rows.groupBy("source", F.shiftright("rank", low).alias("bucket")).agg(F.sum("words").alias("words"))
         order = Window.partitionBy("source").orderBy("bucket")
         sums = sums.withColumn("upto", F.sum("words").over(order)).withColumnRenamed("source", "s")
         known = plan.join(sums, plan["source"].eqNullSafe(sums["s"]), "left")
@@ -75,29 +113,30 @@ def next_cut(units: DataFrame, left: DataFrame) -> DataFrame:
         plan = plan.join(pick, plan["source"].eqNullSafe(pick["s"])).drop("s")
         plan = plan.withColumn("rest", F.col("rest") - F.coalesce(F.col("b.upto") - F.col("b.words"), F.lit(0))).withColumn("prefix", F.coalesce("b.bucket", F.lit(-1)).cast("long")).drop("b")
         plan = materialize(plan, "plan")
-    low = 63 - BITS * LEVELS
-    rows = _with(units, plan.select("source", "prefix", "rest")).where(F.shiftright("u", low) == F.col("prefix"))
-    rows = rows.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("u")))
-    cut = rows.where("upto <= rest").groupBy(F.col("source").alias("s")).agg(F.max(F.struct("u", "upto")).alias("last"))
+    low = RANK_BITS - BITS * LEVELS
+    rows = _with(units, plan.select("source", "prefix", "rest"), "source").where(F.shiftright("rank", low) == F.col("prefix"))
+    rows = rows.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("rank")))
+    cut = rows.where("upto <= rest").groupBy(F.col("source").alias("s")).agg(F.max(F.struct("rank", "upto")).alias("last"))
     plan = plan.join(cut, plan["source"].eqNullSafe(cut["s"]), "left")
     below = F.shiftleft("prefix", low) - 1
-    return materialize(plan.select("source", F.coalesce("last.u", below).alias("cut"), (F.col("rest") - F.coalesce("last.upto", F.lit(0))).alias("gap")), "cuts")
+    return materialize(plan.select("source", F.coalesce("last.rank", below).alias("cut"), (F.col("rest") - F.coalesce("last.upto", F.lit(0))).alias("gap")), "cuts")
 
 
 def mixing_plan(docs: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, source, size, u) of the documents; of each source source_size, target, whole copies and the rounds
-    (after, cut, most) of the sample; (source, u, words) of the documents with several rows."""
-    sized = docs.select(F.col("doc_id").cast("long"), "source", word_count().alias("size"), hash_bits(seed).alias("u"))
+    """(doc_id, source, size, u) of the documents; of each source and class source_size, target, whole copies, p and the
+    rounds (after, cut, most) of the sample; (source, rank, words) of the ranks with several rows."""
+    sized = docs.select(F.col("doc_id").cast("long"), "source", word_count().alias("size"), uniform(seed).alias("u"))
     sized = materialize(sized, "sized")
-    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = materialize(plan.withColumn("whole", F.floor(rate)), "plan")
-    units = materialize(sized.groupBy("source", "u").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "units")
-    repeats = units.where("n > 1").select("source", "u", "words")
-    left = plan.select("source", F.lit(-1).cast("long").alias("cut"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("gap"))
+    classes = materialize(sized.groupBy("source", size_class(F.col("size")).alias("class")).agg(F.sum("size").alias("words")), "classes")
+    plan = materialize(rates(classes, targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))), "plan")
+    ranked = _with(sized.withColumn("class", size_class(F.col("size"))), plan.select("source", "class", "p"), "source", "class")
+    units = materialize(ranked.select("source", rank(F.col("u"), F.col("p")).alias("rank"), "size").where("rank is not null").groupBy("source", "rank").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "units")
+    repeats = units.where("n > 1").select("source", "rank", "words")
+    left = plan.groupBy("source").agg((F.first("target") - F.sum("certain")).alias("gap")).select("source", F.lit(-1).cast("long").alias("cut"), "gap")
+    left = materialize(left, "left")
     rounds = left.limit(0).select("source", F.col("cut").alias("after"), "cut", F.col("gap").alias("most"))
     while True:  # each round takes a document at least
-        units = materialize(_with(units.select("source", "u", "words"), left).where("u > cut and words > 0 and words <= gap").select("source", "u", "words"), "units")
+        units = materialize(_with(units.select("source", "rank", "words"), left, "source").where("rank > cut and words > 0 and words <= gap").select("source", "rank", "words"), "units")
         if units.isEmpty():
             break
         some = units.select(F.col("source").alias("s")).distinct()
@@ -107,36 +146,35 @@ def mixing_plan(docs: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame, D
         rounds = materialize(rounds.union(new.join(old, new["source"].eqNullSafe(old["s"])).select("source", "after", "cut", "most")), "rounds")
         left = new
     of_source = rounds.groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list(F.struct("after", "cut", "most"))).alias("rounds"))  # as many as rounds
-    plan = plan.join(of_source, plan["source"].eqNullSafe(of_source["s"]), "left").drop("s")
+    plan = plan.join(of_source, plan["source"].eqNullSafe(of_source["s"]), "left").drop("s", "certain")
     return sized, materialize(plan, "plan"), repeats
 
 
-def _with_words(rows: DataFrame, repeats: DataFrame, u: str, size: Column) -> DataFrame:
-    """rows with __words: the size of all rows that share the document's id and text."""
-    named = broadcast_if_small(repeats.select(F.col("source").alias("__s"), F.col("u").alias("__ru"), F.col("words").alias("__all")), MAX_SOURCES)
-    same = (rows[u] == named["__ru"]) & rows["source"].eqNullSafe(named["__s"])
-    return rows.join(named, same, "left").withColumn("__words", F.coalesce("__all", size)).drop("__s", "__ru", "__all")
-
-
-def copies(u: str = "u", plan: str = "") -> Column:
-    """How many copies of a row are taken, once it has __words and the columns of its source's plan."""
-    fits = lambda r: (F.col(u) > r["after"]) & (F.col(u) <= r["cut"]) & (F.col("__words") <= r["most"])
-    return F.col(plan + "whole") + F.coalesce(F.exists(plan + "rounds", fits), F.lit(False)).cast("long")
+def _with_copies(rows: DataFrame, repeats: DataFrame, plan: str = "") -> DataFrame:
+    """rows (__u, __size, source, the plan's columns) with __copies: how many copies of a row are taken."""
+    of = lambda c: F.col(plan + c)
+    named = broadcast_if_small(repeats.select(F.col("source").alias("__s"), F.col("rank").alias("__r"), F.col("words").alias("__all")), MAX_SOURCES)
+    ranked = rows.withColumn("__rank", rank(F.col("__u"), of("p")))
+    joined = ranked.join(named, (ranked["__rank"] == named["__r"]) & ranked["source"].eqNullSafe(named["__s"]), "left")
+    words = F.coalesce("__all", "__size")
+    fits = lambda r: (F.col("__rank") > r["after"]) & (F.col("__rank") <= r["cut"]) & (words > 0) & (words <= r["most"])
+    copies = of("whole") + F.coalesce(F.exists(of("rounds"), fits), F.lit(False)).cast("long")
+    return joined.withColumn("__copies", copies).drop("__s", "__r", "__all", "__rank")
 
 
 def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every document."""
     sized, plan, repeats = mixing_plan(docs, seed)
-    rows = _with_words(_with(sized, plan), repeats, "u", F.col("size"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies().alias("copies"), (copies() * F.col("size")).alias("taken"))
+    rows = _with(sized.withColumn("class", size_class(F.col("size"))), plan, "source", "class")
+    out = _with_copies(rows.withColumn("__u", F.col("u")).withColumn("__size", F.col("size")), repeats)
+    return out.select("doc_id", "source", "size", "source_size", "target", F.col("__copies").alias("copies"), (F.col("__copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
     _, plan, repeats = mixing_plan(docs, seed)
-    named = plan.select(F.struct(*plan.columns).alias("__plan"))
-    named = broadcast_if_small(named, MAX_SOURCES)
-    rows = docs.withColumn("__u", hash_bits(seed)).join(named, docs["source"].eqNullSafe(named["__plan.source"]))
-    rows = _with_words(rows, repeats, "__u", word_count())
-    repeated = rows.withColumn("__n", copies("__u", "__plan.").cast("int")).where("__n > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__n"))))
-    return repeated.select(*docs.columns)
+    named = broadcast_if_small(plan.select(F.struct(*plan.columns).alias("__plan")), MAX_SOURCES)
+    rows = docs.withColumn("__u", uniform(seed)).withColumn("__size", word_count()).withColumn("__class", size_class(F.col("__size")))
+    rows = rows.join(named, rows["source"].eqNullSafe(named["__plan.source"]) & (rows["__class"] == named["__plan.class"]))
+    rows = _with_copies(rows, repeats, "__plan.").withColumn("__n", F.col("__copies").cast("int"))
+    return rows.where("__n > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__n")))).select(*docs.columns)

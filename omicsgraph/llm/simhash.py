@@ -195,9 +195,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def keep_only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The documents named in keep (keep: no_id, doc_id, text_key), each once, with the columns of docs."""
-    keep = keep.select(F.col("keep.doc_id").alias("__id"), F.col("keep.text_key").alias("__key"))
+    """The documents named in keep (keep: no_id, doc_id, text_key), each once, with the columns of docs.
+
+    Texts are shuffled once: what they are joined by is also what repeated rows are told by.
+    """
+    wanted = keep.select(F.col("keep.no_id").alias("__no"), F.coalesce("keep.doc_id", F.lit(0)).alias("__id"), F.col("keep.text_key").alias("__key"))
     id_, key = doc_key()
-    keyed = docs.withColumn("__text_key", key)
-    kept = keyed.join(keep.hint("shuffle_hash"), keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)
+    keyed = docs.withColumn("__no", id_.isNull()).withColumn("__id", F.coalesce(id_.cast("long"), F.lit(0))).withColumn("__key", key)
+    kept = keyed.join(wanted.hint("shuffle_hash"), ["__no", "__id", "__key"], "left_semi")
+    return kept.dropDuplicates(["__no", "__id", "__key"]).select(*docs.columns)
