@@ -3,32 +3,46 @@
 Words (runs of letters, in lower case, with spaces around) are cut into 4-grams of characters. Their counts by
 language are summed over all training documents. The highest order is discounted by count, the lower ones by the
 number of characters seen before them, each interpolated with the next lower one, the lowest with the uniform
-distribution. A model is a set of sorted arrays of packed n-grams. A text goes to the language with the lowest
-cross-entropy per character; it is rejected if that is above what all but a few of that language's calibration
-documents have.
-
-At most `max_ngrams` 4-grams of all languages together, the most frequent ones of each, make the models that are
-broadcast (of equally frequent ones all or none). Null texts and texts without letters have language `und`, score 0, and are rejected. Rows that repeat stay.
+distribution. All orders are computed on Spark, over all n-grams. A model is a set of sorted arrays of packed n-grams.
+They are read in shards of up to `shard_rows` rows, dealt by the middle two characters of a 4-gram: each shard is
+broadcast and adds the logarithms of its n-grams to the sums of the texts, which are whole numbers, so that any number
+of shards gives the same sums.
+
+A text goes to the language with the lowest cross-entropy per character (of equal ones the first by name). It is
+rejected if its excess over that language's mean, times the root of its length, is above what all but `rejected` of the
+language's calibration documents have. The score is the probability of the language among all, on evidence of 50
+characters at most (a longer text counts like one of 50 with its mean entropy).
+
+Null texts and texts without letters have language `und`, score 0, and are rejected. Rows that repeat stay. An empty
+table gives an empty one, and without labelled rows every document is `und`. Characters above U+FFFF share the code
+points of the private use area.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, by_bytes, map_arrow, materialize
+from .common import by_bytes, map_arrow, materialize
 
 ORDER = 4
 FOLDS = 5
 SLICE = 2 << 20
 NONE = "und"
-#: Bits of a character in a packed n-gram; higher code points are folded.
+#: Bits of a character in a packed n-gram.
 BITS = 16
+#: The private use area, where higher code points are put.
+PRIVATE, PRIVATE_SIZE = 0xE000, 0x1900
+#: Logarithms are held in whole units of 2^-LOG_BITS.
+LOG_BITS = 24
+#: Rows of models that are broadcast at once (some 32 bytes each), and languages.
+SHARD_ROWS, MAX_LANGS = 4_000_000, 10_000
 FLUSH = 1_000_000
 
 # ---------------------------------------------------------------- n-grams
@@ -50,7 +64,8 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Packed 4-grams of the words in order, and how many each word has: one for each character and one for its end."""
     pad = " " * (ORDER - 1)
     joined = "".join([pad + w + " " for w in words])
-    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64) & np.uint64((1 << BITS) - 1)
+    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    code = np.where(code > 0xFFFF, PRIVATE + code % PRIVATE_SIZE, code).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     grams = np.zeros(max(0, len(code) - ORDER + 1), np.uint64)
     for k in range(ORDER):
@@ -113,28 +128,12 @@ class Order:
     back: np.ndarray
 
 
+@dataclass
 class KneserNey:
-    """Interpolated model of the counts of packed 4-grams."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        order = np.argsort(grams)
-        keys, n = grams[order], counts[order].astype(float)
-        levels = []
-        for size in range(ORDER, 0, -1):
-            levels.append((keys, n))
-            if size > 1:  # the count of a shorter n-gram is how many characters it was seen after
-                mask = np.uint64((1 << (BITS * (size - 1))) - 1)
-                keys, n = _sum_by(keys & mask, np.ones(len(keys)))
-        self.uniform = 1 / (len(levels[-1][0]) + 1)
-        self.orders: list[Order] = []  # lowest first
-        for keys, n in reversed(levels):
-            once, twice = (n == 1).sum(), (n == 2).sum()
-            d = once / (once + 2 * twice) if once and twice else 0.5
-            contexts, inverse = np.unique(keys >> np.uint64(BITS), return_inverse=True)
-            total, kinds = np.bincount(inverse, n), np.bincount(inverse)
-            back = d * kinds / total
-            lower = self.probability(keys, len(self.orders)) if self.orders else np.full(len(keys), self.uniform)
-            self.orders.append(Order(keys, np.maximum(n - d, 0) / total[inverse] + back[inverse] * lower, contexts, back))
+    """One language's orders, lowest first (those of 3 and 4 characters as far as a shard has them)."""
+
+    orders: list[Order]
+    uniform: float
 
     def probability(self, grams: np.ndarray, size: int = ORDER) -> np.ndarray:
         """Of the last character of each n-gram (its lowest `size` characters) given the others."""
@@ -152,37 +151,40 @@ class KneserNey:
         return out
 
 
-class Languages:
-    """The models, and the logarithms of all known 4-grams under each."""
+def middle(grams: np.ndarray) -> np.ndarray:
+    """The middle two characters of 4-grams."""
+    return (grams >> np.uint64(BITS)) & np.uint64((1 << (2 * BITS)) - 1)
 
-    def __init__(self, models: dict[str, KneserNey]):
-        self.names = sorted(models)
-        self.models = [models[n] for n in self.names]
-        self.grams = np.unique(np.concatenate([m.orders[-1].grams for m in self.models])) if models else np.zeros(0, np.uint64)
-        self.table = np.stack([np.log2(m.probability(self.grams)) for m in self.models], axis=1).astype(np.float32) if models else None
 
-    def logs(self, grams: np.ndarray) -> np.ndarray:
-        at, found = _find(self.grams, grams)
-        out = self.table[at] if len(self.grams) else np.zeros((len(grams), len(self.models)), np.float32)
-        rest = np.flatnonzero(~found)
-        if len(rest):
-            kinds, inverse = np.unique(grams[rest], return_inverse=True)
-            out[rest] = np.stack([np.log2(m.probability(kinds)) for m in self.models], axis=1)[inverse]
-        return out
+@dataclass
+class Shard:
+    """What the 4-grams whose middle falls into this shard need of all models."""
+
+    names: list[str]
+    models: list[KneserNey]
+    number: int
+    shards: int
 
-    def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character of each text under each model, and the number of characters."""
+    def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the sum of the logarithms of this shard's n-grams under each model, and how many n-grams it has
+        in all shards."""
         words, codes, of_text = distinct_words(texts)
-        per_word = np.zeros((len(words), len(self.models)))
+        per_word = np.zeros((len(words), len(self.models)), np.int64)
         sizes = np.zeros(len(words), np.int64)
         for k in range(0, len(words), 20_000):
-            grams, sizes[k : k + 20_000] = word_grams(words[k : k + 20_000])
-            begin = np.cumsum(sizes[k : k + 20_000]) - sizes[k : k + 20_000]
+            grams, n = word_grams(words[k : k + 20_000])
+            sizes[k : k + 20_000] = n
             if len(grams):
-                per_word[k : k + 20_000] = np.add.reduceat(self.logs(grams), begin, axis=0, dtype=np.float64)
-        n = np.bincount(of_text, sizes[codes], len(texts))
-        total = np.stack([np.bincount(of_text, per_word[codes, k], len(texts)) for k in range(len(self.models))], axis=1)
-        return -total / np.maximum(n, 1)[:, None], n
+                kinds, inverse = np.unique(grams, return_inverse=True)
+                logs = np.zeros((len(kinds), len(self.models)), np.int64)
+                mine = np.flatnonzero(middle(kinds) % np.uint64(self.shards) == np.uint64(self.number))
+                for m, model in enumerate(self.models):
+                    logs[mine, m] = np.rint(np.log2(model.probability(kinds[mine])) * 2.0**LOG_BITS)
+                per_word[k : k + 20_000] = np.add.reduceat(logs[inverse], np.cumsum(n) - n, axis=0)
+        order = np.argsort(of_text, kind="stable")
+        begin = np.searchsorted(of_text[order], np.arange(len(texts) + 1))
+        running = np.concatenate([np.zeros((1, len(self.models)), np.int64), np.cumsum(per_word[codes[order]], axis=0)])
+        return running[begin[1:]] - running[begin[:-1]], np.bincount(of_text, sizes[codes], len(texts)).astype(np.int64)
 
 
 # ---------------------------------------------------------------- the job
@@ -192,82 +194,166 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
+@dataclass
+class Languages:
+    """The models as tables: grams (lang, size, gram, p) and contexts (lang, size, context, back); by language the
+    probability that the lowest order falls back on."""
+
+    names: list[str]
+    uniform: dict[str, float]
+    grams: DataFrame | None
+    contexts: DataFrame | None
+    shards: int
+
+    def shard(self, number: int) -> Shard:
+        """One shard's rows, read to the driver; their number is bounded by SHARD_ROWS, besides what all shards have."""
+        mine = (F.col("size") < 3) | (F.pmod(F.col("mid"), F.lit(self.shards)) == number)
+        grams = self.grams.where(mine).select("lang", "size", "key", "p").toPandas()
+        contexts = self.contexts.where(mine).select("lang", "size", "key", "back").toPandas()
+        of = {k: g for k, g in grams.groupby(["lang", "size"])}
+        ctx = {k: g for k, g in contexts.groupby(["lang", "size"])}
+
+        def arrays(table: dict, lang: str, size: int, value: str) -> tuple[np.ndarray, np.ndarray]:
+            if (lang, size) not in table:
+                return np.zeros(0, np.uint64), np.zeros(0)
+            keys = table[lang, size]["key"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(keys)
+            return keys[order], table[lang, size][value].to_numpy(float)[order]
+
+        models = [KneserNey([Order(*arrays(of, lang, k, "p"), *arrays(ctx, lang, k, "back")) for k in range(1, ORDER + 1)], self.uniform[lang]) for lang in self.names]
+        return Shard(self.names, models, number, self.shards)
+
+
 @dataclass
 class Identifier:
     languages: Languages
+    means: dict[str, float]
     limits: dict[str, float]
 
 
+def fold(id_col: str = "doc_id") -> Column:
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all documents with text and lang."""
     labelled = docs.where("text is not null and lang is not null").select("text", "lang")
     return map_arrow(labelled, _count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, max_ngrams: int = 1_000_000) -> Languages:
-    """Models of all languages of docs (text, lang)."""
-    counts = materialize(count_ngrams(docs), "grams")
-    langs = max(1, counts.select("lang").distinct().count())
-    # of each language the counts that few enough n-grams reach, found on how often each count occurs
-    times = counts.groupBy("lang", "n").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy("lang").orderBy(F.col("n").desc()))
-    least = times.withColumn("upto", upto).where(F.col("upto") <= max(1, max_ngrams // langs)).groupBy("lang").agg(F.min("n").alias("least"))
-    top = counts.join(broadcast_if_small(least, 10_000), "lang").where("n >= least").select("lang", "gram", "n")
-    rows = top.toPandas()  # max_ngrams rows at most
-    return Languages({str(k): KneserNey(g["gram"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy()) for k, g in rows.groupby("lang")})
+def _lower(size: int) -> Column:
+    """Column gram without its first character; size: of what is left."""
+    return F.col("gram").bitwiseAND(F.lit((1 << (BITS * size)) - 1))
 
 
-def _scores(docs: DataFrame, languages: Languages) -> DataFrame:
-    """docs with __best (language), __entropy and __score of text; null and 0 if there are no letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(languages)
-    schema = docs.select("*").schema.add("__best", "string").add("__entropy", "double").add("__score", "double")
-    place = docs.columns.index("text")
+def fit(docs: DataFrame, shard_rows: int | None = None) -> Languages:
+    """Models of all languages of docs (text, lang)."""
+    counts = {ORDER: materialize(count_ngrams(docs), "grams")}
+    for size in range(ORDER - 1, 0, -1):  # the count of a shorter n-gram is how many characters it was seen after
+        counts[size] = materialize(counts[size + 1].groupBy("lang", _lower(size).alias("gram")).agg(F.count("*").alias("n")), "grams")
+    kinds = counts[1].groupBy("lang").agg(F.count("*").alias("k")).orderBy("lang").limit(MAX_LANGS + 1).collect()
+    if len(kinds) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    uniform = {r["lang"]: 1 / (r["k"] + 1) for r in kinds}
+    if not uniform:
+        return Languages([], {}, None, None, 1)
+    lower = None
+    grams, contexts = [], []
+    for size in range(1, ORDER + 1):
+        of = counts[size]
+        d = of.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
+        d = d.select("lang", F.when((F.col("once") > 0) & (F.col("twice") > 0), F.col("once") / (F.col("once") + 2 * F.col("twice"))).otherwise(0.5).alias("d"))
+        d = F.broadcast(d)  # a row per language, MAX_LANGS at most
+        context = F.shiftrightunsigned("gram", BITS) if size > 1 else F.lit(0).cast("long")
+        of = of.withColumn("context", context)
+        ctx = of.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(d, "lang")
+        ctx = materialize(ctx.select("lang", "context", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("back")), "contexts")
+        rows = of.join(ctx, ["lang", "context"])
+        if lower is None:
+            base = F.lit(0.0)
+            for lang, u in uniform.items():
+                base = F.when(F.col("lang") == lang, u).otherwise(base)
+            rows = rows.withColumn("below", base)
+        else:
+            rows = rows.withColumn("suffix", _lower(size - 1)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
+        p = F.greatest(F.lit(0.0), F.col("n") - F.col("d")) / F.col("total") + F.col("back") * F.col("below")
+        lower = materialize(rows.select("lang", "gram", p.alias("p")), "order")
+        # of abcd the middle is bc; bcd and the contexts abc and bc have it too
+        mid = {ORDER: F.shiftrightunsigned("gram", BITS), ORDER - 1: F.shiftrightunsigned("gram", BITS)}.get(size, F.lit(0).cast("long"))
+        pair = (1 << (2 * BITS)) - 1
+        grams.append(lower.select("lang", F.lit(size).alias("size"), F.col("gram").alias("key"), "p", mid.bitwiseAND(F.lit(pair)).alias("mid")))
+        contexts.append(ctx.select("lang", F.lit(size).alias("size"), F.col("context").alias("key"), "back", F.col("context").bitwiseAND(F.lit(pair)).alias("mid")))
+    every = [reduce(DataFrame.unionByName, t) for t in (grams, contexts)]
+    rows = sum(t.count() for t in every)
+    return Languages(list(uniform), uniform, *every, max(1, -(-rows // (shard_rows or SHARD_ROWS))))
+
+
+def _add_shard(docs: DataFrame, shard: Shard) -> DataFrame:
+    """docs with the sums of a shard added to __sums, and __n."""
+    shared = docs.sparkSession.sparkContext.broadcast(shard)
+    place, sums_at, n_at = (docs.columns.index(c) for c in ("text", "__sums", "__n"))
 
     def run(batches):
-        langs = shared.value
         for whole in batches:
             for batch in by_bytes(whole, "text", SLICE):
-                texts = batch.column(place)
-                best, entropy, score = [None] * len(texts), [None] * len(texts), [0.0] * len(texts)
-                if langs.models:
-                    all_, n = langs.entropies(texts)
-                    for k in np.flatnonzero(n).tolist():
-                        row = all_[k]
-                        at = int(np.argmin(row))
-                        best[k], entropy[k] = langs.names[at], float(row[at])
-                        score[k] = float(1 / np.exp2(-np.minimum(60, (row - row[at]) * min(n[k], 50))).sum())
-                added = [pa.array(best, pa.string()), pa.array(entropy, pa.float64()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "__best", "__entropy", "__score"])
-
-    return map_arrow(docs, run, schema)
+                sums, n = shared.value.sums(batch.column(place))
+                old = np.array([x if x is not None else [0] * sums.shape[1] for x in batch.column(sums_at).to_pylist()], np.int64).reshape(sums.shape)
+                columns = list(batch.columns)
+                columns[sums_at] = pa.array(list(sums + old), pa.list_(pa.int64()))
+                columns[n_at] = pa.array(n)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
+    return map_arrow(docs, run, docs.schema)
 
-def train(docs: DataFrame, quantile: float = 0.999, slack: float = 1.0) -> Identifier:
-    """Models from the training folds but one, limits from that one (fold 0 isn't looked at).
 
-    A limit is the quantile of the cross-entropies of a language's documents, plus `slack` bits per character.
-    """
+def _scores(docs: DataFrame, languages: Languages) -> DataFrame:
+    """docs with __best (language), __entropy, __n and __score of text; null and 0 if there are no letters."""
+    out = docs.withColumn("__sums", F.lit(None).cast("array<long>")).withColumn("__n", F.lit(0).cast("long"))
+    if languages.names:
+        for k in range(languages.shards):
+            out = _add_shard(out, languages.shard(k))
+            if k + 1 < languages.shards:
+                out = materialize(out, "sums")
+    bits = F.transform("__sums", lambda x: -x / F.greatest(F.col("__n"), F.lit(1)) / 2.0**LOG_BITS)
+    some = F.col("__n") > 0 if languages.names else F.lit(False)
+    out = out.withColumn("__bits", F.when(some, bits)).withColumn("__entropy", F.array_min("__bits"))
+    names = F.array(*map(F.lit, languages.names)) if languages.names else F.array().cast("array<string>")
+    best = F.get(names, F.array_position("__bits", F.col("__entropy")).cast("int") - 1)
+    others = F.aggregate("__bits", F.lit(0.0), lambda acc, x: acc + F.pow(F.lit(2.0), -F.least(F.lit(60.0), (x - F.col("__entropy")) * F.least(F.col("__n"), F.lit(50)))))
+    return out.withColumn("__best", best).withColumn("__score", F.coalesce(1 / others, F.lit(0.0))).drop("__sums", "__bits")
+
+
+def train(docs: DataFrame, rejected: float = 0.001, shard_rows: int | None = None) -> Identifier:
+    """Models from the training folds but one, means and limits from that one (fold 0 isn't looked at)."""
     labelled = docs.select("text", "lang", fold().alias("fold")).where("lang is not null and text is not null")
-    languages = fit(labelled.where("fold > 1"))
-    if not languages.models:
-        languages = fit(labelled.where("fold > 0"))
-    own = _scores(labelled.where("fold = 1").select("text", "lang"), languages).where("__best = lang")
-    limits = own.groupBy("lang").agg(F.percentile_approx("__entropy", quantile, 10_000).alias("q")).collect()  # a row per language
-    return Identifier(languages, {r["lang"]: r["q"] + slack for r in limits})
+    languages = fit(labelled.where("fold > 1"), shard_rows)
+    if not languages.names:
+        languages = fit(labelled.where("fold > 0"), shard_rows)
+    own = materialize(_scores(labelled.where("fold = 1").select("text", "lang"), languages).where("__best = lang").select("lang", "__entropy", "__n"), "calibration")
+    means = {r["lang"]: r["m"] for r in own.groupBy("lang").agg((F.sum(F.col("__entropy") * F.col("__n")) / F.sum("__n")).alias("m")).collect()}  # a row per language
+    limits = own.groupBy("lang").agg(F.percentile_approx(_excess(F.col("lang"), means), 1 - rejected, 10_000).alias("q")).collect()
+    return Identifier(languages, means, {r["lang"]: r["q"] for r in limits})
+
+
+def _excess(lang: Column, means: dict[str, float]) -> Column:
+    mean = F.lit(None).cast("double")
+    for name, m in means.items():
+        mean = F.when(lang == name, m).otherwise(mean)
+    return (F.col("__entropy") - mean) * F.sqrt("__n")
 
 
 def _judged(docs: DataFrame, identifier: Identifier) -> DataFrame:
     limit = F.lit(None).cast("double")
     for lang, most in identifier.limits.items():
         limit = F.when(F.col("__best") == lang, most).otherwise(limit)
-    rejected = F.col("__best").isNull() | (F.col("__entropy") > F.coalesce(limit, F.lit(float("inf"))))
-    return _scores(docs, identifier.languages).withColumn("__rejected", rejected)
+    above = F.coalesce(_excess(F.col("__best"), identifier.means) > limit, F.lit(False))
+    return _scores(docs, identifier.languages).withColumn("__rejected", F.col("__best").isNull() | above)
 
 
 def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
     """doc_id, lang_pred, score, entropy and rejected of every document; other columns are ignored.
 
-    rejected: no letters, or a cross-entropy above the limit of the language.
+    rejected: no letters, or a cross-entropy above what documents of the language have at this length.
     """
     out = _judged(docs.select("doc_id", "text"), identifier)
     return out.select("doc_id", F.coalesce("__best", F.lit(NONE)).alias("lang_pred"), F.col("__score").alias("score"), F.col("__entropy").alias("entropy"), F.col("__rejected").alias("rejected"))

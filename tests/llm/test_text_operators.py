@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -176,16 +177,32 @@ def test_formats_are_learned():
     """Held-out credentials of a format score above ordinary words."""
     rng = random.Random(3)
     made = ["tk_" + "".join(rng.choice("0123456789ABCDEF") for _ in range(28)) for _ in range(400)]
-    plain = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(8, 30))) for _ in range(400)]
-    formats = secret_scan.Formats({"key": secret_scan.Automaton(made[:200])}, secret_scan.Ordinary(plain[:200]))
+    long = ["L" + "".join(rng.choice("0123456789") for _ in range(100)) for _ in range(50)]
+    plain = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(8, 30))) + rng.choice(["", "", "."]) for _ in range(400)]
+    formats = secret_scan.fit({"key": made[:200], "number": long[:40], "ordinary": plain[:200]})
     assert len(formats.automata["key"].states) > 2  # the prefix isn't merged with the rest
-    low = min(formats.score(t)[0] for t in made[200:])
-    assert low > max(formats.score(t)[0] for t in plain[200:])
-    formats.least = low
-    assert secret_scan.spans_of(f"see {made[300]} and {plain[300]}", formats) == [("like_key", 4, 4 + len(made[300]))]
+    assert sum(formats.judge(t)[0] >= 0 for t in made[200:]) >= 180 and all(formats.judge(t)[1] == "key" for t in made[200:])
+    assert not any(formats.judge(t)[0] >= 0 for t in plain[200:])
+    assert formats.judge(long[45])[0] >= 0 and formats.judge(long[45]) > formats.judge(long[45][:60])  # whole values were learned
+    text = f"see {made[300]} and {plain[300]}"
+    assert secret_scan.spans_of(text, formats) == [("like_key", 4, 4 + len(made[300]))]
     assert secret_scan.mask_text("a secret b", [("x", 2, 8)]) == f"a {secret_scan.MASK} b"
 
 
+def test_formats_outside_the_patterns(spark, small_docs):
+    """Values of a format that documents show after a keyword are found where no keyword is; other documents stay clean."""
+    rng = random.Random(11)
+    live = lambda: "live-" + "".join(rng.choice("0123456789") for _ in range(4)) + "-" + "".join(rng.choice("ghjkmnpqrstvwxyzGHJKMNPQRSTVWXYZ23456789") for _ in range(20))
+    labelled = [(10_000 + k, f"set token={live()} now", "en", "a", 9) for k in range(150)]
+    bare = {20_000 + k: live() for k in range(100)}
+    docs = small_docs.union(spark.createDataFrame([*labelled, *[(k, f"we saw {v} there", "en", "a", 9) for k, v in bare.items()]], small_docs.schema))
+    got = {r.doc_id: r.spans for r in secret_scan.scan(docs, secret_scan.train(docs)).collect()}
+    found = sum([(x.kind, x.start, x.end) for x in got[k]] == [("like_assign", 7, 7 + len(v))] for k, v in bare.items())
+    wrong = sum(x.kind.startswith("like_") for k, spans in got.items() if k < 10_000 for x in spans)
+    assert found >= 90 and wrong <= 2
+    assert all(x.score is not None for k, spans in got.items() if k >= 10_000 for x in spans)
+
+
 # ---------------------------------------------------------------- top-k
 
 
@@ -264,16 +281,55 @@ def test_license_phrases_and_templates(docs):
 # ---------------------------------------------------------------- language ID
 
 
-def test_kneser_ney_sums_to_one():
-    words = ["abc", "abd", "bcd", "zzz"]
-    model = langid.KneserNey(*langid._sum_by(langid.word_grams(words)[0], np.ones(sum(map(len, words)) + 4)))
-    seen = np.unique(model.orders[0].grams)
+class SlowKneserNey:
+    """The same model from plain dictionaries."""
+
+    def __init__(self, words):
+        grams = collections.Counter(f"   {w} "[k : k + 4] for w in words for k in range(len(w) + 1))
+        self.levels = {4: grams}
+        for size in (3, 2, 1):
+            self.levels[size] = collections.Counter(g[1:] for g in self.levels[size + 1])
+        self.d, self.context = {}, {}
+        for size, level in self.levels.items():
+            once, twice = (sum(n == k for n in level.values()) for k in (1, 2))
+            self.d[size] = once / (once + 2 * twice) if once and twice else 0.5
+            for g, n in level.items():
+                total, kinds = self.context.get((size, g[:-1]), (0, 0))
+                self.context[size, g[:-1]] = total + n, kinds + 1
+
+    def p(self, gram):
+        if not gram:
+            return 1 / (len(self.levels[1]) + 1)
+        size = len(gram)
+        if (size, gram[:-1]) not in self.context:
+            return self.p(gram[1:])
+        total, kinds = self.context[size, gram[:-1]]
+        return max(self.levels[size][gram] - self.d[size], 0) / total + self.d[size] * kinds / total * self.p(gram[1:]) if gram in self.levels[size] else self.d[size] * kinds / total * self.p(gram[1:])
+
+
+def test_kneser_ney(spark, small_docs, monkeypatch):
+    """Entropies and languages equal those of a slow model, with one shard and with several; chances sum to one."""
+    words = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    rows = small_docs.select("doc_id", "text", "lang", langid.fold().alias("fold")).collect()
+    slow = {lang: SlowKneserNey([w for r in rows if r.fold > 1 and r.lang == lang for w in words(r.text)]) for lang in {r.lang for r in rows if r.lang}}
+    model = slow[min(slow)]
     for context in ("   ", "  a", " ab", "qqq"):
-        c = 0
-        for ch in context:
-            c = c << 16 | ord(ch)
-        p = model.probability(np.array([c << 16 | int(x) for x in seen] + [c << 16 | 9999], np.uint64))
-        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
+        assert abs(sum(model.p(context + c) for c in model.levels[1]) + model.p(context + "\u3042") - 1) < 1e-9
+    seen = []
+    for shard_rows in (None, 3000):
+        identifier = langid.train(small_docs, shard_rows=shard_rows)
+        assert (identifier.languages.shards > 3) == bool(shard_rows)
+        seen.append(sorted(map(tuple, langid.identify(small_docs, identifier).collect())))
+    assert seen[0] == seen[1]
+    got = {r[0]: r for r in seen[0]}
+    for r in rows[:60]:
+        w = words(r.text)
+        n = sum(len(x) + 1 for x in w)
+        if n:
+            bits = {lang: -sum(np.log2(m.p(f"   {x} "[k : k + 4])) for x in w for k in range(len(x) + 1)) / n for lang, m in slow.items()}
+            best = min(sorted(bits), key=bits.get)
+            assert got[r.doc_id][1] == best and abs(got[r.doc_id][3] - bits[best]) < 1e-6
+            assert abs(got[r.doc_id][2] - 1 / sum(2 ** -((b - bits[best]) * min(n, 50)) for b in bits.values())) < 1e-5
 
 
 def test_language_id(spark, edge_docs):
@@ -292,18 +348,6 @@ def test_language_id(spark, edge_docs):
     assert kept.columns == edge_docs.columns and {2, 3, 6, 7}.isdisjoint(r.doc_id for r in kept.collect())
 
 
-def test_ngrams_within_the_bound(spark, small_docs):
-    counts = langid.count_ngrams(small_docs).collect()
-    few = langid.fit(small_docs, max_ngrams=400)
-    langs = {r.lang for r in counts}
-    assert set(few.names) == langs
-    for name, model in zip(few.names, few.models):
-        own = {np.uint64(r.gram % 2**64): r.n for r in counts if r.lang == name}
-        kept = set(model.orders[-1].grams.tolist())
-        assert 0 < len(kept) <= 400 // len(langs)
-        assert min(own[np.uint64(g)] for g in kept) > max(n for g, n in own.items() if int(g) not in kept)
-
-
 def test_language_id_uses_training_rows_only(spark):
     """Changing the language of held-out rows changes nothing."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
