@@ -9,8 +9,8 @@ broadcast and adds the logarithms of its n-grams to the sums of the texts, which
 of shards gives the same sums.
 
 A text goes to the language with the lowest cross-entropy per character (of equal ones the first by name). It is
-rejected if its excess over that language's mean, times the root of its length, is above what all but `rejected` of the
-language's calibration documents have. The score is the probability of the language among all, on evidence of 50
+rejected if its excess over that language's mean, times the root of its length, is above that language's limit, which is
+set by its calibration documents. The score is the probability of the language among all, on evidence of 50
 characters at most (a longer text counts like one of 50 with its mean entropy).
 
 Null texts and texts without letters have language `und`, score 0, and are rejected. Rows that repeat stay. An empty
@@ -98,6 +98,7 @@ def _count_grams(batches):
             for lang in pc.unique(langs).to_pylist():
                 words, codes, _ = distinct_words(batch.column(0).filter(pc.equal(langs, lang)))
                 times = np.bincount(codes, minlength=len(words))
+                words, times = [w for w, n in zip(words, times) if n], times[times > 0]  # the empty string is no word
                 grams, sizes = word_grams(words)
                 held.setdefault(lang, []).append(_sum_by(grams, np.repeat(times, sizes).astype(float)))
                 if len(held[lang]) > 8:
@@ -323,16 +324,21 @@ def _scores(docs: DataFrame, languages: Languages) -> DataFrame:
     return out.withColumn("__best", best).withColumn("__score", F.coalesce(1 / others, F.lit(0.0))).drop("__sums", "__bits")
 
 
-def train(docs: DataFrame, rejected: float = 0.001, shard_rows: int | None = None) -> Identifier:
-    """Models from the training folds but one, means and limits from that one (fold 0 isn't looked at)."""
+def train(docs: DataFrame, rejected: float = 0.001, spread: float = 6.0, shard_rows: int | None = None) -> Identifier:
+    """Models from the training folds but one, means and limits from that one (fold 0 isn't looked at).
+
+    A limit is passed by a share `rejected` of the calibration documents. As few documents show no such quantile, it is
+    `spread` times the distance from the median to the 84 % quantile above the median at least.
+    """
     labelled = docs.select("text", "lang", fold().alias("fold")).where("lang is not null and text is not null")
     languages = fit(labelled.where("fold > 1"), shard_rows)
     if not languages.names:
         languages = fit(labelled.where("fold > 0"), shard_rows)
     own = materialize(_scores(labelled.where("fold = 1").select("text", "lang"), languages).where("__best = lang").select("lang", "__entropy", "__n"), "calibration")
     means = {r["lang"]: r["m"] for r in own.groupBy("lang").agg((F.sum(F.col("__entropy") * F.col("__n")) / F.sum("__n")).alias("m")).collect()}  # a row per language
-    limits = own.groupBy("lang").agg(F.percentile_approx(_excess(F.col("lang"), means), 1 - rejected, 10_000).alias("q")).collect()
-    return Identifier(languages, means, {r["lang"]: r["q"] for r in limits})
+    points = F.percentile_approx(_excess(F.col("lang"), means), [1 - rejected, 0.84, 0.5], 10_000)
+    limits = own.groupBy("lang").agg(points.alias("q")).collect()
+    return Identifier(languages, means, {r["lang"]: max(r["q"][0], r["q"][2] + spread * (r["q"][1] - r["q"][2])) for r in limits})
 
 
 def _excess(lang: Column, means: dict[str, float]) -> Column:
