@@ -324,7 +324,7 @@ def _scores(docs: DataFrame, languages: Languages) -> DataFrame:
     return out.withColumn("__best", best).withColumn("__score", F.coalesce(1 / others, F.lit(0.0))).drop("__sums", "__bits")
 
 
-def train(docs: DataFrame, rejected: float = 0.001, spread: float = 6.0, shard_rows: int | None = None) -> Identifier:
+def train(docs: DataFrame, rejected: float = 0.001, spread: float = 8.0, shard_rows: int | None = None) -> Identifier:
     """Models from the training folds but one, means and limits from that one (fold 0 isn't looked at).
 
     A limit is passed by a share `rejected` of the calibration documents. As few documents show no such quantile, it is

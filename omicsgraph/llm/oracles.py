@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
+from .license_scan import PHRASES, TEMPLATES, half_block, needed
 
-from .license_scan import PHRASES, TEMPLATES
-
-_STEP = max(len(t.split()) for t in TEMPLATES.values())
-_TOKENS = ", ".join(f"('{k}', '{w}')" for k, t in TEMPLATES.items() for w in sorted(set(re.findall("[a-z0-9]+", t))))
+_SETS = {k: (half_block(t), sorted(set(t.split()))) for k, t in TEMPLATES.items()}
+_TOKENS = ", ".join(f"('{k}', {step}, {len(ws)}, {needed(len(ws), 0.8)}, '{w}')" for k, (step, ws) in _SETS.items() for w in ws)
 _PHRASE = " or ".join(f"({' and '.join(f"w{k}='{w}'" for k, w in enumerate(p.split()))})" for p in PHRASES)
 _LABEL = " ".join(f"when {' and '.join(f"w{k}='{w}'" for k, w in enumerate(p.split()))} then '{label}'" for p, label in PHRASES.items())
 
@@ -36,10 +34,9 @@ pos_ as (select doc_id, unnest(ws) w0, unnest(range(0, len(ws))) i from w),
 next as (select doc_id, i, w0, lead(w0) over o w1, lead(w0, 2) over o w2 from pos_ window o as (partition by doc_id order by i)),
 place as (select doc_id, i, case {_LABEL} end label from next where {_PHRASE}),
 base as (select doc_id, count(*) n, min(i) a, max(i) b, string_agg(distinct label, ',' order by label) labels from place group by doc_id),
-t(label, tok) as (values {_TOKENS}),
-size as (select label, count(*) n from t group by label),
-block as (select distinct doc_id, w0 tok, i//{_STEP}-k block from pos_ cross join (select unnest([0, 1]) k) where w0 in (select tok from t)),
-share as (select b.doc_id, b.block, t.label, count(*)/any_value(s.n)::double x from block b join t on t.tok=b.tok join size s on s.label=t.label group by b.doc_id, b.block, t.label having count(*)>=0.8*any_value(s.n)-1e-9),
+t(label, step, n, need, tok) as (values {_TOKENS}),
+block as (select distinct doc_id, tok, step, i//step-k block from (select doc_id, i, w0 from pos_ where w0 in (select tok from t)) join (select distinct tok, step from t) on tok=w0 cross join (select unnest([0, 1]) k)),
+share as (select b.doc_id, b.block, t.label, count(*)/any_value(t.n)::double x from block b join t on t.tok=b.tok and t.step=b.step group by b.doc_id, b.block, t.label having count(*)>=any_value(t.need)),
 found as (select doc_id, label, max(x) x from share group by doc_id, label),
 every as (select doc_id, string_agg(distinct label, ',' order by label) labels from (select doc_id, label from found union all select doc_id, label from place) group by doc_id),
 best as (select doc_id, max(x) x from found group by doc_id)

@@ -266,11 +266,13 @@ def test_license_phrases_and_templates(docs):
         return len(w), len(at), min((a for a, _ in at), default=None), max((a for a, _ in at), default=None), tuple(sorted({x for _, x in at}))
 
     def labels(t):
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
-        step = max(len(x.split()) for x in license_scan.TEMPLATES.values())
-        blocks = [set(w[b : b + 2 * step]) for b in range(-step, len(w) + 1, step) for b in [max(b, 0)]] if w else []
-        sets = {k: set(x.split()) for k, x in license_scan.TEMPLATES.items()}
-        return tuple(sorted(k for k, s in sets.items() if any(len(s & b) >= 0.8 * len(s) - 1e-9 for b in blocks)))
+        w, found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), []
+        for label, template in license_scan.TEMPLATES.items():
+            step, words = license_scan.half_block(template), set(template.split())
+            blocks = [set(w[max(b, 0) : b + 2 * step]) for b in range(-step, len(w) + 1, step)]
+            if any(len(words & b) >= license_scan.needed(len(words), 0.8) for b in blocks):
+                found.append(label)
+        return tuple(sorted(found))
 
     got = license_scan.scan(docs).collect()
     assert multiset((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, tuple(sorted(set(r.base)))) for r in got) == multiset((i, *brute(t)) for i, t in texts(docs))
@@ -278,6 +280,13 @@ def test_license_phrases_and_templates(docs):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_license_notices(spark):
+    mit = license_scan.TEMPLATES["mit"].split()
+    texts = ["the painter under contract released twelve works. license to the sea is a song", "x " * 37 + "Released under the MIT License. " + "y " * 9, "z " * 90 + " ".join(w for k, w in enumerate(mit) if k % 9) + " end", " ".join(mit[:20]), "general public \u212aicense"]
+    got = {r.doc_id: sorted(r.found) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: [], 1: ["mit-line"], 2: ["mit"], 3: [], 4: []}
+
+
 # ---------------------------------------------------------------- language ID
 
 
