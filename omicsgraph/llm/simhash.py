@@ -3,7 +3,8 @@
 Documents with equal fingerprints are one node. Two fingerprints that differ in at most 2 of 64 bits agree in at
 least 3 of 5 bands of bits, so each fingerprint is dealt to the ten groups of three bands. A group is a shard: its
 BK-tree has children keyed by the Hamming distance to their parent, and a search follows only the edges within the
-radius. Trees aren't broadcast, since all fingerprints together grow with the input. Each shard gives a spanning
+radius. Trees aren't broadcast, since all fingerprints together grow with the input; large groups are split by the
+distance to a root, which is a tree's top level made on Spark. Each shard gives a spanning
 forest of its links (stars), which keeps every connection, and stars are joined to components by rounds of pointing
 neighbours at smaller nodes.
 
@@ -12,6 +13,7 @@ Null texts have no words, hence fingerprint zero. Null ids never name a componen
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -20,13 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, doc_key, map_arrow, materialize
+from .common import broadcast_if_small, by_bytes, doc_key, map_arrow, materialize
 
 RADIUS = 2
 #: Bits of the bands, and the groups of three bands that two near fingerprints may share.
 BANDS = (13, 13, 13, 13, 12)
 SEED = 42
 SLICE = 1 << 20
+#: Fingerprints of a tree at most, and keys of larger groups that are broadcast.
+MAX_TREE, MAX_LARGE = 20_000, 500_000
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> list[int]:
@@ -144,10 +148,36 @@ def _search(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
 
-def near_links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect all within the radius."""
-    keys = F.array(*[F.struct(F.lit(k).cast("byte").alias("bands"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(band_masks())])
-    groups = fps.select("fp", F.explode(keys).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("members"))
+def near_links(fps: DataFrame, most: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) that connect all within the radius.
+
+    A group of more than `most` fingerprints is too large for one tree. Its top level is made on Spark: members are dealt
+    by their distance to the least one, which is the root, and a shard holds RADIUS + 1 neighbouring distances, as two
+    members within the radius are at distances no further apart. Shards that are still too large are dealt again.
+    """
+    most = most or MAX_TREE
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(band_masks())])
+    dealt = fps.select(F.explode(keys).alias("key"), "fp")
+    found, before = [], None
+    while True:
+        sizes = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("root"))
+        large = materialize(sizes.where(F.col("n") > most), "large")
+        largest = large.agg(F.max("n")).first()[0]
+        if largest is None:
+            found.append(dealt)
+            break
+        dealt = materialize(dealt, "dealt") if before is None else dealt
+        if before is not None and largest >= before:  # no smaller any more: members are all as far from each other
+            found.append(dealt)
+            break
+        before = largest
+        hot = dealt.join(large, "key")  # counted rows on both sides, so that Spark can split a hot key
+        found.append(dealt.join(broadcast_if_small(large.select("key"), MAX_LARGE), "key", "left_anti"))
+        ring = F.bit_count(F.col("fp").bitwiseXOR(F.col("root")))
+        rings = F.explode(F.transform(F.sequence(F.lit(0), F.lit(RADIUS)), lambda k: ring - k)).alias("ring")
+        dealt = materialize(hot.select("key", "fp", rings).where("ring >= 0").select(F.xxhash64("key", "ring").alias("key"), "fp"), "dealt")
+    every = reduce(DataFrame.union, found)
+    groups = every.groupBy("key").agg(F.collect_list("fp").alias("members"))
     return map_arrow(groups.where(F.size("members") > 1).select("members"), _search, "a long, b long")
 
 
