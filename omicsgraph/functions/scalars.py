@@ -29,7 +29,7 @@ def parse_region_id(region_id: Column, strict: bool = True) -> Column:
     part = lambda k: F.regexp_extract(text, REGION_ID, k)
     a, b = part(2).try_cast("bigint"), part(3).try_cast("bigint")
     good = F.struct(part(1).alias("chrom"), F.least(a, b).alias("start"), F.greatest(a, b).alias("end"))
-    bad = F.raise_error(F.concat(F.lit("Bad region_id format: "), F.coalesce(region_id, F.lit("null")))) if strict else F.lit(None)
+    bad = F.raise_error(F.concat(F.lit("not a region id such as Chr1:10-20: "), F.coalesce(region_id, F.lit("null")))) if strict else F.lit(None)
     return F.when(text.rlike(REGION_ID), good).otherwise(bad)
 
 

@@ -14,6 +14,10 @@ from ..sources.shared import materialize
 from .joins import small
 
 
+#: Terms of tails that are added up at once.
+TERMS = 1_000_000
+
+
 def build_gene2go(gaf: DataFrame) -> DataFrame:
     """Distinct (gene_id, go_id)."""
     return gaf.select("gene_id", "go_id").distinct()
@@ -51,19 +55,27 @@ def hypergeom_sf(k: Column, m: Column, n: Column, big_n: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def _tail(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     logs = np.zeros(1)  # logarithms of factorials, as far as needed
-    for k, m, n, big_n in rows:
+    for series in rows:
+        k, m, n, big_n = (x.to_numpy(np.int64) for x in series)
         most = int(m.max()) if len(m) else 0
         if most >= len(logs):
             logs = np.cumsum(np.r_[0.0, np.log(np.arange(1, most + 1))])
         choose = lambda a, b: logs[a] - logs[b] - logs[a - b]
-        out = []
-        for k1, m1, n1, big1 in zip(k, m, n, big_n):
-            x = np.arange(max(k1, big1 + n1 - m1, 0), min(n1, big1) + 1)
-            if not len(x):
-                out.append(0.0)
-                continue
-            t = choose(n1, x) + choose(m1 - n1, big1 - x) - choose(m1, big1)
-            out.append(min(1.0, float(np.exp(t.max()) * np.exp(t - t.max()).sum())))
+        low = np.maximum(np.maximum(k, big_n + n - m), 0)
+        terms = np.maximum(np.minimum(n, big_n) - low + 1, 0)
+        out = np.zeros(len(k))
+        upto, some = np.cumsum(terms), np.flatnonzero(terms)
+        start = 0
+        while start < len(some):  # rows with about TERMS terms together
+            end = max(start + 1, int(np.searchsorted(upto[some], upto[some[start]] - terms[some[start]] + TERMS, side="right")))
+            at = some[start:end]
+            begin = np.cumsum(terms[at]) - terms[at]
+            row = np.repeat(at, terms[at])
+            x = low[row] + np.arange(len(row)) - np.repeat(begin, terms[at])
+            t = choose(n[row], x) + choose(m[row] - n[row], big_n[row] - x) - choose(m[row], big_n[row])
+            top = np.maximum.reduceat(t, begin)
+            out[at] = np.minimum(1.0, np.exp(top) * np.add.reduceat(np.exp(t - np.repeat(top, terms[at])), begin))
+            start = end
         yield pd.Series(out, dtype=float)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import number_rows
+
 
 def match_labels(samples: DataFrame, labels: DataFrame, strict: bool = True) -> DataFrame:
     """Samples with their labels; an error if none match (checked with one row)."""
@@ -16,10 +18,10 @@ def match_labels(samples: DataFrame, labels: DataFrame, strict: bool = True) ->
 
 def train_val_split(samples: DataFrame, ratio: float = 0.8, seed: int = 42) -> DataFrame:
     """(sample_id, part): the first floor(n * ratio) samples in order of md5(sample_id:seed) are for training."""
-    order = Window.orderBy(F.md5(F.concat(F.col("sample_id").cast("string"), F.lit(f":{seed}"))), "sample_id")
-    n = F.count("*").over(Window.partitionBy())
-    first = F.row_number().over(order) <= F.floor(n * F.lit(ratio))
-    return samples.select("sample_id").distinct().select("sample_id", F.when(first, "train").otherwise("val").alias("part"))
+    ids = samples.select("sample_id").distinct().withColumn("__key", F.md5(F.concat(F.col("sample_id").cast("string"), F.lit(f":{seed}"))))
+    numbered = number_rows(ids, [], [F.col("__key"), F.col("sample_id")], "__n")
+    n = numbered.agg(F.floor(F.count("*") * F.lit(ratio)).alias("__train"))
+    return numbered.crossJoin(F.broadcast(n)).select("sample_id", F.when(F.col("__n") <= F.col("__train"), "train").otherwise("val").alias("part"))  # n is a row
 
 
 def regression_metrics(pred: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
 def region_type_code(regions: DataFrame) -> DataFrame:
     """Regions with type_code, the place of rtype among the distinct types in order."""
     codes = regions.select("rtype").distinct().withColumn("type_code", (F.row_number().over(Window.orderBy("rtype")) - 1).cast("int"))
-    return regions.join(F.broadcast(codes), "rtype")  # at most as many rows as there are types
+    return regions.join(small(codes), "rtype")
 
 
 def assign_node_index(nodes: DataFrame, order: str = "node_id") -> DataFrame:

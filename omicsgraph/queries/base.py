@@ -40,7 +40,9 @@ VIEWS = {
     "fx_region": """select region_id, min(chrom) chrom, min(rstart) rstart, min(rend) rend, case max(case rel when 'promoter1000' then 4 when 'promoter500' then 3 when 'chip' then 2 else 1 end)
         when 4 then 'promoter_1000' when 3 then 'promoter_500' when 2 then 'chip_peak' else 'motif_site' end rtype from fx_region_edge group by region_id""",
     "fx_locus": """select 'gene' kind, gene_id locus_id, chrom, gstart "start", gend "end", strand from fx_gene
-        union all select 'region' kind, region_id locus_id, chrom, rstart "start", rend "end", cast(null as string) strand from fx_region""",
+        union all select 'region' kind, region_id locus_id, chrom, rstart "start", rend "end", cast(null as string) strand from fx_region
+        union all select distinct 'window' kind, chrom||':'||cast(ws as string)||'-'||cast(ws+3999 as string) locus_id, chrom, ws "start", ws+3999 "end", cast(null as string) strand
+        from (select chrom, cast(floor((floor((rstart+rend)/2.0)-1)/2000.0) as bigint)*2000+1 ws from fx_region)""",
     "fx_fg": """select 'small' set_name, gene_id, cast(p_size as double) weight from fx_gene where p_size<=10
         union all select 'large' set_name, gene_id, cast(p_size as double) weight from fx_gene where p_size>40""",
 }

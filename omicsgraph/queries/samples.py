@@ -74,7 +74,7 @@ def _loci(spark, d):
     genes = view(spark, d, "fx_gene")
     regions = view(spark, d, "fx_region")
     windows, _ = genome.build_windows(regions)
-    return variants.build_loci(genes, regions, windows.limit(0), genes.select("gene_id"))
+    return variants.build_loci(genes, regions, windows, genes.select("gene_id"))
 
 
 @register("j1_build_loci", "fx_gene fx_region", """select 'gene' kind, gene_id locus_id, chrom, greatest(1, gstart-100) locus_start, gend+100 locus_end, strand, cast(null as string) rtype from fx_gene where gene_key%3<>0
@@ -125,11 +125,11 @@ def a7(spark, d):
 
 
 MERGED = """select chrom, min(s) "start", max(e) "end" from (select *, sum(fresh) over (partition by chrom order by s, e rows unbounded preceding) run from
-    (select chrom, s, e, case when s>max(e) over (partition by chrom order by s, e rows between unbounded preceding and 1 preceding)+20 then 1 else 0 end fresh from (select distinct chrom, gstart s, gend e from fx_gene where gene_key%4=0))) group by chrom, run"""
+    (select chrom, s, e, case when s>max(e) over (partition by chrom order by s, e rows between unbounded preceding and 1 preceding)+20 then 1 else 0 end fresh from (select distinct chrom, gstart s, gstart+p_size*3 e from fx_gene))) group by chrom, run"""
 
 
 def _merged(spark, d):
-    loci = sql(spark, d, "fx_gene", "select chrom, gstart start, gend end from fx_gene where gene_key%4=0")
+    loci = sql(spark, d, "fx_gene", "select chrom, gstart start, gstart+p_size*3 end from fx_gene")
     return variants.merge_intervals(loci, 20)
 
 
@@ -143,32 +143,32 @@ def j3(spark, d):
     return variants.snps_in_intervals(view(spark, d, "fx_variant"), _merged(spark, d)).select("rec_ix", "chrom", "pos")
 
 
-@register("j16_pending_samples", "fx_variant", "select distinct sample_id from fx_variant where sample_id not in (select sample_id from fx_variant where rec_ix%97=0)")
+@register("j16_pending_samples", "", "select distinct o_custkey sample_id from orders where o_custkey not in (select o_custkey from orders where o_orderstatus='P')")
 def j16(spark, d):
-    v = view(spark, d, "fx_variant")
-    return variants.pending_samples(v.select("sample_id").distinct(), v.where("rec_ix%97=0"))
+    """Customers are the samples; those with a pending order count as done."""
+    targets = sql(spark, d, "", "select distinct o_custkey sample_id from orders")
+    return variants.pending_samples(targets, sql(spark, d, "", "select o_custkey sample_id from orders where o_orderstatus='P'"))
 
 
-LOCUS_SEQ = "select l.gene_id locus_id, l.gstart, l.gend, l.strand, l.chrom, substr(g.seq, cast(l.gstart as int), cast(l.gend-l.gstart+1 as int)) seq from fx_gene l join fx_genome g on l.chrom=g.chrom where l.gstart<=length(g.seq)"
+LOCUS_SEQ = 'select l.kind, l.locus_id, l."start", l.strand, l.chrom, substr(g.seq, cast(l."start" as int), cast(l."end"-l."start"+1 as int)) seq from fx_locus l join fx_genome g on l.chrom=g.chrom where l."start"<=length(g.seq)'
+LOCUS_VIEWS = "fx_locus fx_genome"
 
 
 def _locus_seq(spark, d):
-    loci = sql(spark, d, "fx_gene", "select 'gene' kind, gene_id locus_id, chrom, gstart start, gend end, strand from fx_gene")
-    return genome.extract_locus_seq(loci, _tiles(spark, d), TILE)
+    return genome.extract_locus_seq(sql(spark, d, "fx_locus", SPARK_LOCI), _tiles(spark, d), TILE)
 
 
-@register("j5_extract_locus_seq", "fx_gene fx_genome", f"select locus_id, seq from ({LOCUS_SEQ})")
+@register("j5_extract_locus_seq", LOCUS_VIEWS, f"select kind, locus_id, seq from ({LOCUS_SEQ})")
 def j5(spark, d):
-    return _locus_seq(spark, d).select("locus_id", "seq")
+    return _locus_seq(spark, d).select("kind", "locus_id", "seq")
 
 
-@register("j6_apply_snps", "fx_gene fx_genome fx_snp", f"""select sample_id, locus_id, case when strand='-' then {RC} else seq end seq from
-    (select h.sample_id, q.locus_id, q.strand, string_agg(coalesce(s.alt, substr(q.seq, cast(i as int), 1)), '' order by i) seq
-     from (select locus_id, chrom, gstart, gend, strand, seq, unnest(range(1, length(seq)+1)) i from ({LOCUS_SEQ})) q
-     join (select distinct s.sample_id, l.gene_id from fx_snp s join fx_gene l on s.chrom=l.chrom and s.pos between l.gstart and l.gend) h on h.gene_id=q.locus_id
-     left join fx_snp s on s.sample_id=h.sample_id and s.chrom=q.chrom and s.pos=q.gstart+i-1 group by h.sample_id, q.locus_id, q.strand)""")
+@register("j6_apply_snps", LOCUS_VIEWS + " fx_snp", f"""select sample_id, kind, locus_id, case when kind='gene' and strand='-' then {RC} else seq end seq from
+    (select h.sample_id, q.kind, q.locus_id, q.strand, list_aggregate(list_transform(range(1, length(q.seq)+1), lambda i: coalesce(h.alts[q."start"+i-1], substr(q.seq, cast(i as int), 1))), 'string_agg', '') seq
+     from ({LOCUS_SEQ}) q join (select s.sample_id, l.kind, l.locus_id, map_from_entries(list((s.pos, s.alt))) alts from fx_snp s join fx_locus l on s.chrom=l.chrom and s.pos between l."start" and l."end" group by s.sample_id, l.kind, l.locus_id) h
+     on h.kind=q.kind and h.locus_id=q.locus_id)""")
 def j6(spark, d):
-    return variants.apply_snps(_locus_seq(spark, d), view(spark, d, "fx_snp")).select("sample_id", "locus_id", "seq")
+    return variants.apply_snps(_locus_seq(spark, d), view(spark, d, "fx_snp")).select("sample_id", "kind", "locus_id", "seq")
 
 
 #: The token table: a vector of two numbers for each base.
@@ -178,17 +178,17 @@ FORWARD = [SUMS.format(*[TABLE[b][k] for b in "ACGT"]) for k in (0, 1)]
 BACK = [SUMS.format(*[TABLE[b][k] for b in "TGCA"]) for k in (0, 1)]
 
 
-@register("f1_embed_fixed", "fx_gene fx_genome", f"""select locus_id, round((({FORWARD[0]})+({BACK[0]}))/300.0e0, 6) x0, round((({FORWARD[1]})+({BACK[1]}))/300.0e0, 6) x1 from
-    (select locus_id, case when length(seq)>300 then substr(seq, cast(length(seq)//2-150+1 as int), 300) else seq end seq from ({LOCUS_SEQ}))""")
+@register("f1_embed_fixed", LOCUS_VIEWS, f"""select kind, locus_id, round((({FORWARD[0]})+({BACK[0]}))/300.0e0, 6) x0, round((({FORWARD[1]})+({BACK[1]}))/300.0e0, 6) x1 from
+    (select kind, locus_id, case when length(seq)>300 then substr(seq, cast(length(seq)//2-150+1 as int), 300) else seq end seq from ({LOCUS_SEQ}))""")
 def f1(spark, d):
-    rows = _locus_seq(spark, d).select("locus_id", "seq", F.lit(300).alias("fixed_len"))
-    out = embed_sequences(rows, TokenTable(TABLE), 2, ["locus_id"], "fixed")
-    return out.select("locus_id", F.round(F.get("x", F.lit(0)), 6).alias("x0"), F.round(F.get("x", F.lit(1)), 6).alias("x1"))
+    rows = _locus_seq(spark, d).select("kind", "locus_id", "seq", F.lit(300).alias("fixed_len"))
+    out = embed_sequences(rows, TokenTable(TABLE), 2, ["kind", "locus_id"], "fixed")
+    return out.select("kind", "locus_id", F.round(F.get("x", F.lit(0)), 6).alias("x0"), F.round(F.get("x", F.lit(1)), 6).alias("x1"))
 
 
-@register("f1_embed_adaptive", "fx_gene fx_genome", f"""select locus_id, round(avg((({FORWARD[0]})+({BACK[0]}))/length(seq)), 6) x0, round(avg((({FORWARD[1]})+({BACK[1]}))/length(seq)), 6) x1 from
-    (select locus_id, substr(seq, cast(i+1 as int), 500) seq from (select locus_id, seq, unnest(case when length(seq)<=500 then [0] else list_concat(range(0, length(seq)-500+1, 300), case when (length(seq)-500)%300<>0 then [length(seq)-500] else [] end) end) i from ({LOCUS_SEQ}))) group by locus_id""")
+@register("f1_embed_adaptive", LOCUS_VIEWS, f"""select kind, locus_id, round(avg((({FORWARD[0]})+({BACK[0]}))/length(seq)), 9) x0, round(avg((({FORWARD[1]})+({BACK[1]}))/length(seq)), 9) x1 from
+    (select kind, locus_id, substr(seq, cast(i+1 as int), 500) seq from (select kind, locus_id, seq, unnest(case when length(seq)<=500 then [0] else list_concat(range(0, length(seq)-500+1, 300), case when (length(seq)-500)%300<>0 then [length(seq)-500] else [] end) end) i from ({LOCUS_SEQ}))) group by kind, locus_id""")
 def f1a(spark, d):
-    rows = _locus_seq(spark, d).select("locus_id", "seq")
-    out = embed_sequences(rows, TokenTable(TABLE), 2, ["locus_id"], "adaptive", short_threshold=500, window_size=500, stride=300)
-    return out.select("locus_id", F.round(F.get("x", F.lit(0)), 6).alias("x0"), F.round(F.get("x", F.lit(1)), 6).alias("x1"))
+    rows = _locus_seq(spark, d).select("kind", "locus_id", "seq")
+    out = embed_sequences(rows, TokenTable(TABLE), 2, ["kind", "locus_id"], "adaptive", short_threshold=500, window_size=500, stride=300)
+    return out.select("kind", "locus_id", F.round(F.get("x", F.lit(0)), 9).alias("x0"), F.round(F.get("x", F.lit(1)), 9).alias("x1"))

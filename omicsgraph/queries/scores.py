@@ -31,23 +31,23 @@ def a2(spark, d):
     return _flat(V.mean_vector(view(spark, d, "fx_node").withColumnRenamed("z", "x"), ["node_type"]), ["node_type"])
 
 
-@register("a3_pool_vectors", "fx_node", f"""select node_type, 'max' pooled, cast(i as int) i, round(max(cast(zd as double)), 6) v from {LONG} where sample_ix=0 group by node_type, i
-    union all select node_type, 'last', cast(i as int), round(max_by(cast(zd as double), node_ix), 6) from {LONG} where sample_ix=0 group by node_type, i""")
+@register("a3_pool_vectors", "fx_node", f"""select sample_ix, node_type, 'max' pooled, cast(i as int) i, round(max(zd), 6) v from {SCALED} group by sample_ix, node_type, i
+    union all select sample_ix, node_type, 'last', cast(i as int), round(max_by(zd, node_ix), 6) from {SCALED} group by sample_ix, node_type, i""")
 def a3(spark, d):
-    x = view(spark, d, "fx_node").where("sample_ix=0").withColumnRenamed("z", "x")
-    made = [_flat(V.pool_vectors(x, ["node_type"], "node_ix", m).withColumn("pooled", F.lit(m)), ["node_type", "pooled"]) for m in ("max", "last")]
+    x = _z(spark, d).withColumnRenamed("z", "x")
+    made = [_flat(V.pool_vectors(x, ["sample_ix", "node_type"], "node_ix", m).withColumn("pooled", F.lit(m)), ["sample_ix", "node_type", "pooled"]) for m in ("max", "last")]
     return made[0].unionByName(made[1])
 
 
-@register("a4_combine_strands", "fx_node", f"select node_ix, cast(i as int) i, round(sum(cast(zd as double)), 6) v from {SCALED} where sample_ix<2 group by node_ix, i")
+@register("a4_combine_strands", "fx_node", f"select node_ix, cast(i as int) i, round(sum(cast(zd as double)), 6) v from {SCALED} group by node_ix, i")
 def a4(spark, d):
-    return _flat(V.combine_strands(_z(spark, d).where("sample_ix<2").withColumnRenamed("z", "x"), ["node_ix"]), ["node_ix"])
+    return _flat(V.combine_strands(_z(spark, d).withColumnRenamed("z", "x"), ["node_ix"]), ["node_ix"])
 
 
-@register("a24_pool_tokens", "fx_node", f"select node_type, cast(i as int) i, round(sum(case when node_ix%3<>0 then cast(zd as double) else 0 end)/greatest(1,count(case when node_ix%3<>0 then 1 end)), 6) v from {LONG} where sample_ix=0 group by node_type, i")
+@register("a24_pool_tokens", "fx_node", f"select sample_ix, node_type, cast(i as int) i, round(sum(case when node_ix%3<>0 then zd else 0 end)/greatest(1,count(case when node_ix%3<>0 then 1 end)), 6) v from {SCALED} group by sample_ix, node_type, i")
 def a24(spark, d):
-    tokens = view(spark, d, "fx_node").where("sample_ix=0").select("node_type", F.col("node_ix").alias("token_ix"), F.col("z").alias("x"), (F.col("node_ix") % 3 == 0).alias("is_pad"))
-    return _flat(V.pool_tokens(tokens, ["node_type"]), ["node_type"])
+    tokens = _z(spark, d).select("sample_ix", "node_type", F.col("node_ix").alias("token_ix"), F.col("z").alias("x"), (F.col("node_ix") % 3 == 0).alias("is_pad"))
+    return _flat(V.pool_tokens(tokens, ["sample_ix", "node_type"]), ["sample_ix", "node_type"])
 
 
 SCORE = f"(select sample_ix, node_ix, sum(zd*((i*3)%7-3)/10.0e0)+0.1e0 s from {SCALED} where node_type='gene' group by sample_ix, node_ix)"
@@ -157,18 +157,18 @@ def t1(spark, d):
     return ranking.top_edges(sql(spark, d, "fx_region_edge", "select edge_ix, chrom src_type, rel, 'gene' dst_type, max(weight) score from fx_region_edge group by edge_ix, chrom, rel"), 25)
 
 
-@register("p16_decode_index", "fx_edge", "select edge_ix, dst_ix, case when src_ix<400 then 'n'||cast(src_ix as string) else 'TF_IDX_OUT_OF_RANGE:'||cast(src_ix as string) end src from fx_edge")
+@register("p16_decode_index", "fx_edge", "select edge_ix, dst_ix, case when v.vec_id is not null then 'n'||cast(v.vec_id as string) else 'TF_IDX_OUT_OF_RANGE:'||cast(src_ix*3 as string) end src from fx_edge left join embeddings v on v.vec_id=src_ix*3")
 def p16(spark, d):
-    edges = sql(spark, d, "fx_edge", "select edge_ix, dst_ix, src_ix src from fx_edge")
-    nodes = sql(spark, d, "", "select vec_id node_ix, 'n'||cast(vec_id as string) node_id from embeddings where vec_id<400")
+    edges = sql(spark, d, "fx_edge", "select edge_ix, dst_ix, src_ix*3 src from fx_edge")
+    nodes = sql(spark, d, "", "select vec_id node_ix, 'n'||cast(vec_id as string) node_id from embeddings")
     return graph.decode_index(edges, "src", nodes, "TF").select("edge_ix", "dst_ix", "src")
 
 
-@register("j9_tf_nodes", "fx_edge fx_node", f"""select cast(t.tf as string) node_id, cast(k.i as int) i, round(coalesce(g.zd, m.zd), 6) v from (select distinct src_ix tf from fx_edge where src_ix%7=0) t cross join (select unnest(range(0,64)) i) k
+@register("j9_tf_nodes", "fx_edge fx_node", f"""select cast(t.tf as string) node_id, cast(k.i as int) i, round(coalesce(g.zd, m.zd), 6) v from (select distinct src_ix tf from fx_edge) t cross join (select unnest(range(0,64)) i) k
     left join (select node_ix, i, cast(zd as double) zd from {LONG} where sample_ix=0 and node_type='gene') g on g.node_ix=t.tf and g.i=k.i join (select i, avg(cast(zd as double)) zd from {LONG} where sample_ix=0 and node_type='gene' group by i) m on m.i=k.i""")
 def j9(spark, d):
     genes = view(spark, d, "fx_node").where("sample_ix=0 and node_type='gene'").select(F.col("node_ix").cast("string").alias("node_id"), F.col("z").alias("x"))
-    return _flat(graph.tf_nodes(sql(spark, d, "fx_edge", "select cast(src_ix as string) src from fx_edge where src_ix%7=0"), genes), ["node_id"])
+    return _flat(graph.tf_nodes(sql(spark, d, "fx_edge", "select cast(src_ix as string) src from fx_edge"), genes), ["node_id"])
 
 
 def _overlaid(spark, d):

@@ -34,6 +34,11 @@ def cell(k: int) -> Column:
     return F.get(columns(), F.lit(k))
 
 
+def _calls() -> Column:
+    """The columns from the tenth on, as many as there are."""
+    return F.slice(columns(), F.lit(10), F.greatest(F.lit(0), F.size(columns()) - 9))
+
+
 def _words() -> Column:
     return F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
 
@@ -57,10 +62,9 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def tile_genome(genome: DataFrame, tile_len: int = 65_536) -> DataFrame:
     """(chrom, tile_ix, tile_start, seq): sequences in upper case cut into tiles, tile_start from 1."""
-    tiles = F.ceil(F.length("seq") / tile_len)
-    cut = genome.where("seq <> ''").select("chrom", "seq", F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1)).alias("tile_ix"))
-    start = F.col("tile_ix") * tile_len + 1
-    return cut.select("chrom", "tile_ix", start.alias("tile_start"), F.upper(F.substring("seq", start.cast("int"), F.lit(tile_len))).alias("seq"))
+    tiles = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{tile_len}}}"), F.lit(0))  # one pass, whatever the length
+    cut = genome.where("seq <> ''").select("chrom", F.posexplode(tiles).alias("at", "seq"))
+    return cut.select("chrom", F.col("at").cast("bigint").alias("tile_ix"), (F.col("at").cast("bigint") * tile_len + 1).alias("tile_start"), F.upper("seq").alias("seq"))
 
 
 def parse_gff_genes(lines: DataFrame) -> DataFrame:
@@ -76,11 +80,11 @@ def parse_vcf(lines: DataFrame, samples: list[str] | None = None) -> tuple[DataF
     Alleles that are missing are -1; a genotype of one allele counts as two equal ones.
     """
     lines = split_columns(lines)
-    head = lines.where(F.startswith("line", F.lit("#CHROM"))).select(F.slice(columns(), 10, 1_000_000).alias("names"))
+    head = lines.where(F.startswith("line", F.lit("#CHROM"))).select(_calls().alias("names"))
     records = lines.where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
     site = records.select(F.col("line_no").alias("rec_ix"), cell(0).alias("chrom"), cell(1).try_cast("bigint").alias("pos"), cell(3).alias("ref"), F.when(cell(4) == ".", F.array().cast("array<string>")).otherwise(F.split(cell(4), ",")).alias("alt"))
     gt = F.split(cell(8), ":")
-    calls = records.select(F.col("line_no").alias("rec_ix"), F.array_position(gt, "GT").cast("int").alias("at"), F.slice(columns(), 10, 1_000_000).alias("calls")).crossJoin(F.broadcast(head))
+    calls = records.select(F.col("line_no").alias("rec_ix"), F.array_position(gt, "GT").cast("int").alias("at"), _calls().alias("calls")).crossJoin(F.broadcast(head))
     long = calls.select("rec_ix", "at", "names", F.posexplode("calls").alias("k", "call"))
     alleles = F.split(F.get(F.split("call", ":"), F.col("at") - 1), r"[/|]")
     allele = lambda k: F.coalesce(F.get(alleles, F.lit(k)), F.get(alleles, F.lit(0))).try_cast("int")

@@ -18,7 +18,7 @@ def test_region_id(spark):
     r = S.parse_region_id(F.col("r"), strict=False)
     got = values(spark, r, [("Chr1:500-100",), (" Chr2:1-9 ",), ("chr1:1-2",), (None,)], "r string")
     assert [tuple(x) if x else None for x in got] == [("Chr1", 100, 500), ("Chr2", 1, 9), None, None]
-    with pytest.raises(Exception, match="Bad region_id"):
+    with pytest.raises(Exception, match="not a region id"):
         values(spark, S.parse_region_id(F.col("r")), [("x",)], "r string")
 
 
