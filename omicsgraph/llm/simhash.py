@@ -167,7 +167,7 @@ def near_links(fps: DataFrame, most: int | None = None) -> DataFrame:
             found.append(dealt)
             break
         dealt = materialize(dealt, "dealt") if before is None else dealt
-        if before is not None and largest >= before:  # no smaller any more: members are all as far from each other
+        if before is not None and largest > 0.7 * before:  # hardly smaller: members are all as far from each other
             found.append(dealt)
             break
         before = largest

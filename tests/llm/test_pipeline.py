@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark):
-    from test_text_operators import base_spans, brute_components, brute_fingerprint
+    from test_similar import brute_kept
+    from test_text_operators import base_spans
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}
@@ -22,8 +23,7 @@ def test_stages(spark):
     language, near, secrets, mixed, encoded = kept
     assert len(language) >= 0.98 * len(before) and all(before[r.doc_id] == r for r in language)
     rows = sorted(language, key=lambda r: r.doc_id)
-    roots = brute_components([brute_fingerprint(r.text) for r in rows])
-    assert sorted(r.doc_id for r in near) == sorted(rows[k].doc_id for k in set(roots))
+    assert sorted(r.doc_id for r in near) == sorted(brute_kept([(r.doc_id, r.text) for r in rows]))
     assert sorted(r.doc_id for r in secrets) == sorted(r.doc_id for r in near)
     for r in secrets:
         old = before[r.doc_id]
