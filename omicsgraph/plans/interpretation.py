@@ -19,7 +19,7 @@ def score_interactions(features: DataFrame, edges: DataFrame, head: scoring.Head
     return importance, materialize(ranking.top_edges(scoring.interaction_scores(keys, z), top_edges), "top_edges")
 
 
-def interpret(nodes: DataFrame, edges: DataFrame, importance: DataFrame, tf_region: DataFrame, top_ppi: DataFrame, gene2go: DataFrame, names: DataFrame | None = None, top_regions: int = 2000, top_importance: int = 2000, min_bg: int = 5, min_overlap: int = 3) -> dict[str, DataFrame]:
+def interpret(nodes: DataFrame, edges: DataFrame, importance: DataFrame, tf_region: DataFrame, top_ppi: DataFrame, gene2go: DataFrame, names: DataFrame | None = None, top_regions: int = 2000, top_importance: int = 2000, min_bg: int = 5, min_overlap: int = 3, top_terms: int | None = None, max_genes_listed: int = 50) -> dict[str, DataFrame]:
     """Chains, hits, gene sets and the enrichment of all sets in one job.
 
     The least overlap of the set added by chip is between 2 and 5; that of the interaction partners 2 at least.
@@ -43,12 +43,17 @@ def interpret(nodes: DataFrame, edges: DataFrame, importance: DataFrame, tf_regi
     for name, (df, least) in sets.items():
         rows = df.select(F.lit(name).alias("set_name"), "gene_id", "weight", F.lit(least).alias("min_overlap"))
         fg = rows if fg is None else fg.unionByName(rows)
+    result = enrichment.go_enrichment(fg, graph.background_genes(nodes), gene2go, names, min_bg, max_genes=max_genes_listed)
     return {
         "chains": found,
         "hits": hits,
         "counts": ops["counts"],
         "importance_promoter": chains.overlap(important, promoter),
         "importance_all": chains.overlap(important, every),
+        "ppi_importance": chains.overlap(partners, important),
+        "ppi_promoter": chains.overlap(partners, promoter),
+        "ppi_all": chains.overlap(partners, every),
+        "ppi_promoter_importance": chains.overlap(partners, promoter, important),
         "ppi_tf_importance": chains.overlap(partners, every, important),
-        "enrichment": enrichment.go_enrichment(fg, graph.background_genes(nodes), gene2go, names, min_bg),
+        "enrichment": result if top_terms is None else ranking.top_terms(result, top_terms).drop("rank"),
     }

@@ -58,7 +58,7 @@ def embed_loci(loci: DataFrame, tiles: DataFrame, embedder, dim: int, sizes: Siz
     return materialize(fixed.unionByName(genes).select(F.col("kind").alias("node_type"), F.col("locus_id").alias("node_id"), "x"), "vectors")
 
 
-def build_graph(lines: dict[str, DataFrame], vectors: DataFrame, region_window: DataFrame, min_ppi: float = 0.0, ppi_mode: str = "none", reverse: bool = True) -> tuple[DataFrame, DataFrame]:
+def build_graph(lines: dict[str, DataFrame], vectors: DataFrame, region_window: DataFrame, min_ppi: float = 0.0, ppi_mode: str = "none", reverse: bool = True, ppi_already_directed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the typed graph; vectors as from embed_loci, lines as for reference_loci with ppi."""
     weight, none = F.col("weight"), F.lit(None).cast("double")
     edges = []
@@ -66,7 +66,7 @@ def build_graph(lines: dict[str, DataFrame], vectors: DataFrame, region_window:
     if "ppi" in lines:
         known = genes.select(F.col("node_id").alias("gene_id"))
         ppi = materialize(graph.filter_ppi(text.parse_ppi(lines["ppi"]), known, min_ppi, ppi_mode).withColumn("edge_ix", F.struct(F.lit("ppi").alias("file"), F.lit(0).cast("bigint").alias("block"), F.monotonically_increasing_id().alias("row"))), "ppi")
-        edges.append(_edge(graph.directed_ppi(ppi), "gene", "ppi", "gene", "gene1", "gene2", F.col("score")))
+        edges.append(_edge(graph.directed_ppi(ppi, not ppi_already_directed), "gene", "ppi", "gene", "gene1", "gene2", F.col("score")))
     nodes = vectors
     if "motif" in lines:
         motif = text.parse_weighted_edges(lines["motif"])
