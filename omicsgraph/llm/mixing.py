@@ -85,9 +85,10 @@ def rates(classes: DataFrame, plan: DataFrame, cap: float = 3.0) -> DataFrame:
     return rows.select("source", "class", "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), rate - whole).alias("p"), (whole * F.col("words")).alias("certain"))
 
 
-def _with(rows: DataFrame, plan: DataFrame, *keys: str) -> DataFrame:
-    """rows with the columns of their source (and class)."""
-    plan = broadcast_if_small(plan.withColumnsRenamed({k: f"plan_{k}" for k in keys}), MAX_SOURCES)
+def _with(rows: DataFrame, plan: DataFrame, *keys: str, few: bool | None = None) -> DataFrame:
+    """rows with the columns of their source (and class). few: whether the plan may be broadcast; None: it is counted."""
+    plan = plan.withColumnsRenamed({k: f"plan_{k}" for k in keys})
+    plan = broadcast_if_small(plan, MAX_SOURCES) if few is None else F.broadcast(plan) if few else plan
     same = [rows[k].eqNullSafe(plan[f"plan_{k}"]) for k in keys]
     return rows.join(plan, same).drop(*[f"plan_{k}" for k in keys])
 
@@ -96,30 +97,32 @@ def word_count() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def next_cut(units: DataFrame, left: DataFrame) -> DataFrame:
-    """(source, cut, gap): the last rank up to which the words of the units fit into the gap of their source, and what
-    is left of it. left: (source, gap)."""
-    plan = left.select("source", F.col("gap").alias("rest"), F.lit(0).cast("long").alias("prefix"))
+def next_cut(units: DataFrame, left: DataFrame, few: bool) -> DataFrame:
+    """A round of the sources that have units: (source, after, most, cut, gap).
+
+    left: (source, cut, gap), where the round before ended; these become after and most. The new cut is the last rank up
+    to which the words of the units fit into the gap, and the new gap what is left of it. One job: what a level finds is
+    carried to the next, so each reads the units once.
+    """
+    carried = lambda *columns: [F.first(c).alias(c) for c in columns]
+    plan = left.select("source", F.col("cut").alias("after"), F.col("gap").alias("most"), F.col("gap").alias("rest"), F.lit(0).cast("long").alias("prefix"))
     for level in range(1, LEVELS + 1):
         low = RANK_BITS - BITS * level
-        rows = _with(units, plan.select("source", "prefix"), "source").where(F.shiftright("rank", low + BITS) == F.col("prefix"))
-        sums = rows.groupBy("source", F.shiftright("rank", low).alias("bucket")).agg(F.sum("words").alias("words"))
-        order = Window.partitionBy("source").orderBy("bucket")
-        sums = sums.withColumn("upto", F.sum("words").over(order)).withColumnRenamed("source", "s")
-        known = plan.join(sums, plan["source"].eqNullSafe(sums["s"]), "left")
+        rows = _with(units, plan, "source", few=few).where(F.shiftright("rank", low + BITS) == F.col("prefix"))
+        sums = rows.groupBy("source", F.shiftright("rank", low).alias("bucket")).agg(F.sum("words").alias("words"), *carried("after", "most", "rest"))
+        sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
         # the first bucket that fills the rest; if sums fall short, the last one
-        pick = known.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("rest"), F.struct("bucket", "upto", "words"))), F.max(F.struct("bucket", "upto", "words"))).alias("b"))
-        pick = pick.select(F.col("source").alias("s"), "b")
-        plan = plan.join(pick, plan["source"].eqNullSafe(pick["s"])).drop("s")
-        plan = plan.withColumn("rest", F.col("rest") - F.coalesce(F.col("b.upto") - F.col("b.words"), F.lit(0))).withColumn("prefix", F.coalesce("b.bucket", F.lit(-1)).cast("long")).drop("b")
-        plan = materialize(plan, "plan")
+        bucket = F.struct("bucket", "upto", "words")
+        picked = F.coalesce(F.min(F.when(F.col("upto") >= F.col("rest"), bucket)), F.max(bucket))
+        found = sums.groupBy("source").agg(picked.alias("b"), *carried("after", "most", "rest"))
+        plan = found.select("source", "after", "most", (F.col("rest") - F.col("b.upto") + F.col("b.words")).alias("rest"), F.col("b.bucket").alias("prefix"))
     low = RANK_BITS - BITS * LEVELS
-    rows = _with(units, plan.select("source", "prefix", "rest"), "source").where(F.shiftright("rank", low) == F.col("prefix"))
+    rows = _with(units, plan, "source", few=few).where(F.shiftright("rank", low) == F.col("prefix"))
     rows = rows.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("rank")))
-    cut = rows.where("upto <= rest").groupBy(F.col("source").alias("s")).agg(F.max(F.struct("rank", "upto")).alias("last"))
-    plan = plan.join(cut, plan["source"].eqNullSafe(cut["s"]), "left")
+    last = F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("rank", "upto")))
+    found = rows.groupBy("source").agg(last.alias("last"), *carried("after", "most", "rest", "prefix"))
     below = F.shiftleft("prefix", low) - 1
-    return materialize(plan.select("source", F.coalesce("last.rank", below).alias("cut"), (F.col("rest") - F.coalesce("last.upto", F.lit(0))).alias("gap")), "cuts")
+    return materialize(found.select("source", "after", "most", F.coalesce("last.rank", below).alias("cut"), (F.col("rest") - F.coalesce("last.upto", F.lit(0))).alias("gap")), "cuts")
 
 
 def mixing_plan(docs: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -134,17 +137,15 @@ def mixing_plan(docs: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame, D
     repeats = units.where("n > 1").select("source", "rank", "words")
     left = plan.groupBy("source").agg((F.first("target") - F.sum("certain")).alias("gap")).select("source", F.lit(-1).cast("long").alias("cut"), "gap")
     left = materialize(left, "left")
+    few = left.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
     rounds = left.limit(0).select("source", F.col("cut").alias("after"), "cut", F.col("gap").alias("most"))
-    while True:  # each round takes a document at least
-        units = materialize(_with(units.select("source", "rank", "words"), left, "source").where("rank > cut and words > 0 and words <= gap").select("source", "rank", "words"), "units")
-        if units.isEmpty():
+    while True:  # each round takes a document of each of its sources at least
+        units = materialize(_with(units.select("source", "rank", "words"), left, "source", few=few).where("rank > cut and words > 0 and words <= gap").select("source", "rank", "words"), "units")
+        new = next_cut(units, left, few)
+        if new.isEmpty():
             break
-        some = units.select(F.col("source").alias("s")).distinct()
-        left = left.join(some, left["source"].eqNullSafe(some["s"]), "left_semi")
-        new = next_cut(units, left.select("source", "gap"))
-        old = left.select(F.col("source").alias("s"), F.col("cut").alias("after"), F.col("gap").alias("most"))
-        rounds = materialize(rounds.union(new.join(old, new["source"].eqNullSafe(old["s"])).select("source", "after", "cut", "most")), "rounds")
-        left = new
+        rounds = rounds.union(new.select("source", "after", "cut", "most"))
+        left = new.select("source", "cut", "gap")
     of_source = rounds.groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list(F.struct("after", "cut", "most"))).alias("rounds"))  # as many as rounds
     plan = plan.join(of_source, plan["source"].eqNullSafe(of_source["s"]), "left").drop("s", "certain")
     return sized, materialize(plan, "plan"), repeats
