@@ -8,10 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..operators.joins import small
+from ..sources.shared import materialize
+
 
 def _doubles(x: Column) -> Column:
     return array_to_vector(x.cast("array<double>"))
@@ -61,10 +64,18 @@ def pool_tokens(tokens: DataFrame, by: list[str], mode: str = "mean", dim: int |
 
 
 def segment_softmax(df: DataFrame, by: list[str], score: str = "score", out: str = "weight") -> DataFrame:
-    """Softmax of a score within each group, shifted by the group's maximum."""
-    group = Window.partitionBy(*by)
-    e = F.exp(F.col(score) - F.max(score).over(group))
-    return df.withColumn("__e", e).withColumn(out, F.col("__e") / F.sum("__e").over(group)).drop("__e")
+    """Softmax of a score within each group, shifted by the group's maximum.
+
+    Groups are added up without the other columns of df, so that vectors aren't sorted or shuffled for two numbers.
+    """
+    named = [F.col(b).alias(f"__by_{b}") for b in by]
+    same = lambda left, right: [left[b].eqNullSafe(right[f"__by_{b}"]) for b in by]
+    scores = df.select(*by, F.col(score).alias("__score"))
+    top = scores.groupBy(*named).agg(F.max("__score").alias("__top"))
+    summed = scores.join(top, same(scores, top)).groupBy(*top.columns).agg(F.sum(F.exp(F.col("__score") - F.col("__top"))).alias("__sum"))
+    total = small(materialize(summed, "softmax"))
+    joined = df.join(total, same(df, total))
+    return joined.withColumn(out, F.exp(F.col(score) - F.col("__top")) / F.col("__sum")).drop(*total.columns)
 
 
 def dot(x: Column, w: list[float]) -> Column:
@@ -73,6 +84,11 @@ def dot(x: Column, w: list[float]) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def weighted_sum(x: str, w: str) -> Column:
+    """Aggregate: the sum of vectors times their weights."""
+    return sum_of(F.transform(F.col(x).cast("array<double>"), lambda v: v * F.col(w)))
+
+
 def readout(z: DataFrame, by: list[str], mode: str = "mean", attention: tuple[list[float], float] | None = None, x: str = "z") -> DataFrame:
     """One vector g per sample: the mean, or the sum weighted by the softmax of a.z + b."""
     if mode == "mean":
@@ -81,7 +97,7 @@ def readout(z: DataFrame, by: list[str], mode: str = "mean", attention: tuple[li
         raise ValueError("mode is mean, or attention with its (a, b)")
     a, b = attention
     weighed = segment_softmax(z.withColumn("__s", dot(F.col(x), a) + F.lit(float(b))), by, "__s", "__w")
-    return weighed.groupBy(*by).agg(sum_of(F.transform(F.col(x).cast("array<double>"), lambda v: v * F.col("__w"))).alias("g"))
+    return weighed.groupBy(*by).agg(weighted_sum(x, "__w").alias("g"))
 
 
 @F.pandas_udf(DoubleType())

@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import abs_dot, dot, readout, segment_softmax
-from .joins import small
+from ..functions.vectors import abs_dot, dot, mean_of, segment_softmax, weighted_sum
+from ..sources.shared import materialize
+from .joins import small, small_vectors
 from .ranking import rank_genes
 
 
@@ -42,14 +43,16 @@ def gradient_x_input(z: DataFrame, head: Head, mode: str = "mean", attention: tu
         for g in rows:
             yield pd.Series(list(head.gradient(np.stack(g.to_numpy()).astype(float))) if len(g) else [], dtype=object)
 
-    g = readout(z, ["sample_id"], mode, attention)
-    per_sample = g.join(z.groupBy("sample_id").agg(F.count("*").alias("n")), "sample_id").withColumn("v", gradient("g"))
     if mode == "mean":
-        rows = z.join(small(per_sample.select("sample_id", "n", "v"), 20_000), "sample_id")
-        return rows.select("sample_id", "gene_id", (abs_dot("z", "v") / F.col("n")).alias("score"))
+        g = z.groupBy("sample_id").agg(mean_of(F.col("z")).alias("g"), F.count("*").alias("n"))
+        per_sample = small_vectors(materialize(g.select("sample_id", "n", gradient("g").alias("v")), "gradients"), "v")
+        return z.join(per_sample, "sample_id").select("sample_id", "gene_id", (abs_dot("z", "v") / F.col("n")).alias("score"))
+    if mode != "attention" or attention is None:
+        raise ValueError("mode is mean, or attention with its (a, b)")
     a, b = attention
     weighed = segment_softmax(z.withColumn("__s", dot(F.col("z"), a) + F.lit(float(b))), ["sample_id"], "__s", "w")
-    rows = weighed.join(small(per_sample.select("sample_id", "g", "v"), 20_000), "sample_id")
+    g = weighed.groupBy("sample_id").agg(weighted_sum("z", "w").alias("g"))
+    rows = weighed.join(small_vectors(materialize(g.withColumn("v", gradient("g")), "gradients"), "g", "v"), "sample_id")
     inner = lambda x: F.aggregate(F.zip_with(F.col("v"), F.col(x).cast("array<double>"), lambda p, q: p * q), F.lit(0.0), lambda acc, t: acc + t)
     shift = inner("z") - inner("g")
     slope = F.zip_with("v", F.array(*map(F.lit, map(float, a))), lambda p, q: F.col("w") * (p + F.col("__shift") * q))
@@ -76,11 +79,11 @@ def mask_edges_by_top_genes(edges: DataFrame, top: DataFrame) -> DataFrame:
 def interaction_scores(edges: DataFrame, z: DataFrame) -> DataFrame:
     """Edges with score: the sum of |z_src * z_dst|, averaged over the samples of z that have both ends.
 
-    z: (sample_id, node_type, node_id, z). Repeated edges stay apart by edge_ix. Mask edges first: the vectors of
-    both ends are shuffled once for each edge and sample.
+    z: (sample_id, node_type, node_id, z). Repeated edges stay apart by edge_ix. Mask edges first: while they can be
+    broadcast, vectors meet their edges where they are, and only then are dealt by sample and second end.
     """
     keys = edges.columns
     src = z.select("sample_id", F.col("node_type").alias("src_type"), F.col("node_id").alias("src_id"), F.col("z").alias("__a"))
     dst = z.select("sample_id", F.col("node_type").alias("dst_type"), F.col("node_id").alias("dst_id"), F.col("z").alias("__b"))
-    both = edges.join(src, ["src_type", "src_id"]).join(dst, ["sample_id", "dst_type", "dst_id"])
+    both = small(edges).join(src, ["src_type", "src_id"]).join(dst, ["sample_id", "dst_type", "dst_id"])
     return both.select(*keys, abs_dot("__a", "__b").alias("s")).groupBy(*keys).agg(F.avg("s").alias("score"))

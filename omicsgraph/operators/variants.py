@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.scalars import carries_alt, gene_flank, is_snp, reverse_complement
+from ..sources.shared import materialize
 
 BIN = 4096
 
@@ -52,13 +53,32 @@ def loci_hit_by_snps(loci: DataFrame, sample_snp: DataFrame, bin_size: int = BIN
     return sample_snp.select("sample_id", "chrom", "pos").join(hits, ["chrom", "pos"]).select("sample_id", "kind", "locus_id").distinct()
 
 
-def merge_intervals(loci: DataFrame, gap: int = 0) -> DataFrame:
-    """(chrom, start, end) of runs of loci in which each starts at most `gap` after all before it have ended."""
-    order = Window.partitionBy("chrom").orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+def merge_intervals(loci: DataFrame, gap: int = 0, stretch: int = 1 << 20) -> DataFrame:
+    """(chrom, start, end) of runs of loci in which each starts at most `gap` after all before it have ended.
+
+    Runs are found within stretches of a chromosome. What goes on from one stretch to the next are two numbers: the
+    furthest end so far and how many runs have begun; a window over a chromosome has one row per stretch.
+    """
+    upto = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
+    along = upto(Window.partitionBy("chrom").orderBy("__stretch"), -1)
+    within = Window.partitionBy("chrom", "__stretch").orderBy("start", "end")
+    rows = materialize(loci.select("chrom", "start", "end").distinct().withColumn("__stretch", F.floor(F.col("start") / stretch)), "intervals")
+    furthest = rows.groupBy("chrom", "__stretch").agg(F.max("end").alias("__end"))
+    rows = _with_stretch(rows, furthest.select("chrom", "__stretch", F.max("__end").over(along).alias("__carried")))
+    before = F.greatest("__carried", F.max("end").over(upto(within, -1)))
     new = F.coalesce((F.col("start") > before + gap).cast("int"), F.lit(1))
-    runs = loci.select("chrom", "start", "end").distinct().withColumn("__new", new).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("chrom", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+    local = rows.withColumn("__new", new).withColumn("__run", F.sum("__new").over(upto(within, 0)))
+    parts = materialize(local.groupBy("chrom", "__stretch", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")), "runs")
+    begun = parts.groupBy("chrom", "__stretch").agg(F.max("__run").alias("__n"))
+    parts = _with_stretch(parts, begun.select("chrom", "__stretch", F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__begun")))
+    runs = parts.groupBy("chrom", (F.col("__begun") + F.col("__run")).alias("__run"))
+    return runs.agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+
+
+def _with_stretch(rows: DataFrame, stretches: DataFrame) -> DataFrame:
+    """rows with the columns of their stretch of the chromosome; nulls are equal."""
+    s = stretches.withColumnsRenamed({"chrom": "__c", "__stretch": "__s"})
+    return rows.join(s, rows["chrom"].eqNullSafe(s["__c"]) & rows["__stretch"].eqNullSafe(s["__s"])).drop("__c", "__s")
 
 
 def snps_in_intervals(snps: DataFrame, merged: DataFrame, bin_size: int = BIN) -> DataFrame:

@@ -9,17 +9,26 @@ from ..functions.scalars import fixed_len_for_type
 from ..operators import genome as G
 from ..operators import graph, variants
 from ..operators.embed import embed_sequences
+from ..operators.joins import small
 from ..sources import text
 from ..sources.shared import materialize
 from .reference_graph import Sizes
 
 
-def sample_snp_table(vcf_lines: DataFrame, genome: DataFrame, tiles: DataFrame, loci: DataFrame, sizes: Sizes | None = None, samples: list[str] | None = None, strict_ref: bool = True, gap: int = 0) -> DataFrame:
+def calls_of(vcf_lines: DataFrame, genome: DataFrame, samples: list[str] | DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sites, with the genome's chromosome names, and genotypes; of all samples, those named, or those with a row."""
+    named = None if isinstance(samples, DataFrame) else samples
+    site, calls = text.parse_vcf(vcf_lines, named)
+    if isinstance(samples, DataFrame):
+        calls = calls.join(small(samples.select("sample_id").distinct()), "sample_id", "left_semi")
+    names = genome.select(F.col("chrom").alias("name"), F.col("chrom").alias("seq_no"))
+    return materialize(G.map_chrom_names(site, "chrom", names, "key"), "sites"), calls
+
+
+def sample_snp_table(vcf_lines: DataFrame, genome: DataFrame, tiles: DataFrame, loci: DataFrame, sizes: Sizes | None = None, samples: list[str] | DataFrame | None = None, strict_ref: bool = True, gap: int = 0) -> DataFrame:
     """(sample_id, chrom, pos, alt) of the SNPs inside loci; in strict mode only where the genome has the reference base."""
     sizes = sizes or Sizes()
-    site, calls = text.parse_vcf(vcf_lines, samples)
-    names = genome.select(F.col("chrom").alias("name"), F.col("chrom").alias("seq_no"))
-    site = materialize(G.map_chrom_names(site, "chrom", names, "key"), "sites")
+    site, calls = calls_of(vcf_lines, genome, samples)
     site = variants.snps_in_intervals(site, variants.merge_intervals(loci, gap))
     if strict_ref:
         site = variants.check_ref_allele(site, tiles, sizes.tile).where("ref_ok").drop("ref_ok")
@@ -46,6 +55,22 @@ def sample_deltas(snps: DataFrame, loci: DataFrame, tiles: DataFrame, embedder,
     return materialize(delta.select("sample_id", F.col("kind").alias("node_type"), F.col("locus_id").alias("node_id"), "x"), "delta")
 
 
+def pending_deltas(targets: DataFrame, done: DataFrame, vcf_lines: DataFrame, genome: DataFrame, tiles: DataFrame, loci: DataFrame, embedder, dim: int, sizes: Sizes | None = None, strict_ref: bool = True, gap: int = 0, max_samples: int | None = None) -> dict[str, DataFrame]:
+    """The job for the target samples that aren't done, so that a run goes on where the last one ended.
+
+    samples, snps and delta; extraction: the records seen, carried and mismatched by sample and chromosome; changed: how
+    many loci of each kind a sample has changed, 0 for samples without any. max_samples: only the first ones by id.
+    """
+    sizes = sizes or Sizes()
+    todo = variants.pending_samples(targets, done).select("sample_id").distinct()
+    todo = materialize(todo if max_samples is None else todo.orderBy("sample_id").limit(max_samples), "todo")
+    snps = sample_snp_table(vcf_lines, genome, tiles, loci, sizes, todo, strict_ref, gap)
+    delta = sample_deltas(snps, loci, tiles, embedder, dim, sizes)
+    site, calls = calls_of(vcf_lines, genome, todo)
+    changed = todo.join(variants.delta_stats(delta.withColumnRenamed("node_type", "kind")), "sample_id", "left").na.fill(0)
+    return {"samples": todo, "snps": snps, "delta": delta, "extraction": variants.snp_extraction_stats(site, calls, tiles, sizes.tile), "changed": changed}
+
+
 def sample_features(nodes: DataFrame, delta: DataFrame, samples: DataFrame, strict_tf: bool = True) -> DataFrame:
     """(sample_id, node_type, node_id, x): the reference with a sample's vectors over it, TFs following their genes."""
     return graph.sync_tf(graph.overlay_deltas(nodes, delta, samples), strict_tf)

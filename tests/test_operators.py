@@ -54,6 +54,8 @@ def test_merge_and_hits(spark):
     loci = spark.createDataFrame([("c", a, b) for a, b in ((1, 10), (5, 8), (11, 20), (30, 40))], "chrom string, start long, end long")
     got = {g: [(r.start, r.end) for r in variants.merge_intervals(loci, g).orderBy("start").collect()] for g in (0, 1, 10)}
     assert got == {0: [(1, 10), (11, 20), (30, 40)], 1: [(1, 20), (30, 40)], 10: [(1, 40)]}
+    for stretch in (4, 10, 30):  # runs that go on over stretches
+        assert {g: [(r.start, r.end) for r in variants.merge_intervals(loci, g, stretch).orderBy("start").collect()] for g in (0, 1, 10)} == got
     rng = np.random.default_rng(1)
     many = [("gene", f"g{k}", "c", int(s), int(s + w), "+") for k, (s, w) in enumerate(zip(rng.integers(1, 20_000, 80), rng.integers(0, 9000, 80)))]
     snps = [(f"s{k % 5}", "c", int(p)) for k, p in enumerate(rng.integers(1, 30_000, 60))]

@@ -49,6 +49,13 @@ def test_whole_run(spark):
     hit = {r.node_id for r in delta.where("node_type = 'gene'").collect()}
     assert hit == {g for g, (a, b) in genes.items() if any(a <= p <= b for p in at)}
     samples = spark.createDataFrame([("S1",), ("S2",)], "sample_id string")
+    for done, left in (([], ["S1", "S2"]), (["S1"], ["S2"])):
+        job = sample_deltas.pending_deltas(samples, spark.createDataFrame([(s,) for s in done], "sample_id string"), vcf, genome, tiles, loci, TABLE, 2, sizes)
+        assert sorted(r.sample_id for r in job["samples"].collect()) == left
+        assert {(r.sample_id, r.seen, r.gt_alt, r.ref_mismatch) for r in job["extraction"].collect()} == {("S1", 4, 4, 1), ("S2", 4, 1, 1)} & {(s, 4, n, 1) for s in left for n in (1, 4)}
+        assert {r.sample_id: r.n_gene for r in job["changed"].collect()} == {s: len(hit) if s == "S1" else 0 for s in left}
+    few = sample_deltas.pending_deltas(samples, samples.limit(0), vcf, genome, tiles, loci, TABLE, 2, sizes, max_samples=1)
+    assert [r.sample_id for r in few["samples"].collect()] == ["S1"]
     features = sample_deltas.sample_features(nodes, delta, samples, strict_tf=False)
     assert features.count() == 2 * nodes.count()
 
