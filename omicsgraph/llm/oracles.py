@@ -61,4 +61,27 @@ verdict as (select source, greatest({_RATES})>0.5 bad from host cross join prior
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short or repeats base_failed, not (short or repeats) and not bad kept, bad host_failed
 from f join verdict v on v.source is not distinct from f.source"""
 
-ORACLE_SQL = {"op1_suffix_dedup": OP1, "op6_topk": OP6, "op7_license_scan": OP7, "op10_quality_rules": OP10}
+
+
+def _rounds(n: int) -> str:
+    """n rounds of clustering, written out: nearest centroids a<r>, then moved centroids c<r + 1>; a<n> is the last assignment."""
+    square = "list_sum(list_transform(range(1, 65), lambda i: (x.v[i]-c.v[i])*(x.v[i]-c.v[i])))"
+    out = []
+    for r in range(n + 1):
+        out.append(f"a{r} as materialized (select rid, c, d from (select rid, c, d, row_number() over (partition by rid order by d, c) place from (select x.rid, c.c, cast({square} as bigint) d from x cross join c{r} c)) where place=1)")
+        if r < n:
+            floor_ = "cast((s-((s%n)+n)%n)//n as bigint)"
+            out.append(f"""c{r + 1} as materialized (select o.c, coalesce(m.v, o.v) v from c{r} o left join (select c, list({floor_} order by i) v from
+    (select c, i, sum(e) s, count(*) n from (select a.c, unnest(x.v) e, unnest(range(0, 64)) i from a{r} a join x on x.rid=a.rid) group by c, i) group by c) m on m.c=o.c)""")
+    return ",\n".join(out)
+
+
+OP13 = f"""
+with x as materialized (select row_number() over () rid, vec_id, list_transform(embedding, lambda x: cast(floor(1024*cast(x as double)) as bigint)) v from embeddings
+    where embedding is not null and len(embedding)=64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x)))=0),
+c0 as materialized (select row_number() over (order by h, v)-1 c, v from (select sha256('3:' || vec_id) h, v from x order by h, v limit 8)),
+{_rounds(10)}
+select x.vec_id, cast(a.c as int) "cluster", a.d distance, cast(sum(a.d) over (partition by a.c) as bigint) cluster_inertia, cast(sum(a.d) over () as bigint) inertia, sha256(array_to_string(c.v, ',')) centroid_sha256
+from a10 a join x on x.rid=a.rid join c10 c on c.c=a.c"""
+
+ORACLE_SQL = {"op13_clustering": OP13, "op1_suffix_dedup": OP1, "op6_topk": OP6, "op7_license_scan": OP7, "op10_quality_rules": OP10}

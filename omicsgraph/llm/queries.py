@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, license_scan, mixing, quality, secret_scan, simhash, suffix_dedup, token_counts, topk
+from . import bpe, clustering, langid, license_scan, mixing, quality, secret_scan, sentencepiece_bpe, simhash, suffix_dedup, token_counts, topk, whitening
 from .oracles import ORACLE_SQL
 
 
@@ -75,6 +75,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16, scale=64.0, shift=1_000_000)
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error", "steps")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()  # on the driver; its size is fixed
+    both = sentencepiece_bpe.encode(_table(spark, sf_dir, "documents"), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "agrees")
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clustering.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024.0, seed="3")
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe": op2_bpe,
@@ -86,5 +104,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_whitening": op11_whitening,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_clustering": op13_clustering,
 }
 
