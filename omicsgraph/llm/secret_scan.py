@@ -264,19 +264,25 @@ def _labelled(most: int):
     return run, "kind string, token string, h long, n long"
 
 
-def fit(sample: dict[str, list[str]], repeated: list[str] | None = None, quantile: float = 0.05, rare: float = 0.01, margin: float = 3.0) -> Formats:
+def fit(sample: dict[str, list[str]], repeated: list[str] | None = None, quantile: float = 0.05, margin: float = 3.0, rounds: int = 3) -> Formats:
     """Automata of the kinds in `sample` against its `ordinary` tokens, with their limits.
 
-    A limit is `margin` above every ordinary token of those that several documents have (`repeated`; None: all), and above
-    all but a share `rare` of the others, among which may be credentials that no pattern shows. Where all but `quantile`
-    of the kind's values are further up, it is midway.
+    Among the ordinary tokens may be credentials that no pattern shows. So, in `rounds` rounds, those that an automaton gives a
+    higher likelihood than the model of ordinary tokens are left out and that model is fitted again; tokens that several
+    documents have (`repeated`; None: all) stay. A limit is `margin` above every ordinary token that is left. Where all but
+    `quantile` of the kind's values are further up, it is midway.
     """
-    formats = Formats({k: Automaton(v) for k, v in sample.items() if k != "ordinary" and v}, Ordinary(sample["ordinary"]))
-    for kind in formats.automata:
+    automata = {k: Automaton(v) for k, v in sample.items() if k != "ordinary" and v}
+    tokens = sorted(set(sample["ordinary"]))
+    often = set(tokens if repeated is None else repeated)
+    best = {t: max((a.likelihood(t) for a in automata.values()), default=-math.inf) for t in tokens}
+    formats, left = Formats(automata, Ordinary(tokens)), tokens
+    for _ in range(rounds):
+        left = [t for t in tokens if t in often or best[t] <= formats.ordinary.likelihood(t)]
+        formats.ordinary = Ordinary(left)
+    for kind in automata:
         scores = sorted(formats.score(t, kind) for t in sample[kind])
-        plain = sorted(formats.score(t, kind) for t in sample["ordinary"]) or [-math.inf]
-        most = max((formats.score(t, kind) for t in repeated), default=-math.inf) if repeated is not None else plain[-1]
-        low, high = max(most, plain[int((1 - rare) * (len(plain) - 1))]) + margin, scores[int(quantile * len(scores))]
+        low, high = max((formats.score(t, kind) for t in left), default=-math.inf) + margin, scores[int(quantile * len(scores))]
         formats.limits[kind] = low if low >= high else high if low == -math.inf else (low + high) / 2
     return formats
 
