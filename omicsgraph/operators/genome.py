@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import canonical_chrom, parse_region_id, window_id
+from ..functions.scalars import canonical_chrom, parse_region_id, window_bounds
 
 
 def map_chrom_names(df: DataFrame, col: str, names: DataFrame, fallback: str = "own") -> DataFrame:
@@ -20,11 +20,18 @@ def map_chrom_names(df: DataFrame, col: str, names: DataFrame, fallback: str = "
 
 
 def build_windows(regions: DataFrame, size: int = 4000, stride: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """P5: distinct windows (window_id, chrom, wstart, wend) that hold regions, and a (region_id, window_id) per region."""
-    pairs = regions.select("region_id", window_id(F.col("region_id"), size, stride).alias("window_id"))
-    w = parse_region_id(F.col("window_id"))
-    windows = pairs.select("window_id").distinct().select("window_id", w["chrom"].alias("chrom"), w["start"].alias("wstart"), w["end"].alias("wend"))
-    return windows, pairs
+    """P5: distinct windows (window_id, chrom, wstart, wend) that hold regions, and a (region_id, window_id) per region.
+
+    Bounds come from the regions' chrom, rstart and rend where they are there, else from their ids; no id is parsed twice.
+    """
+    if not {"chrom", "rstart", "rend"} <= set(regions.columns):
+        r = regions.select("region_id", parse_region_id(F.col("region_id")).alias("__r"))
+        regions = r.select("region_id", F.col("__r.chrom").alias("chrom"), F.col("__r.start").alias("rstart"), F.col("__r.end").alias("rend"))
+    bounds = regions.select("region_id", "chrom", window_bounds(F.col("rstart"), F.col("rend"), size, stride).alias("__w"))
+    cut = bounds.select("region_id", "chrom", F.col("__w.start").alias("wstart"), F.col("__w.end").alias("wend"))
+    name = F.concat("chrom", F.lit(":"), F.col("wstart").cast("string"), F.lit("-"), F.col("wend").cast("string"))
+    windows = cut.select("chrom", "wstart", "wend").distinct().select(name.alias("window_id"), "chrom", "wstart", "wend")
+    return windows, cut.select("region_id", name.alias("window_id"))
 
 
 def extract_locus_seq(loci: DataFrame, tiles: DataFrame, tile_len: int = 65_536) -> DataFrame:

@@ -21,6 +21,19 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def store_embeddings(df: DataFrame, table: str, buckets: int = 200, path: str | None = None, mode: str = "overwrite") -> None:
+    """Vectors as a bucketed table: by node_type and node_id, sorted by them, whatever the number of samples.
+
+    There is a file or more per bucket, not a folder per sample. Tables with the same buckets meet in joins on node_type and node_id
+    without a shuffle (see graph.overlay_stored). path: where the files go; else the warehouse.
+    """
+    keys = ["node_type", "node_id"]
+    # dealt as buckets are, so that each bucket is written by one task
+    rows = df.withColumn("x", F.col("x").cast("array<float>")).repartition(buckets, *keys)
+    out = rows.write.mode(mode).format("parquet").bucketBy(buckets, *keys).sortBy(*keys, *[c for c in ("sample_id",) if c in df.columns])
+    (out.option("path", path) if path else out).saveAsTable(table)
+
+
 def discover_samples(listing: DataFrame, path: str = "path") -> DataFrame:
     """(sample_id, path) of the sample graphs in a file listing."""
     found = F.regexp_extract(path, SAMPLE_FILE, 1)
