@@ -17,20 +17,26 @@ _COMPLEMENT = str.maketrans(BASES, COMPLEMENTS)
 
 
 class TokenTable:
-    """The embedder at hand: each letter has a vector; a sequence has their mean, or the first one's (cls)."""
+    """The embedder at hand: each letter has a vector; a sequence has their mean, or the first one's (cls).
+
+    A sequence's mean is its counts of letters times the table; letters that the table doesn't have are zeros.
+    """
 
     def __init__(self, table: dict[str, list[float]], pooling: str = "mean"):
         self.dim = len(next(iter(table.values())))
-        self.table = table
         self.pooling = pooling
+        self.vectors = np.vstack([np.zeros((1, self.dim)), np.array([table[c] for c in table], float)])
+        self.codes = np.zeros(256, np.int64)
+        self.codes[[ord(c) for c in table]] = np.arange(1, len(table) + 1)
 
     def __call__(self, seqs: list[str]) -> np.ndarray:
-        zero = [0.0] * self.dim
-        rows = []
-        for s in seqs:
-            x = np.array([self.table.get(c, zero) for c in (s[:1] if self.pooling == "cls" else s)] or [zero])
-            rows.append(x.mean(axis=0))
-        return np.array(rows).reshape(len(seqs), self.dim)
+        if self.pooling == "cls":
+            seqs = [s[:1] for s in seqs]
+        sizes = np.array(list(map(len, seqs)), np.int64)
+        codes = self.codes[np.frombuffer("".join(seqs).encode("latin-1", "replace"), np.uint8)]
+        k = len(self.vectors)
+        counts = np.bincount(np.repeat(np.arange(len(seqs)) * k, sizes) + codes, minlength=len(seqs) * k).reshape(len(seqs), k)
+        return counts @ self.vectors / np.maximum(1, sizes)[:, None]
 
 
 def embed_sequences(

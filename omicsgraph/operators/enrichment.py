@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from ..sources.shared import materialize
 from .joins import small
+from .ranking import number_rows
 
 
 #: Terms of tails that are added up at once.
@@ -28,23 +31,57 @@ def build_go_names(gaf: DataFrame) -> DataFrame:
     return gaf.where("obj_name <> ''").groupBy("go_id").agg(F.min_by("obj_name", "seq_no").alias("name"))
 
 
+#: Genes that a word of a bitmap stands for.
+WORD = 64
+
+
+def _word(ix: Column) -> tuple[Column, Column]:
+    """The word of a gene's number and its bit there."""
+    return F.floor(ix / WORD).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (ix % WORD).cast("int")).alias("bit")
+
+
+class Bitmaps:
+    """Gene sets and terms as compressed bitmaps over the background genes, which are numbered once.
+
+    A bitmap is a row (word, bits) for each 64 genes of which any is in it. The annotation is read once: repeated pairs are
+    the same bit. Overlaps are counts of the bits that two words share.
+    """
+
+    def __init__(self, fg: DataFrame, bg: DataFrame, gene2go: DataFrame):
+        self.genes = number_rows(bg.select("gene_id").where("gene_id is not null").distinct(), [], [F.col("gene_id")], "ix").withColumn("ix", F.col("ix") - 1)
+        self.genes = materialize(self.genes, "numbered_genes")
+        self.m = self.genes.count()
+        known = small(self.genes)
+        bitmap = lambda df, by: df.join(known, "gene_id").select(by, *_word(F.col("ix"))).groupBy(by, "word").agg(F.bit_or("bit").alias("bits"))
+        self.terms = materialize(bitmap(gene2go.select("gene_id", "go_id"), "go_id"), "term_bitmaps")
+        self.sets = materialize(bitmap(fg.select("set_name", "gene_id"), "set_name"), "set_bitmaps")
+
+    def counts(self, fg: DataFrame, min_bg: int, min_overlap: int) -> DataFrame:
+        ones = F.sum(F.bit_count("bits"))
+        least = F.max("min_overlap") if "min_overlap" in fg.columns else F.lit(min_overlap)
+        sizes = fg.groupBy("set_name").agg(least.alias("least")).join(self.sets.groupBy("set_name").agg(ones.alias("big_n")), "set_name")
+        in_term = self.terms.groupBy("go_id").agg(ones.alias("n")).where(F.col("n") >= min_bg)
+        k = F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col("own"))))
+        in_both = self.terms.join(small(self.sets.withColumnRenamed("bits", "own")), "word").groupBy("set_name", "go_id").agg(k.alias("k"))
+        joined = in_both.join(in_term, "go_id").join(small(sizes), "set_name").withColumn("m", F.lit(self.m).cast("long"))
+        return joined.where("k > 0 and k >= least").select("set_name", "go_id", "k", "n", "big_n", "m")
+
+    def shared(self, pairs: DataFrame) -> DataFrame:
+        """(set_name, go_id, gene_id) of the genes that are in both of a pair (set_name, go_id)."""
+        own = small(self.sets.withColumnRenamed("bits", "own"))
+        words = self.terms.join(small(pairs.select("set_name", "go_id")), "go_id").join(own, ["set_name", "word"]).withColumn("bits", F.col("bits").bitwiseAND(F.col("own")))
+        places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.getbit("bits", k) == 1)
+        rows = words.where("bits <> 0").select("set_name", "go_id", "word", F.explode(places).alias("at"))
+        return rows.withColumn("ix", F.col("word").cast("long") * WORD + F.col("at")).join(small(self.genes), "ix").select("set_name", "go_id", "gene_id")
+
+
 def go_counts(fg: DataFrame, bg: DataFrame, gene2go: DataFrame, min_bg: int = 1, min_overlap: int = 1) -> DataFrame:
     """(set_name, go_id, k, n, big_n, m) of gene sets fg (set_name, gene_id[, min_overlap]) against bg (gene_id).
 
     m: background genes; big_n: those of the set; n: those of the term; k: those of both. Only terms with n and k
-    large enough stay; a column min_overlap of fg takes the place of the parameter.
+    large enough stay, and k at least 1; a column min_overlap of fg takes the place of the parameter.
     """
-    genes = bg.select("gene_id").distinct()
-    totals = genes.agg(F.count("*").alias("m"))
-    least = F.max("min_overlap") if "min_overlap" in fg.columns else F.lit(min_overlap)
-    sets = fg.groupBy("set_name").agg(least.alias("least"))
-    members = fg.select("set_name", "gene_id").distinct().join(genes, "gene_id", "left_semi")
-    sizes = sets.join(members.groupBy("set_name").agg(F.count("*").alias("big_n")), "set_name")
-    terms = gene2go.select("gene_id", "go_id").distinct().join(genes, "gene_id", "left_semi")
-    in_term = terms.groupBy("go_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_bg)
-    in_both = terms.join(members, "gene_id").groupBy("set_name", "go_id").agg(F.count("*").alias("k"))
-    joined = in_both.join(in_term, "go_id").join(small(sizes), "set_name").crossJoin(F.broadcast(totals))  # totals is a row
-    return joined.where("k >= least").select("set_name", "go_id", "k", "n", "big_n", "m")
+    return Bitmaps(fg, bg, gene2go).counts(fg, min_bg, min_overlap)
 
 
 def hypergeom_sf(k: Column, m: Column, n: Column, big_n: Column) -> Column:
@@ -80,11 +117,27 @@ def _tail(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) ->
 
 
 def bh_fdr(df: DataFrame, by: list[str], p: str = "pvalue", out: str = "fdr") -> DataFrame:
-    """Benjamini-Hochberg: the least of p*n/rank over this and all larger p of the group, 1 at most."""
-    group = Window.partitionBy(*by)
-    ranked = df.withColumn("__n", F.count("*").over(group)).withColumn("__r", F.row_number().over(group.orderBy(p)))
-    upper = group.orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__r")).over(upper))).drop("__n", "__r")
+    """Benjamini-Hochberg: the least of p*n/rank over this and all larger p of the group, 1 at most; null p: null.
+
+    No task holds a group. Rows are numbered by ranges of p; least values are taken within ranges, then over the ranges
+    after one, which are a row each, and then from the end of a range to each of its rows.
+    """
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])  # spreads equal p over ranges
+    keyed = df.where(F.col(p).isNotNull()).withColumn("__tie", tie)
+    ranked = number_rows(keyed, by, [F.col(p), F.col("__tie")], "__r", part="__part").drop("__tie")
+    named, names = [F.col(b).alias(f"__by_{b}") for b in by], [f"__by_{b}" for b in by]
+    same = lambda left, right: reduce(and_, [left[b].eqNullSafe(right[f"__by_{b}"]) for b in by], F.lit(True))
+    sizes = small(materialize(keyed.groupBy(*named).agg(F.count("*").alias("__n")), "sizes"))
+    ranked = ranked.join(sizes, same(ranked, sizes)).drop(*names).withColumn("__q", F.col(p) * F.col("__n") / F.col("__r"))
+    ranked = materialize(ranked, "ranked_p")
+    least = ranked.groupBy(*named, F.col("__part").alias("__p")).agg(F.min("__q").alias("__least"))
+    after = Window.partitionBy(*names).orderBy(F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = small(materialize(least.select(*names, "__p", F.min("__least").over(after).alias("__later")), "ranges"))  # a row for each range of a group
+    rows = ranked.join(later, same(ranked, later) & (ranked["__part"] == later["__p"]))
+    within = Window.partitionBy(*by, "__part").orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.min("__q").over(within), F.col("__later"))
+    done = rows.withColumn(out, q).select(*df.columns, out)
+    return done.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def overlap_gene_list(rows: DataFrame, by: list[str], most: int = 50) -> DataFrame:
@@ -111,12 +164,13 @@ def go_enrichment(fg: DataFrame, bg: DataFrame, gene2go: DataFrame, names: DataF
     fg: (set_name, gene_id[, weight][, min_overlap]); all sets are tested in one job.
     """
     weighed = fg if "weight" in fg.columns else fg.withColumn("weight", F.lit(None).cast("double"))
-    counts = materialize(go_counts(fg, bg, gene2go, min_bg, min_overlap), "counts")
+    maps = Bitmaps(fg, bg, gene2go)
     gene_ratio, bg_ratio = F.col("k") / F.col("big_n"), F.col("n") / F.col("m")
-    tested = counts.select("*", gene_ratio.alias("gene_ratio"), bg_ratio.alias("bg_ratio"), (gene_ratio / bg_ratio).alias("fold_enrichment"), hypergeom_sf(F.col("k"), F.col("m"), F.col("n"), F.col("big_n")).alias("pvalue"))
-    tested = bh_fdr(tested, ["set_name"])
-    members = weighed.join(bg.select("gene_id").distinct(), "gene_id", "left_semi").groupBy("set_name", "gene_id").agg(F.max("weight").alias("weight"))
-    hits = gene2go.select("gene_id", "go_id").distinct().join(members, "gene_id").join(counts.select("set_name", "go_id"), ["set_name", "go_id"], "left_semi")
-    out = tested.join(overlap_gene_list(hits, ["set_name", "go_id"], max_genes), ["set_name", "go_id"])
+    p = hypergeom_sf(F.col("k"), F.col("m"), F.col("n"), F.col("big_n"))
+    tested = maps.counts(fg, min_bg, min_overlap).select("*", gene_ratio.alias("gene_ratio"), bg_ratio.alias("bg_ratio"), (gene_ratio / bg_ratio).alias("fold_enrichment"), p.alias("pvalue"))
+    tested = materialize(tested, "tested")
+    members = weighed.groupBy("set_name", "gene_id").agg(F.max("weight").alias("weight"))
+    hits = maps.shared(tested).join(small(members), ["set_name", "gene_id"])
+    out = bh_fdr(tested, ["set_name"]).join(overlap_gene_list(hits, ["set_name", "go_id"], max_genes), ["set_name", "go_id"])
     out = add_go_names(out, names) if names is not None else out.withColumn("go_name", F.lit(""))
     return out.select("set_name", "go_id", "go_name", F.col("k").alias("overlap_k"), F.col("big_n").alias("fg_n"), F.col("n").alias("bg_with_go_n"), F.col("m").alias("bg_m"), "gene_ratio", "bg_ratio", "fold_enrichment", "pvalue", "fdr", "overlap_genes")

@@ -124,6 +124,21 @@ def overlay_deltas(nodes: DataFrame, delta: DataFrame, samples: DataFrame) -> Da
     return every.join(own, ["sample_id", "node_type", "node_id"], "left").withColumn("x", F.coalesce("__x", "x")).drop("__x")
 
 
+def overlay_stored(nodes: DataFrame, delta: DataFrame, samples: DataFrame) -> DataFrame:
+    """J10 for tables of store_embeddings(): as overlay_deltas(), joined on node_type and node_id alone.
+
+    With equal buckets neither nodes nor delta is shuffled. A node's rows of delta meet its row of nodes; the samples without
+    one, which are counted for each node beforehand in ids only, get the reference's vector.
+    """
+    used = small(samples.select("sample_id").distinct())
+    own = delta.join(used, "sample_id", "left_semi").select("node_type", "node_id", "sample_id", "x")
+    changed = nodes.select("node_type", "node_id").join(own, ["node_type", "node_id"]).select("sample_id", "node_type", "node_id", "x")
+    who = own.groupBy("node_type", "node_id").agg(F.collect_set("sample_id").alias("__who"))
+    rest = nodes.join(who, ["node_type", "node_id"], "left").crossJoin(used)
+    rest = rest.where(F.col("__who").isNull() | ~F.array_contains("__who", F.col("sample_id"))).select("sample_id", "node_type", "node_id", "x")
+    return changed.unionByName(rest)
+
+
 def sync_tf(nodes: DataFrame, strict: bool = True) -> DataFrame:
     """TF vectors of each sample replaced by the sample's vectors of the same genes.
 
@@ -134,3 +149,19 @@ def sync_tf(nodes: DataFrame, strict: bool = True) -> DataFrame:
     missing: Column = F.raise_error(F.concat(F.lit("TF without gene: "), F.col("node_id"))).cast(nodes.schema["x"].dataType) if strict else F.col("x")
     tf = tf.withColumn("x", F.when(F.col("__x").isNotNull(), F.col("__x")).otherwise(missing)).select(*nodes.columns)
     return nodes.where("node_type <> 'tf'").unionByName(tf)
+
+
+def sync_tf_deltas(nodes: DataFrame, delta: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """J11 on sparse vectors: the reference's nodes with TF vectors of their genes, and delta with a TF row for each changed gene.
+
+    Their overlay is that of sync_tf(overlay_deltas(nodes, delta, samples)), without a row for each node and sample.
+    """
+    gene = nodes.where("node_type = 'gene'").select("node_id", F.col("x").alias("__x"))
+    tf = nodes.where("node_type = 'tf'").join(gene, "node_id", "left")
+    missing: Column = F.raise_error(F.concat(F.lit("TF without gene: "), F.col("node_id"))).cast(nodes.schema["x"].dataType) if strict else F.col("x")
+    tf = tf.withColumn("x", F.when(F.col("__x").isNotNull(), F.col("__x")).otherwise(missing)).select(*nodes.columns)
+    known = delta.join(nodes.select("node_type", "node_id"), ["node_type", "node_id"], "left_semi").select(*delta.columns)
+    has_gene = nodes.where("node_type = 'tf'").select("node_id").distinct().join(gene.select("node_id"), "node_id", "left_semi")
+    follows = known.where("node_type = 'gene'").join(small(has_gene), "node_id", "left_semi").withColumn("node_type", F.lit("tf")).select(*delta.columns)
+    alone = known.where("node_type <> 'tf'") if strict else known.join(small(has_gene.withColumn("node_type", F.lit("tf"))), ["node_type", "node_id"], "left_anti").select(*delta.columns)
+    return nodes.where("node_type <> 'tf'").unionByName(tf), alone.unionByName(follows)

@@ -9,8 +9,8 @@ from ..sources.shared import materialize
 from .joins import small
 
 
-def number_rows(df: DataFrame, by: list[str], order: list[Column], out: str = "rank") -> DataFrame:
-    """df with numbers from 1 within groups, in order. No task holds a whole group.
+def number_rows(df: DataFrame, by: list[str], order: list[Column], out: str = "rank", part: str | None = None) -> DataFrame:
+    """df with numbers from 1 within groups, in order. No task holds a whole group. part: also a column with the number of the range.
 
     Rows are dealt to ranges of (by, order) and written; a number is the count of the group's rows in the ranges
     before plus the place in its own range.
@@ -25,7 +25,7 @@ def number_rows(df: DataFrame, by: list[str], order: list[Column], out: str = "r
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
     joined = ranged.withColumn("__place", place).join(small(offsets), same)  # a row per range and group
-    return joined.withColumn(out, F.col("__offset") + F.col("__place")).select(*df.columns, out)
+    return joined.withColumn(out, F.col("__offset") + F.col("__place")).select(*df.columns, out, *([F.col("__part").alias(part)] if part else []))
 
 
 def rank_genes(scores: DataFrame) -> DataFrame:

@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import abs_dot, dot, mean_of, segment_softmax, weighted_sum
+from ..functions.vectors import abs_dot, dot, mean_of, segment_softmax, sum_of, weighted_sum
 from ..sources.shared import materialize
+from .grid import grid_scores, node_key
 from .joins import small, small_vectors
-from .ranking import rank_genes
+from .ranking import rank_genes, top_edges, top_per_group
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,17 @@ class Head:
         return ((g @ w1.T + b1 > 0) * w2) @ w1
 
 
+def _gradient_of(head: Head):
+    """The head's gradient at readouts, as a column function."""
+
+    @F.pandas_udf("array<double>")
+    def gradient(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for g in rows:
+            yield pd.Series(list(head.gradient(np.stack(g.to_numpy()).astype(float))) if len(g) else [], dtype=object)
+
+    return gradient
+
+
 def gradient_x_input(z: DataFrame, head: Head, mode: str = "mean", attention: tuple[list[float], float] | None = None) -> DataFrame:
     """(sample_id, gene_id, score): the sum over dimensions of |z * d(output)/dz| for rows (sample_id, gene_id, z).
 
@@ -38,11 +50,7 @@ def gradient_x_input(z: DataFrame, head: Head, mode: str = "mean", attention: tu
     attention with weights w and vector a. Only v, g and n of a sample meet its genes.
     """
 
-    @F.pandas_udf("array<double>")
-    def gradient(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for g in rows:
-            yield pd.Series(list(head.gradient(np.stack(g.to_numpy()).astype(float))) if len(g) else [], dtype=object)
-
+    gradient = _gradient_of(head)
     if mode == "mean":
         g = z.groupBy("sample_id").agg(mean_of(F.col("z")).alias("g"), F.count("*").alias("n"))
         per_sample = small_vectors(materialize(g.select("sample_id", "n", gradient("g").alias("v")), "gradients"), "v")
@@ -76,14 +84,97 @@ def mask_edges_by_top_genes(edges: DataFrame, top: DataFrame) -> DataFrame:
     return out.where(no_gene | F.col("__src").isNotNull() | F.col("__dst").isNotNull()).select(*edges.columns)
 
 
+def _numbered(edges: DataFrame) -> DataFrame:
+    """edges with edge_row, a number of its own for each row, and the keys of both ends; written."""
+    ends = {"edge_row": F.monotonically_increasing_id(), "src": node_key("src_type", "src_id"), "dst": node_key("dst_type", "dst_id")}
+    return materialize(edges.withColumns(ends), "numbered_edges")
+
+
+def _nodes(z: DataFrame) -> list:
+    return [node_key("node_type", "node_id").alias("node"), F.col("z").cast("array<double>").alias("z")]
+
+
 def interaction_scores(edges: DataFrame, z: DataFrame) -> DataFrame:
     """Edges with score: the sum of |z_src * z_dst|, averaged over the samples of z that have both ends.
 
-    z: (sample_id, node_type, node_id, z). Repeated edges stay apart by edge_ix. Mask edges first: the vectors of
-    both ends are shuffled once for each edge and sample.
+    z: (sample_id, node_type, node_id, z). Repeated edges stay apart. Mask edges first. Vectors go to the cells of a grid
+    (see grid.py), not to edges.
+    """
+    numbered = _numbered(edges)
+    sums = grid_scores(numbered.select("edge_row", "src", "dst"), z.select(F.col("sample_id").alias("sample"), *_nodes(z)))
+    return numbered.join(sums.where("n > 0"), "edge_row").select(*edges.columns, (F.col("s") / F.col("n")).alias("score"))
+
+
+def sparse_interaction_scores(edges: DataFrame, reference: DataFrame, own: DataFrame, n_samples: int) -> DataFrame:
+    """A14 for samples that differ from a reference at few nodes: equal to interaction_scores() over the full overlay.
+
+    reference: (node_type, node_id, z); own: (sample_id, node_type, node_id, z), the vectors that differ, of at most n_samples
+    samples. Every edge is scored once for the reference; a sample adds what changes at edges with a changed end.
+    Vectors of nodes that the reference doesn't have are ignored.
+    """
+    numbered = _numbered(edges)
+    sums = _sparse_sums(numbered, reference, own)
+    return numbered.join(sums, "edge_row").select(*edges.columns, (F.col("base") + F.col("s") / n_samples).alias("score"))
+
+
+def _sparse_sums(numbered: DataFrame, reference: DataFrame, own: DataFrame) -> DataFrame:
+    known = own.join(reference.select("node_type", "node_id"), ["node_type", "node_id"], "left_semi")
+    sums = grid_scores(numbered.select("edge_row", "src", "dst"), known.select(F.col("sample_id").alias("sample"), *_nodes(known)), reference.select(*_nodes(reference)))
+    return sums.where("base is not null")
+
+
+def top_interactions(edges: DataFrame, reference: DataFrame, own: DataFrame, n_samples: int, k: int, first: int = 4) -> tuple[DataFrame, int]:
+    """T1 with bounds: (the k best edges of each type, as top_edges() over sparse_interaction_scores(); how many edges were scored).
+
+    By Cauchy and Schwarz an edge's mean score is at most the product of its ends' root mean squared norms. The edges with
+    the first * k highest bounds of a type are scored; of the others only those whose bound reaches the k-th score of these.
+    """
+    numbered = _numbered(edges)
+    square = lambda c: F.aggregate(F.col(c).cast("array<double>"), F.lit(0.0), lambda acc, v: acc + v * v)
+    base = reference.select(node_key("node_type", "node_id").alias("node"), square("z").alias("q"))
+    mine = own.select(node_key("node_type", "node_id").alias("node"), square("z").alias("own")).groupBy("node").agg(F.sum("own").alias("own"), F.count("*").alias("n"))
+    mean = (F.col("q") * (n_samples - F.coalesce("n", F.lit(0))) + F.coalesce("own", F.lit(0.0))) / n_samples
+    norms = small(materialize(base.join(mine, "node", "left").select("node", F.sqrt(mean).alias("norm")), "norms"))
+    bounded = numbered.join(norms.toDF("src", "__s"), "src").join(norms.toDF("dst", "__d"), "dst")
+    bounded = materialize(bounded.withColumn("bound", F.col("__s") * F.col("__d") * (1 + 1e-9)).drop("__s", "__d"), "bounded_edges")
+    kind = ["src_type", "rel", "dst_type"]
+
+    def scored(rows: DataFrame) -> DataFrame:
+        sums = _sparse_sums(rows, reference, own)
+        return materialize(rows.join(sums.drop("n"), "edge_row").withColumn("score", F.col("base") + F.col("s") / n_samples).select(*edges.columns, "edge_row", "score"), "scored_edges")
+
+    likely = materialize(top_per_group(bounded, kind, [F.col("bound").desc(), F.col("edge_ix")], first * k).drop("rank"), "likely_edges")
+    done = scored(likely)
+    kth = top_per_group(done, kind, [F.col("score").desc(), F.col("edge_ix")], k).where(F.col("rank") == k).select(*kind, F.col("score").alias("__kth"))
+    rest = bounded.join(F.broadcast(kth), kind).where(F.col("bound") >= F.col("__kth")).drop("__kth")  # a row per type of edge
+    rest = materialize(rest.join(small(likely.select("edge_row")), "edge_row", "left_anti"), "other_edges")
+    both = done.unionByName(scored(rest)) if not rest.isEmpty() else done
+    return top_edges(both.drop("edge_row"), k), both.count()
+
+
+def sparse_importance(genes: DataFrame, own: DataFrame, n_samples: int, head: Head) -> DataFrame:
+    """A12, A13 for samples that differ from a reference at few genes, mean readout: equal to gene_importance() over
+    gradient_x_input() of the full overlay. genes: (gene_id, z) of the reference; own: (sample_id, gene_id, z).
+
+    |z * v| is |z| * |v|, so the sum over samples of a reference vector's score is its product with the sum of |v|, one
+    vector in all; a sample corrects the genes that it changes. Its readout is the reference's plus the mean of its changes.
     """
-    keys = edges.columns
-    src = z.select("sample_id", F.col("node_type").alias("src_type"), F.col("node_id").alias("src_id"), F.col("z").alias("__a"))
-    dst = z.select("sample_id", F.col("node_type").alias("dst_type"), F.col("node_id").alias("dst_id"), F.col("z").alias("__b"))
-    both = edges.join(src, ["src_type", "src_id"]).join(dst, ["sample_id", "dst_type", "dst_id"])
-    return both.select(*keys, abs_dot("__a", "__b").alias("s")).groupBy(*keys).agg(F.avg("s").alias("score"))
+    ref = materialize(genes.select("gene_id", F.col("z").cast("array<double>").alias("z")), "reference_genes")
+    mine = own.select("sample_id", "gene_id", F.col("z").cast("array<double>").alias("own")).join(ref, "gene_id")
+    mine = materialize(mine, "changed_genes")
+    n = ref.count()
+    less = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    size = lambda c: F.transform(c, F.abs)
+    inner = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, t: acc + t)
+    g = F.broadcast(ref.agg(mean_of(F.col("z")).alias("g")))  # one row
+    change = mine.groupBy("sample_id").agg(sum_of(less(F.col("own"), F.col("z"))).alias("c"))
+    readouts = change.crossJoin(g).select("sample_id", F.zip_with("g", "c", lambda x, y: x + y / F.lit(n)).alias("g"))
+    slope = _gradient_of(head)
+    per_sample = materialize(readouts.select("sample_id", size(slope("g")).alias("v")), "gradients")
+    n_changed = per_sample.count()
+    plain = g.select(size(slope("g")).alias("v")).select(F.transform("v", lambda x: x * (n_samples - n_changed)).alias("v"))
+    total = F.broadcast(materialize(per_sample.select("v").unionByName(plain).agg(sum_of(F.col("v")).alias("v")), "gradient_sum"))  # one row
+    fixes = mine.join(small_vectors(per_sample, "v"), "sample_id").groupBy("gene_id").agg(F.sum(inner(less(size(F.col("own")), size(F.col("z"))), F.col("v"))).alias("fix"))
+    scores = ref.crossJoin(total).join(fixes, "gene_id", "left")
+    score = (inner(size(F.col("z")), F.col("v")) + F.coalesce("fix", F.lit(0.0))) / (n * n_samples)
+    return rank_genes(scores.select(F.col("gene_id").alias("id"), score.alias("score")))

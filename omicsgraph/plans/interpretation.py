@@ -6,17 +6,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chains, enrichment, graph, ranking, scoring
+from ..operators.joins import small
+from ..sources import tables
 from ..sources.shared import materialize
 
 
-def score_interactions(features: DataFrame, edges: DataFrame, head: scoring.Head, top_genes: int = 2000, top_edges: int = 10_000, mode: str = "mean", attention=None) -> tuple[DataFrame, DataFrame]:
-    """(importance, top edges): gene scores averaged over samples, and the best edges of each type that touch the top genes."""
-    z = features.withColumnRenamed("x", "z")
-    genes = z.where("node_type = 'gene'").select("sample_id", F.col("node_id").alias("gene_id"), "z")
-    importance = materialize(scoring.gene_importance(scoring.gradient_x_input(genes, head, mode, attention)), "importance")
+def chosen_samples(samples: DataFrame, only: list[str] | DataFrame | None = None, max_samples: int | None = None) -> DataFrame:
+    """The distinct sample_id to use: all, or those of a list; of these the first max_samples by id."""
+    rows = samples.select("sample_id").distinct()
+    if only is not None:
+        wanted = only.select("sample_id").distinct() if isinstance(only, DataFrame) else samples.sparkSession.createDataFrame([(s,) for s in only], rows.schema)
+        rows = rows.join(wanted, "sample_id", "left_semi")
+    return rows if max_samples is None else rows.orderBy("sample_id").limit(max_samples)
+
+
+def score_interactions(
+    nodes: DataFrame,
+    delta: DataFrame,
+    samples: DataFrame,
+    edges: DataFrame,
+    head: scoring.Head,
+    top_genes: int = 2000,
+    top_edges: int = 10_000,
+    mode: str = "mean",
+    attention=None,
+    strict_tf: bool = True,
+    only: list[str] | DataFrame | None = None,
+    max_samples: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(importance, top edges): gene scores averaged over samples, and the best edges of each type that touch the top genes.
+
+    nodes: the reference's vectors; delta: what each sample changes. Vectors stay sparse: no row is made for each node
+    and sample, except for the genes' scores with an attention readout, whose weights differ in every sample.
+    only, max_samples: the samples to use.
+    """
+    used = materialize(chosen_samples(samples, only, max_samples), "samples")
+    n = used.count()
+    if not n:
+        raise ValueError("no samples")
+    own = delta.join(small(used), "sample_id", "left_semi").select("sample_id", "node_type", "node_id", "x")
+    reference, own = (materialize(df, "sparse_vectors") for df in graph.sync_tf_deltas(nodes.select("node_type", "node_id", "x"), own, strict_tf))
+    gene = lambda df, *keys: df.where("node_type = 'gene'").select(*keys, F.col("node_id").alias("gene_id"), F.col("x").alias("z"))
+    if mode == "mean":
+        importance = scoring.sparse_importance(gene(reference), gene(own, "sample_id"), n, head)
+    else:
+        full = graph.overlay_deltas(reference.where("node_type = 'gene'"), own.where("node_type = 'gene'"), used)
+        importance = scoring.gene_importance(scoring.gradient_x_input(gene(full, "sample_id"), head, mode, attention))
+    importance = materialize(importance, "importance")
     masked = scoring.mask_edges_by_top_genes(edges, ranking.top_ids(importance, top_genes))
     keys = masked.select("edge_ix", "src_type", "rel", "dst_type", "src_id", "dst_id")
-    return importance, materialize(ranking.top_edges(scoring.interaction_scores(keys, z), top_edges), "top_edges")
+    top, _ = scoring.top_interactions(keys, reference.withColumnRenamed("x", "z"), own.withColumnRenamed("x", "z"), n, top_edges)
+    return importance, materialize(top, "top_edges")
+
+
+def write_results(folder: str, importance: DataFrame, top: DataFrame, hits: DataFrame | None = None, result: DataFrame | None = None) -> None:
+    """The ranked lists as text below a folder: gene_importance, top_edges, target_gene_hits, enrichment."""
+    tables.write_tsv(importance.select("id", "score", "rank"), f"{folder}/gene_importance", ["rank"])
+    tables.write_tsv(top.select("src_type", "rel", "dst_type", "rank", "src_id", "dst_id", "score"), f"{folder}/top_edges", ["src_type", "rel", "dst_type", "rank"])
+    if hits is not None:
+        tables.write_tsv(hits, f"{folder}/target_gene_hits", [F.col("hit_all").desc(), "gene_id"])
+    if result is not None:
+        tables.write_tsv(result, f"{folder}/enrichment", ["set_name", "fdr", "pvalue", "go_id"])
 
 
 def interpret(nodes: DataFrame, edges: DataFrame, importance: DataFrame, tf_region: DataFrame, top_ppi: DataFrame, gene2go: DataFrame, names: DataFrame | None = None, top_regions: int = 2000, top_importance: int = 2000, min_bg: int = 5, min_overlap: int = 3, top_terms: int | None = None, max_genes_listed: int = 50) -> dict[str, DataFrame]:

@@ -28,6 +28,10 @@ class Sizes:
     gene_window: int = 6000
     gene_stride: int = 3000
     lengths: dict[str, int] = field(default_factory=lambda: dict(LENGTHS))
+    window_pooling: str = "mean"  # of a long gene's windows: mean, max, first or last
+    strands: str | None = "sum"  # both strands added, or their mean; None: forwards only
+    max_length: int | None = None  # letters of a piece that the embedder takes
+    batch_size: int = 64
 
 
 def _edge(df: DataFrame, src_type: str, rel: str, dst_type: str, src: str, dst: str, weight) -> DataFrame:
@@ -48,14 +52,21 @@ def reference_loci(lines: dict[str, DataFrame], genome: DataFrame, sizes: Sizes
     return materialize(build_loci(genes, regions, windows, flank=gene_flank), "loci"), pairs
 
 
+def embed_kinds(seqs: DataFrame, embedder, dim: int, keys: list[str], sizes: Sizes) -> DataFrame:
+    """(keys, x) of sequences (keys with kind, seq, fixed_len): genes in windows that are pooled, others at a fixed length."""
+    how = {"strands": sizes.strands, "max_length": sizes.max_length, "batch_size": sizes.batch_size}
+    fixed = embed_sequences(seqs.where("kind <> 'gene'"), embedder, dim, keys, "fixed", **how)
+    genes = embed_sequences(seqs.where("kind = 'gene'"), embedder, dim, keys, "adaptive", sizes.gene_short, sizes.gene_window, sizes.gene_stride, sizes.window_pooling, **how)
+    return fixed.unionByName(genes)
+
+
 def embed_loci(loci: DataFrame, tiles: DataFrame, embedder, dim: int, sizes: Sizes | None = None) -> DataFrame:
     """(node_type, node_id, x) of all loci: regions and windows at a fixed length, genes in windows that are pooled."""
     sizes = sizes or Sizes()
     seqs = G.extract_locus_seq(loci, tiles, sizes.tile).select("kind", "locus_id", "rtype", F.when((F.col("kind") == "gene") & (F.col("strand") == "-"), reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
     length = F.when(F.col("kind") == "window", sizes.window).otherwise(fixed_len_for_type(F.col("rtype"), sizes.lengths))
-    fixed = embed_sequences(seqs.where("kind <> 'gene'").withColumn("fixed_len", length), embedder, dim, ["kind", "locus_id"], "fixed")
-    genes = embed_sequences(seqs.where("kind = 'gene'"), embedder, dim, ["kind", "locus_id"], "adaptive", sizes.gene_short, sizes.gene_window, sizes.gene_stride)
-    return materialize(fixed.unionByName(genes).select(F.col("kind").alias("node_type"), F.col("locus_id").alias("node_id"), "x"), "vectors")
+    x = embed_kinds(seqs.withColumn("fixed_len", length), embedder, dim, ["kind", "locus_id"], sizes)
+    return materialize(x.select(F.col("kind").alias("node_type"), F.col("locus_id").alias("node_id"), "x"), "vectors")
 
 
 def build_graph(lines: dict[str, DataFrame], vectors: DataFrame, region_window: DataFrame, min_ppi: float = 0.0, ppi_mode: str = "none", reverse: bool = True, ppi_already_directed: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.scalars import extract_locus_id, safe_sample_id
+from ..operators import graph, variants
 from ..operators.enrichment import build_gene2go, build_go_names
 from ..sources import tables, text
 from ..sources.shared import shared_dir
@@ -28,6 +29,16 @@ def s1r(spark, d):
     return text.read_fasta(spark, path)
 
 
+@register("s1_fasta_tiles", "fx_genome", """select chrom, i tile_ix, i*1000+1 tile_start, substr(seq, cast(i*1000+1 as int), 1000) seq
+    from (select chrom, seq, unnest(range(0, cast(ceil(length(seq)/1000.0) as bigint))) i from fx_genome where seq<>'')""")
+def s1f(spark, d):
+    """Written as FASTA with lines of 60 letters, and tiled by lines; chunks of 100 lines, so that records go over many."""
+    path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    lines = F.concat(F.lit(">"), F.col("chrom"), F.lit(" text\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))
+    view(spark, d, "fx_genome").select(lines.alias("value")).write.text(path)
+    return text.read_fasta_tiles(spark, path, 1000, chunk=100)
+
+
 @register("s2_parse_gff", "fx_gene", "select gene_id, chrom, gstart, gend, strand from fx_gene where gene_key%7<>0")
 def s2(spark, d):
     line = r"case when gene_key%7=0 then '# '||gene_id else concat_ws('\t',chrom,'src','gene',gstart,gend,'.',strand,'.','Name=x;ID='||gene_id||';Note=y') end"
@@ -54,6 +65,33 @@ def s3g(spark, d):
     return text.parse_vcf(sql(spark, d, "", VCF))[1]
 
 
+#: Two files put together: the second half of the records has another header, with the samples the other way round.
+HEADS = VCF.replace("from orders)", "from orders where o_orderkey%2=0)", 1) + r""" union all select 1000000000000+o_orderkey line_no, concat_ws('\t', chrom, pos, '.', ref, alt, '.', '.', '.', 'GT', gb, ga) line from
+    (select o_orderkey, 'Chr'||cast(o_orderkey%50+1 as string) chrom, (o_orderkey*37)%5000+1 pos, substr('ACGT',cast(o_orderkey%4+1 as int),1) ref, substr('CGTA',cast(o_orderkey%4+1 as int),1) alt,
+     case o_orderkey%4 when 0 then '0/1' when 1 then '1|1' when 2 then './.' else '1' end ga, case o_orderkey%3 when 0 then '0/0' when 1 then './1' else '2/1' end gb from orders where o_orderkey%2=1)
+    union all select 1000000000000 line_no, concat_ws('\t','#CHROM','POS','ID','REF','ALT','QUAL','FILTER','INFO','FORMAT','SB','SA') line"""
+BY_HEAD = """(select case when o_orderkey%2=1 then 1000000000000 else 0 end+o_orderkey rec_ix, 'Chr'||cast(o_orderkey%50+1 as string) chrom, (o_orderkey*37)%5000+1 pos, substr('CGTA',cast(o_orderkey%4+1 as int),1) alt, s.sample_id,
+    case s.sample_id when 'SA' then case o_orderkey%4 when 0 then 0 when 1 then 1 when 2 then -1 else 1 end else case o_orderkey%3 when 0 then 0 when 1 then -1 else 2 end end a1,
+    case s.sample_id when 'SA' then case o_orderkey%4 when 2 then -1 else 1 end else case o_orderkey%3 when 0 then 0 else 1 end end a2 from orders cross join (select 'SA' sample_id union all select 'SB') s)"""
+
+
+@register("s3_parse_vcf_heads", "", f"select rec_ix, sample_id, a1, a2 from {BY_HEAD}")
+def s3h(spark, d):
+    return text.parse_vcf(sql(spark, d, "", HEADS))[1]
+
+
+@register("a5_carried_snps", "", f"select sample_id, chrom, pos, max_by(alt, rec_ix) alt from {BY_HEAD} where a1>=0 and a2>=0 and (a1=1 or a2=1) group by sample_id, chrom, pos")
+def a5s(spark, d):
+    return variants.carried_snps(*text.parse_vcf_carriers(sql(spark, d, "", HEADS)))
+
+
+@register("a6_carried_stats", "", f"""select sample_id, chrom, count(*) seen, count(*) snp, count(case when a1>=0 and a2>=0 and (a1=1 or a2=1) then 1 end) gt_alt, count(case when a1>=0 and a2>=0 and (a1=1 or a2=1) and pos%3=0 then 1 end) ref_mismatch
+    from {BY_HEAD} group by sample_id, chrom""")
+def a6s(spark, d):
+    site, names = text.parse_vcf_carriers(sql(spark, d, "", HEADS))
+    return variants.carried_stats(site.withColumn("ref_ok", F.col("pos") % 3 != 0), names)
+
+
 GAF = r"""select l_orderkey*10+l_linenumber line_no, concat_ws('\t','TAIR','locus:'||cast(l_orderkey as string), case when l_linenumber%2=0 then lower(gene_id)||'.1' else 'X' end,
     case when l_linenumber=3 then 'NOT|enables' else 'enables' end, case when l_linenumber=7 then 'PO:1' else go_id end, 'r','IEA','','P', case when l_linenumber=1 then '' else 'n'||cast(l_orderkey as string) end,
     case when l_linenumber%2=1 then 'syn|'||gene_id||'|AT2G00001' else '' end,'protein','taxon:3702','20200101','TAIR') line from
@@ -123,6 +161,21 @@ def s10(spark, d):
     return tables.read_embeddings(spark, path).select("node_id", "sample_id", "node_type", F.round(total, 4).alias("total"))
 
 
+@register("j10_overlay_stored", "", """select s.sample_id, 'gene' node_type, e.vec_id node_id, round(list_sum(e.embedding)*case when e.vec_id%4=s.k then 2 else 1 end, 4) total from embeddings e cross join (select 'S0' sample_id, 0 k union all select 'S1', 1 union all select 'S2', 2) s""")
+def j10s(spark, d):
+    """Reference and changed vectors stored in buckets, and laid over each other."""
+    nodes = sql(spark, d, "", "select 'gene' node_type, vec_id node_id, embedding x from embeddings")
+    own = sql(spark, d, "", "select 'S'||cast(vec_id%4 as string) sample_id, 'gene' node_type, vec_id node_id, transform(embedding, v -> v*2) x from embeddings")
+    stored = []
+    for name, df in (("nodes", nodes), ("own", own)):
+        table = f"{name}_{uuid.uuid4().hex}"
+        tables.store_embeddings(df, table, 8, f"{shared_dir(spark)}/{table}")
+        stored.append(spark.table(table))
+    samples = spark.createDataFrame([("S0",), ("S1",), ("S2",)], "sample_id string")
+    total = F.aggregate(F.col("x").cast("array<double>"), F.lit(0.0), lambda a, v: a + v)
+    return graph.overlay_stored(*stored, samples).select("sample_id", "node_type", "node_id", F.round(total, 4).alias("total"))
+
+
 @register("s11_discover_samples", "", "select 'c'||cast(c_custkey as string) sample_id, 'file:/x/sample_c'||cast(c_custkey as string)||'_mutant_graph.pt' path from customer where c_custkey%3<>0")
 def s11(spark, d):
     listing = sql(spark, d, "", "select case when c_custkey%3=0 then 'file:/x/other_'||cast(c_custkey as string)||'.pt' else 'file:/x/sample_c'||cast(c_custkey as string)||'_mutant_graph.pt' end path from customer")

@@ -163,12 +163,17 @@ def j5(spark, d):
     return _locus_seq(spark, d).select("kind", "locus_id", "seq")
 
 
-@register("j6_apply_snps", LOCUS_VIEWS + " fx_snp", f"""select sample_id, kind, locus_id, case when kind='gene' and strand='-' then {RC} else seq end seq from
-    (select h.sample_id, q.kind, q.locus_id, q.strand, list_aggregate(list_transform(range(1, length(q.seq)+1), lambda i: coalesce(h.alts[q."start"+i-1], substr(q.seq, cast(i as int), 1))), 'string_agg', '') seq
-     from ({LOCUS_SEQ}) q join (select s.sample_id, l.kind, l.locus_id, map_from_entries(list((s.pos, s.alt))) alts from fx_snp s join fx_locus l on s.chrom=l.chrom and s.pos between l."start" and l."end" group by s.sample_id, l.kind, l.locus_id) h
-     on h.kind=q.kind and h.locus_id=q.locus_id)""")
+#: Pieces before each SNP with the new base, then what follows the last one.
+SPLICED = f"""(with q as (select * from ({LOCUS_SEQ})), h as (select s.sample_id, l.kind, l.locus_id, s.pos-l."start" i, s.alt from fx_snp s join fx_locus l on s.chrom=l.chrom and s.pos between l."start" and l."end"),
+    p as (select h.*, q.seq, q.strand, coalesce(lag(h.i) over (partition by h.sample_id, h.kind, h.locus_id order by h.i)+1, 0) b from h join q on q.kind=h.kind and q.locus_id=h.locus_id where h.i<length(q.seq)),
+    t as (select sample_id, kind, locus_id, any_value(strand) strand, string_agg(substr(seq, cast(b+1 as int), cast(i-b as int))||alt, '' order by i)||substr(any_value(seq), cast(max(i)+2 as int)) seq from p group by sample_id, kind, locus_id)
+    select k.sample_id, k.kind, k.locus_id, q.strand, coalesce(t.seq, q.seq) seq from (select distinct sample_id, kind, locus_id from h) k join q on q.kind=k.kind and q.locus_id=k.locus_id left join t on t.sample_id=k.sample_id and t.kind=k.kind and t.locus_id=k.locus_id)"""
+
+
+@register("j6_apply_snps", LOCUS_VIEWS + " fx_snp", f"select sample_id, kind, locus_id, case when kind='gene' and strand='-' then {RC} else seq end seq from {SPLICED}")
 def j6(spark, d):
-    return variants.apply_snps(_locus_seq(spark, d), view(spark, d, "fx_snp")).select("sample_id", "kind", "locus_id", "seq")
+    sets, seqs = variants.mutated_loci(sql(spark, d, "fx_locus", SPARK_LOCI), _tiles(spark, d), view(spark, d, "fx_snp"), TILE)
+    return sets.join(seqs, ["kind", "locus_id", "h1", "h2"]).select("sample_id", "kind", "locus_id", "seq")
 
 
 #: The token table: a vector of two numbers for each base.

@@ -152,6 +152,38 @@ def a14(spark, d):
     return _scored(spark, d).select("edge_ix", "src_type", "dst_type", "src_id", "dst_id", F.round("score", 5).alias("score"))
 
 
+#: The samples 1 and 2 differ from the reference, sample 0, at a quarter of the nodes each; sample 3 nowhere.
+SPARSE_Z = "(select s.sample_ix, n.node_ix, n.node_type, list_transform(n.z, lambda v: cast(v as double)*case when s.sample_ix<3 and n.node_ix%4=s.sample_ix then 1+0.5e0*s.sample_ix else 1 end) z from fx_node n cross join (select unnest([1, 2, 3]) sample_ix) s where n.sample_ix=0)"
+SPARSE = f"""(with zz as (select * from {SPARSE_Z}) select edge_ix, src_type, rel, dst_type, src_id, dst_id, avg(list_sum(list_transform(list_zip(a.z, b.z), lambda p: abs(p[1]*p[2])))) score
+    from ({MASKED}) m join zz a on a.node_ix=m.src_id join zz b on b.node_ix=m.dst_id and b.sample_ix=a.sample_ix group by edge_ix, src_type, rel, dst_type, src_id, dst_id)"""
+
+
+def _sparse(spark, d):
+    z = view(spark, d, "fx_node").withColumn("z", F.col("z").cast("array<double>"))
+    own = z.where("sample_ix in (1, 2) and node_ix%4=sample_ix").withColumn("z", F.transform("z", lambda v: v * (1 + F.lit(0.5) * F.col("sample_ix"))))
+    named = lambda df, *keys: df.select(*keys, "node_type", F.col("node_ix").alias("node_id"), "z")
+    return named(z.where("sample_ix=0")), named(own, F.col("sample_ix").alias("sample_id"))
+
+
+@register("a14_sparse_scores", "fx_edge fx_node", f"select edge_ix, src_type, dst_type, src_id, dst_id, round(score, 5) score from {SPARSE}")
+def a14s(spark, d):
+    out = scoring.sparse_interaction_scores(_masked(spark, d), *_sparse(spark, d), 3)
+    return out.select("edge_ix", "src_type", "dst_type", "src_id", "dst_id", F.round("score", 5).alias("score"))
+
+
+@register("t1_top_interactions", "fx_edge fx_node", f'select edge_ix, src_type, dst_type, score, "rank" from (select edge_ix, src_type, dst_type, round(score, 5) score, row_number() over (partition by src_type, rel, dst_type order by score desc, edge_ix) "rank" from {SPARSE}) where "rank"<=20')
+def t1s(spark, d):
+    top, _ = scoring.top_interactions(_masked(spark, d), *_sparse(spark, d), 3, 20)
+    return top.select("edge_ix", "src_type", "dst_type", F.round("score", 5).alias("score"), "rank")
+
+
+@register("a13_sparse_importance", "fx_node", f"""select id, score from (with zz as materialized (select sample_ix, node_ix, unnest(z) zd, unnest(range(0,64)) i from {SPARSE_Z} where node_type='gene'), g as (select sample_ix, i, avg(zd) g from zz group by sample_ix, i),
+    v as materialized (select * from {_gradient('g')}) select node_ix id, round(sum(abs(zz.zd*v.v))/(3*(select count(distinct node_ix) from zz)), 9) score from zz join v on v.sample_ix=zz.sample_ix and v.i=zz.i group by node_ix)""")
+def a13s(spark, d):
+    base, own = (df.where("node_type='gene'").withColumnRenamed("node_id", "gene_id") for df in _sparse(spark, d))
+    return scoring.sparse_importance(base, own, 3, HEAD).select("id", F.round("score", 9).alias("score"))
+
+
 @register("t1_top_edges", "fx_region_edge", "select edge_ix, src_type, rel, dst_type, score, \"rank\" from (select *, row_number() over (partition by src_type, rel, dst_type order by score desc, edge_ix) \"rank\" from (select edge_ix, chrom src_type, rel, 'gene' dst_type, max(weight) score from fx_region_edge group by edge_ix, chrom, rel)) where \"rank\"<=25")
 def t1(spark, d):
     return ranking.top_edges(sql(spark, d, "fx_region_edge", "select edge_ix, chrom src_type, rel, 'gene' dst_type, max(weight) score from fx_region_edge group by edge_ix, chrom, rel"), 25)

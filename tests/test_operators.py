@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from omicsgraph.functions import vectors as V
-from omicsgraph.operators import chains, enrichment, evaluation, genome, graph, ranking, scoring, variants
+from omicsgraph.operators import chains, enrichment, evaluation, genome, graph, grid, ranking, scoring, variants
 from omicsgraph.operators.embed import TokenTable, embed_sequences
 from omicsgraph.sources import tables, text
 
@@ -160,3 +160,193 @@ def test_embedding(spark):
     tokens = spark.createDataFrame([(1, 0, [1.0, 0.0], False), (1, 1, [0.0, 1.0], False), (1, 2, [9.0, 9.0], True), (2, 0, [9.0, 9.0], True)], "s int, token_ix int, x array<double>, is_pad boolean")
     assert rows(V.pool_tokens(tokens, ["s"])) == [(1, [0.5, 0.5]), (2, [0.0, 0.0])]
     assert rows(V.pool_tokens(tokens.where("s = 1"), ["s"], "cls")) == [(1, [1.0, 0.0])]
+
+
+def test_fasta_by_lines(spark, tmp_path):
+    """Tiles made of lines equal those of whole records, however lines fall into chunks and files into splits."""
+    rng = np.random.default_rng(4)
+    (tmp_path / "fa").mkdir()
+    for k in range(3):
+        body = ["; no header yet", ""] if k == 2 else []
+        for c in range(5):
+            seq = "".join(rng.choice(list("ACGTacgtn"), rng.integers(0, 400)))
+            body += [f">chr{k}_{c} x", *[seq[a : a + 17] + (" " if a % 3 else "") for a in range(0, len(seq), 17)], ""]
+        (tmp_path / "fa" / f"{k}.fa").write_bytes(("\r\n" if k else "\n").join(body).encode())
+    want = rows(text.tile_genome(text.read_fasta(spark, str(tmp_path / "fa")).where("chrom like 'chr%'"), 50))
+    assert len(want) > 30
+    for chunk in (1, 3, 1000):
+        assert rows(text.read_fasta_tiles(spark, str(tmp_path / "fa"), 50, chunk)) == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        assert rows(text.read_fasta_tiles(spark, str(tmp_path / "fa"), 50, 7)) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_vcf_files(spark, tmp_path):
+    """Two files with the same samples in another order: genotypes, carriers and counts go by each file's header."""
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "Q", "F", "I", "FORMAT"])
+    rec = lambda chrom, pos, *calls: "\t".join([chrom, str(pos), ".", "A", "T", ".", ".", ".", "GT", *calls])
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "1.vcf").write_text("\n".join(["##x", head + "\tS1\tS2", rec("1", 5, "0/1", "0/0"), rec("1", 9, "./.", "1")]) + "\n")
+    (tmp_path / "v" / "2.vcf").write_text("\n".join(["##x", head + "\tS2\tS1\tS3", rec("2", 7, "1|1", "0|0", "2/1")]) + "\n")
+    lines = text.read_lines(spark, str(tmp_path / "v"))
+    site, calls = text.parse_vcf(lines)
+    got = site.join(calls, "rec_ix").select("chrom", "pos", "sample_id", "a1", "a2")
+    want = [("1", 5, "S1", 0, 1), ("1", 5, "S2", 0, 0), ("1", 9, "S1", -1, -1), ("1", 9, "S2", 1, 1), ("2", 7, "S1", 0, 0), ("2", 7, "S2", 1, 1), ("2", 7, "S3", 2, 1)]
+    assert rows(got) == want
+    sparse, names = text.parse_vcf_carriers(lines)
+    assert rows(variants.carried_snps(sparse, names)) == rows(variants.sample_snps(site, calls)) == [("S1", "1", 5, "T"), ("S2", "1", 9, "T"), ("S2", "2", 7, "T"), ("S3", "2", 7, "T")]
+    assert rows(variants.carried_snps(sparse, names.where("sample_id = 'S3'"))) == [("S3", "2", 7, "T")]
+    checked = sparse.withColumn("ref_ok", F.col("pos") != 9)
+    plain = variants.snp_extraction_stats(site, calls).drop("ref_mismatch")
+    assert rows(variants.carried_stats(checked, names).drop("ref_mismatch")) == rows(plain)
+    assert {(r.sample_id, r.chrom): r.ref_mismatch for r in variants.carried_stats(checked, names).collect()}["S2", "1"] == 1
+
+
+def test_headers_of_files(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "1.txt").write_text("sample_id\tlabel\nA\t1\n")
+    (tmp_path / "l" / "2.txt").write_text("label\tx\tsample_id\n2\t-\tB\n")
+    lines = text.read_lines(spark, str(tmp_path / "l"))
+    assert rows(text.parse_labels(lines)) == [("A", 1.0), ("B", 2.0)]
+    assert rows(text.parse_pairs(lines)) == [("2", "-"), ("A", "1")]
+
+
+def test_bins_hold_wide_loci(spark):
+    """A locus is one row after binning, however wide; every pair is found once."""
+    rng = np.random.default_rng(6)
+    spans = [(int(s), int(s + w)) for s, w in zip(rng.integers(-500, 3_000_000, 200), 10 ** rng.uniform(0, 6.5, 200))] + [(1, 10**9), (4095, 4096), (7, 7)]
+    places = [int(p) for p in rng.integers(1, 4_000_000, 300)] + [1, 4095, 4096, 7]
+    loci = spark.createDataFrame([("c", k, a, b) for k, (a, b) in enumerate(spans)], "chrom string, k long, start long, end long")
+    sites = spark.createDataFrame([("c", p, i) for i, p in enumerate(places)], "chrom string, pos long, i long")
+    got = sorted((r.i, r.k) for r in variants.sites_in_loci(sites, loci, 64).collect())
+    assert got == sorted((i, k) for i, p in enumerate(places) for k, (a, b) in enumerate(spans) if a <= p <= b)
+    inside = variants.snps_in_intervals(sites, loci.where("k % 2 = 1"), 64)
+    assert sorted(r.i for r in inside.collect()) == [i for i, p in enumerate(places) if any(a <= p <= b for k, (a, b) in enumerate(spans) if k % 2)]
+
+
+def test_splicing_over_tiles(spark):
+    rng = np.random.default_rng(8)
+    seq = "".join(rng.choice(list("ACGT"), 900))
+    loci = [("gene" if k % 3 else "region", f"l{k}", "c", int(a), int(a + w), "-" if k % 2 else "+") for k, (a, w) in enumerate(zip(rng.integers(-20, 950, 60), rng.integers(0, 120, 60)))]
+    snps = {(f"s{s}", int(p)): "ACGT"[int(p + s) % 4] for s in range(4) for p in rng.integers(1, 1000, 30)}
+    tiles = text.tile_genome(spark.createDataFrame([("c", seq)], "chrom string, seq string"), 64)
+    made, seqs = variants.mutated_loci(spark.createDataFrame(loci, "kind string, locus_id string, chrom string, start long, end long, strand string"), tiles, spark.createDataFrame([(s, "c", p, a) for (s, p), a in snps.items()], "sample_id string, chrom string, pos long, alt string"), 64)
+    got = {(r.sample_id, r.locus_id): r.seq for r in made.join(seqs, ["kind", "locus_id", "h1", "h2"]).collect()}
+    want = {}
+    for s in {s for s, _ in snps}:
+        for kind, name, _, a, b, strand in loci:
+            mine = [p for q, p in snps if q == s and a <= p <= b]
+            if mine and max(a, 1) <= min(b, len(seq)):
+                base = [snps.get((s, p), seq[p - 1]) for p in range(max(a, 1), min(b, len(seq)) + 1)]
+                want[s, name] = "".join(base) if kind == "region" or strand == "+" else "".join(base)[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    assert got == want
+
+
+def test_stored_embeddings_meet_without_shuffle(spark, tmp_path):
+    """Tables in buckets: few files whatever the number of samples, and no exchange of either table in the overlay's joins."""
+    nodes = spark.range(200).selectExpr("'gene' node_type", "cast(id as string) node_id", "array(double(id)) x")
+    delta = spark.range(2000).selectExpr("cast(id % 50 as string) sample_id", "'gene' node_type", "cast(id % 210 as string) node_id", "array(double(-id)) x").dropDuplicates(["sample_id", "node_id"])
+    for name, df in (("stored_nodes", nodes), ("stored_delta", delta)):
+        tables.store_embeddings(df, name, 4, str(tmp_path / name))
+        assert len(list((tmp_path / name).glob("*.parquet"))) <= 4
+    samples = spark.range(60).selectExpr("cast(id as string) sample_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = graph.overlay_stored(spark.table("stored_nodes"), spark.table("stored_delta"), samples)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(node_type" not in plan and "SortMergeJoin" in plan
+        assert rows(got) == rows(graph.overlay_deltas(nodes, delta, samples).selectExpr("sample_id", "node_type", "node_id", "x"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.sql("drop table stored_nodes")
+        spark.sql("drop table stored_delta")
+
+
+def random_graph(spark, n_nodes=60, n_edges=400, n_samples=7, dim=5):
+    rng = np.random.default_rng(12)
+    z = {k: rng.normal(size=dim) * rng.choice([0.1, 1, 5]) for k in range(n_nodes)}
+    kind = lambda k: "gene" if k % 3 else "region"
+    edges = [(e, kind(a), "r", kind(b), str(a), str(b)) for e, (a, b) in enumerate(zip(rng.integers(0, n_nodes, n_edges) ** 2 // n_nodes, rng.integers(0, n_nodes + 5, n_edges)))]
+    own = {(s, k): rng.normal(size=dim) for s in range(n_samples - 2) for k in range(n_nodes + 3) if rng.random() < 0.15}
+    schema = "edge_ix long, src_type string, rel string, dst_type string, src_id string, dst_id string"
+    frame = lambda rows, first: spark.createDataFrame(rows, first + "node_type string, node_id string, z array<double>")
+    full = frame([(s, kind(k), str(k), own.get((s, k), z[k]).tolist()) for s in range(n_samples) for k in z], "sample_id long, ")
+    return spark.createDataFrame(edges + edges[:9], schema), frame([(kind(k), str(k), v.tolist()) for k, v in z.items()], ""), frame([(s, kind(k), str(k), v.tolist()) for (s, k), v in own.items()], "sample_id long, "), full, n_samples
+
+
+@pytest.mark.parametrize("cells", [None, (1, 1), (4, 3), (8, 7)])
+def test_scores_over_a_grid(spark, monkeypatch, cells):
+    """Equal scores whatever the grid, for whole samples and for sparse ones; hot cells are dealt further."""
+    edges, base, own, full, n = random_graph(spark)
+    if cells:
+        monkeypatch.setattr(grid, "shape", lambda *_: cells)
+        monkeypatch.setattr(grid, "CELL_EDGES", 10)
+    z = {(r.sample_id, r.node_id): np.array(r.z) for r in full.collect()}
+    want = sorted((r.edge_ix, round(float(np.mean([np.abs(z[s, r.src_id] * z[s, r.dst_id]).sum() for s in range(n)])), 9)) for r in edges.collect() if (0, r.src_id) in z and (0, r.dst_id) in z)
+    assert sorted((r.edge_ix, round(r.score, 9)) for r in scoring.interaction_scores(edges, full).collect()) == want
+    assert sorted((r.edge_ix, round(r.score, 9)) for r in scoring.sparse_interaction_scores(edges, base, own, n).collect()) == want
+
+
+def test_grid_shape():
+    assert grid.shape(10, 1, 10, 0, 1) == (1, 1)
+    blocks, groups = grid.shape(10**9, 1000, 10**13, 10**10, 4000)
+    assert 2 * (10**13 / groups + 10**10) <= grid.CELL_BYTES * blocks and groups <= 1000 and blocks**2 * groups >= 4000
+    assert grid.shape(100, 3, 1000, 1000, 8)[0] ** 2 * grid.shape(100, 3, 1000, 1000, 8)[1] >= 8
+
+
+def test_top_edges_by_bounds(spark):
+    """Exact, with fewer edges scored than there are."""
+    edges, base, own, _, n = random_graph(spark, n_edges=3000)
+    top, scored = scoring.top_interactions(edges, base, own, n, 5, first=1)
+    want = ranking.top_edges(scoring.sparse_interaction_scores(edges, base, own, n), 5)
+    key = lambda r: (r.src_type, r.dst_type, r["rank"], r.edge_ix, round(r.score, 9))
+    assert sorted(map(key, top.collect())) == sorted(map(key, want.collect()))
+    assert scored < 0.6 * edges.count()
+
+
+def test_bh_by_ranges(spark):
+    rng = np.random.default_rng(13)
+    p = np.concatenate([rng.random(3000) ** 3, np.full(1500, 0.25), np.ones(500)])
+    df = spark.createDataFrame([("a" if k % 4 else None, k, float(v)) for k, v in enumerate(p)] + [("a", -1, None)], "s string, k long, pvalue double").repartition(8)
+    got = {r.k: r.fdr for r in enrichment.bh_fdr(df, ["s"]).collect()}
+    for group in (np.arange(len(p)) % 4 == 0, np.arange(len(p)) % 4 != 0):
+        at = np.flatnonzero(group)
+        order = at[np.argsort(p[at], kind="stable")]
+        q = np.minimum.accumulate((p[order] * len(at) / np.arange(1, len(at) + 1))[::-1])[::-1]
+        assert np.allclose([got[k] for k in order.tolist()], np.minimum(1, q), rtol=1e-12)
+    assert got[-1] is None
+    assert enrichment.bh_fdr(df.select("k", "pvalue").limit(0), []).count() == 0
+
+
+def test_bitmaps(spark):
+    rng = np.random.default_rng(14)
+    genes = [f"g{k}" for k in range(300)]
+    fg = [(f"s{s}", g, float(rng.integers(0, 5))) for s in range(3) for g in rng.choice(genes + ["x1", "x2"], 80)]
+    ann = [(g, f"t{t}") for t in range(20) for g in rng.choice(genes + ["y"], 40)]
+    sets, terms = {}, {}
+    for s, g, _ in fg:
+        sets.setdefault(s, set()).add(g)
+    for g, t in ann:
+        terms.setdefault(t, set()).add(g)
+    frames = spark.createDataFrame(fg, "set_name string, gene_id string, weight double"), spark.createDataFrame([(g,) for g in genes * 2], "gene_id string"), spark.createDataFrame(ann, "gene_id string, go_id string")
+    bg = set(genes)
+    want = sorted((s, t, len(a & b & bg), len(b & bg), len(a & bg), 300) for s, a in sets.items() for t, b in terms.items() if len(a & b & bg) >= 6 and len(b & bg) >= 30)
+    assert rows(enrichment.go_counts(*frames, 30, 6)) == sorted(want, key=str)
+    found = enrichment.go_enrichment(*frames, min_bg=30, min_overlap=6).collect()
+    assert len(found) == len(want) and all(set(r.overlap_genes.split(",")) == sets[r.set_name] & terms[r.go_id] & bg for r in found)
+
+
+def test_generated_code_compiles(spark):
+    """Plans of the interval joins stay within the size of a method; with fallback they would only be slow."""
+    from omicsgraph.queries import QUERIES
+
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in ("j2_loci_hit_by_snps", "a7_delta_stats", "j1_build_loci"):
+            QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")

@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from omicsgraph.operators import ranking, scoring
 from omicsgraph.operators.embed import TokenTable
 from omicsgraph.operators.scoring import Head
 from omicsgraph.plans import interpretation, reference_graph, sample_deltas
@@ -14,7 +17,7 @@ def lines(spark, rows, name="f"):
     return spark.createDataFrame([((name, 0, k), r) for k, r in enumerate(rows)], "line_no struct<file:string,block:long,row:long>, line string")
 
 
-def test_whole_run(spark):
+def test_whole_run(spark, tmp_path):
     rng = random.Random(0)
     seq = "".join(rng.choice("ACGT") for _ in range(9000))
     genome = spark.createDataFrame([("Chr1", seq)], "chrom string, seq string")
@@ -58,12 +61,33 @@ def test_whole_run(spark):
     assert [r.sample_id for r in few["samples"].collect()] == ["S1"]
     features = sample_deltas.sample_features(nodes, delta, samples, strict_tf=False)
     assert features.count() == 2 * nodes.count()
+    kept = sample_deltas.pending_deltas(samples, samples.limit(0), vcf, genome, tiles, loci, TABLE, 2, sizes, kept=snps)  # S1 isn't read again
+    assert sorted((r.sample_id, r.pos) for r in kept["snps"].collect()) == [("S1", p) for p in at]
+    assert {r.sample_id for r in kept["extraction"].collect()} == {"S2"}
 
     head = Head([[1.0, 0.5], [-1.0, 2.0]], [0.1, 0.1], [1.0, -1.0])
-    importance, top = interpretation.score_interactions(features, edges, head, top_genes=4, top_edges=3)
+    importance, top = interpretation.score_interactions(nodes, delta, samples, edges, head, top_genes=4, top_edges=3, strict_tf=False)
+    z = features.withColumnRenamed("x", "z")
+    genes_z = z.where("node_type = 'gene'").select("sample_id", F.col("node_id").alias("gene_id"), "z")
+    for mode, attention in (("mean", None), ("attention", ([0.3, -0.2], 0.1))):  # sparse vectors against the full overlay
+        sparse, best = interpretation.score_interactions(nodes, delta, samples, edges, head, 4, 3, mode, attention, strict_tf=False)
+        full = scoring.gene_importance(scoring.gradient_x_input(genes_z, head, mode, attention))
+        assert {r.id: round(r.score, 9) for r in sparse.collect()} == {r.id: round(r.score, 9) for r in full.collect()}
+        masked = scoring.mask_edges_by_top_genes(edges, ranking.top_ids(sparse, 4)).select("edge_ix", "src_type", "rel", "dst_type", "src_id", "dst_id")
+        want = ranking.top_edges(scoring.interaction_scores(masked, z), 3)
+        key = lambda r: (r.src_type, r.rel, r.dst_type, r["rank"], round(r.score, 9))
+        assert sorted(map(key, best.collect())) == sorted(map(key, want.collect()))
+    one, _ = interpretation.score_interactions(nodes, delta, samples, edges, head, 4, 3, strict_tf=False, only=["S2", "S9"])
+    assert {r.id: round(r.score, 9) for r in one.collect()} == {r.id: round(r.score, 9) for r in scoring.gene_importance(scoring.gradient_x_input(genes_z.where("sample_id = 'S2'"), head)).collect()}
     assert importance.count() == 6 and max(r.rank for r in top.collect()) <= 3
     tf_region = top.where("rel = 'motif'").select("src_id", "dst_id", "score", "rank")
     gene2go = spark.createDataFrame([(g, f"GO:{k % 2}") for k, g in enumerate(ids)], "gene_id string, go_id string")
     out = interpretation.interpret(nodes, edges, importance, tf_region, top.where("rel = 'ppi'"), gene2go, min_bg=1, min_overlap=1)
     assert {k: df.count() >= 0 for k, df in out.items()}
     assert out["enrichment"].where("pvalue > 1 or fdr < pvalue - 1e-12").count() == 0
+    interpretation.write_results(str(tmp_path), importance, top, out["hits"], out["enrichment"])
+    assert [r.split("\t")[0] for r in text_lines(spark, tmp_path / "gene_importance")][1:] == [r.id for r in importance.orderBy("rank").collect()]
+
+
+def text_lines(spark, folder):
+    return [line for f in sorted(folder.glob("part-*.csv")) for line in f.read_text().splitlines()]
