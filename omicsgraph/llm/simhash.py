@@ -1,12 +1,13 @@
 """SimHash near-duplicates, found with BK-trees.
 
-Documents with equal fingerprints are one node. Two fingerprints that differ in at most 2 of 64 bits agree in at
-least 3 of 5 bands of bits, so each fingerprint is dealt to the ten groups of three bands. A group is a shard: its
-BK-tree has children keyed by the Hamming distance to their parent, and a search follows only the edges within the
-radius. Trees aren't broadcast, since all fingerprints together grow with the input; large groups are split by the
-distance to a root, which is a tree's top level made on Spark. Each shard gives a spanning
-forest of its links (stars), which keeps every connection, and stars are joined to components by rounds of pointing
-neighbours at smaller nodes.
+Documents with equal fingerprints are one node. Two fingerprints that differ in at most 2 of 64 bits agree in at least one
+of three blocks of bits, so each is dealt to three shards, by the first bits of each block: as many bits as give shards of
+about SHARD fingerprints, whatever the number of all. A shard is a BK-tree, whose children are keyed by the Hamming distance
+to their parent; its members search it and follow only the edges within the radius. Trees stay in the tasks that build
+them: to broadcast them all would send every fingerprint through the driver. Shards that are still large are dealt further by
+the distance to a root, which is a tree's top level made on Spark, or, where that hardly divides them, by pairs of
+parts. Each shard gives a spanning forest of its links (stars), which keeps every connection, and stars are joined to
+components by rounds of pointing neighbours at smaller nodes.
 
 Null texts have no words, hence fingerprint zero. Null ids never name a component unless it has no other id.
 """
@@ -14,19 +15,20 @@ Null texts have no words, hence fingerprint zero. Null ids never name a componen
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, by_bytes, doc_key, map_arrow, materialize
 
 RADIUS = 2
-#: Bits of the bands, and the groups of three bands that two near fingerprints may share.
-BANDS = (13, 13, 13, 13, 12)
+#: Bits of the blocks: RADIUS + 1 of them, so near fingerprints agree in one.
+BLOCKS = (22, 21, 21)
+#: Fingerprints of a shard, about, where the blocks' bits suffice.
+SHARD = 2048
 SEED = 42
 SLICE = 1 << 20
 #: Fingerprints of a tree at most, and keys of larger groups that are broadcast.
@@ -72,14 +74,12 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return map_arrow(docs.select(id_.cast("long").alias("doc_id"), key, "text"), run, "doc_id long, text_key long, fp long")
 
 
-def band_masks() -> list[int]:
-    """For each three of the bands the bits in them, as signed 64-bit numbers."""
-    starts = [sum(BANDS[:k]) for k in range(len(BANDS))]
-    masks = []
-    for three in combinations(range(len(BANDS)), len(BANDS) - RADIUS):
-        m = sum(((1 << BANDS[k]) - 1) << starts[k] for k in three)
-        masks.append(m - (1 << 64) if m >> 63 else m)
-    return masks
+def shard_keys(fp: Column, n: int) -> Column:
+    """The shards of a fingerprint among n: a block's number and its first bits."""
+    bits = max(0, (max(1, n // SHARD) - 1).bit_length())
+    starts = [sum(BLOCKS[:k]) for k in range(len(BLOCKS))]
+    cut = [F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << min(bits, size)) - 1)) for start, size in zip(starts, BLOCKS)]
+    return F.array(*[c * len(BLOCKS) + k for k, c in enumerate(cut if bits else cut[:1])])
 
 
 class BKTree:
@@ -103,12 +103,16 @@ class BKTree:
         self.child = np.array([e[1] for e in edges], np.int64)
 
     def links(self, radius: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (a, b) of places with a > b within the radius; all members search at once, level by level."""
-        out_a, out_b = [], []
+        """All pairs (a, b) of places with a > b within the radius; all members search at once, level by level.
+
+        `visited` counts the nodes that searches have met.
+        """
+        out_a, out_b, self.visited = [], [], 0
         for start in range(0, len(self.values), block):
             query = np.arange(start, min(start + block, len(self.values)))
             node = np.zeros(len(query), np.int64)
             while len(query):
+                self.visited += len(query)
                 d = np.bitwise_count(self.values[query] ^ self.values[node]).astype(np.int64)
                 near = (d <= radius) & (query > node)
                 out_a.append(query[near])
@@ -151,13 +155,14 @@ def _search(batches):
 def near_links(fps: DataFrame, most: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all within the radius.
 
-    A group of more than `most` fingerprints is too large for one tree. Its top level is made on Spark: members are dealt
-    by their distance to the least one, which is the root, and a shard holds RADIUS + 1 neighbouring distances, as two
-    members within the radius are at distances no further apart. Shards that are still too large are dealt again.
+    A shard of more than `most` fingerprints is too large for one tree. Its top level is made on Spark: members are dealt
+    by their distance to the least one, which is the root, and a new shard holds RADIUS + 1 neighbouring distances, as two
+    members within the radius are at distances no further apart. Shards that are still too large are dealt again. Where
+    that hardly makes them smaller, members are dealt to parts, and each two parts are a shard.
     """
     most = most or MAX_TREE
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(band_masks())])
-    dealt = fps.select(F.explode(keys).alias("key"), "fp")
+    n = fps.count()
+    dealt = fps.select(F.explode(shard_keys(F.col("fp"), n)).alias("key"), "fp")
     found, before = [], None
     while True:
         sizes = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("root"))
@@ -166,13 +171,12 @@ def near_links(fps: DataFrame, most: int | None = None) -> DataFrame:
         if largest is None:
             found.append(dealt)
             break
-        dealt = materialize(dealt, "dealt") if before is None else dealt
-        if before is not None and largest > 0.7 * before:  # hardly smaller: members are all as far from each other
-            found.append(dealt)
-            break
-        before = largest
         hot = dealt.join(large, "key")  # counted rows on both sides, so that Spark can split a hot key
         found.append(dealt.join(broadcast_if_small(large.select("key"), MAX_LARGE), "key", "left_anti"))
+        if before is not None and largest > 0.7 * before:  # members are all as far from each other
+            found.append(_in_parts(hot, most))
+            break
+        before = largest
         ring = F.bit_count(F.col("fp").bitwiseXOR(F.col("root")))
         rings = F.explode(F.transform(F.sequence(F.lit(0), F.lit(RADIUS)), lambda k: ring - k)).alias("ring")
         dealt = materialize(hot.select("key", "fp", rings).where("ring >= 0").select(F.xxhash64("key", "ring").alias("key"), "fp"), "dealt")
@@ -181,15 +185,25 @@ def near_links(fps: DataFrame, most: int | None = None) -> DataFrame:
     return map_arrow(groups.where(F.size("members") > 1).select("members"), _search, "a long, b long")
 
 
-def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def _in_parts(hot: DataFrame, most: int) -> DataFrame:
+    """Shards (key, fp) of at most about `most` members: the members of a large one (key, fp, n) in parts of half that size,
+    each two of them together."""
+    parts = F.ceil(F.col("n") * 2 / most).cast("int")
+    mine = hot.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts")).cast("int"))
+    other = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    return other.select(F.xxhash64("key", low, high).alias("key"), "fp")
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; root is the least node reachable.
 
     Each round points a node's larger neighbours, then its smaller ones, at the least of them; the links shrink to
-    stars. Rounds grow with the logarithm of the longest path.
+    stars. Rounds grow with the logarithm of the longest path, and go on until nothing changes.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct(), "links")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).union(edges.select(F.col("m").alias("u"), F.col("v").alias("w")))
         least = both.groupBy("u").agg(F.least(F.min("w"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("w > u").select(F.col("w").alias("v"), "m").where("v <> m").distinct()
@@ -200,7 +214,6 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now == mark:
             return edges.select(F.col("v").alias("node"), F.col("m").alias("root"))
         mark = now
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:

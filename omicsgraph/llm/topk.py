@@ -4,7 +4,9 @@ The approximation file has one byte per component: a cell number between the vec
 Queries and cells are dealt to blocks of about BLOCK_BYTES; a task scans a block of cells for a block of queries and
 gives the pairs whose upper bound isn't below k lower bounds, so at most k of those whose bounds are exact. The first
 blocks (as many as the root of all) give each query a floor that the scan of the others starts from. Of all pairs those
-above the k-th lower bound are left: exact vectors are read for these only, and their products rank them.
+above the k-th lower bound are left. Their exact vectors are read in order of the bounds, highest upper bound first (for
+products what the lowest lower bound is for distances), in rounds of k, 4k, 16k ... for a query; it is done when no unread
+upper bound reaches its k-th exact product.
 
 Components are floor(scale * x) with x as double. Vectors that are null or hold null or non-finite components (also
 after scaling) take no part, and vectors of different length don't meet. Rows that repeat are candidates of each
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, map_arrow, materialize
+from .common import broadcast_if_small, forget, map_arrow, materialize
 
 #: Bytes of a block of cells and of a block of queries; rows compared at once in a task.
 BLOCK_BYTES, STEP, QUERIES_AT_ONCE = 32 << 20, 4096, 256
@@ -131,10 +133,11 @@ def _scan_block(k: int):
 
 
 def _products(batches):
-    """Exact inner products: the nearest long, whether it is below (-1) or above (1), and then a key that sorts them."""
-    schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.int32()), ("key", pa.binary())])
+    """Exact inner products: the nearest long, whether it is below (-1) or above (1), and then a key that sorts them; and the
+    product on the scale of the query's bounds, rounded down."""
+    schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.int32()), ("key", pa.binary()), ("low", pa.float64())])
     for batch in batches:
-        scores, beyond, keys = [], [], []
+        scores, beyond, keys, lows = [], [], [], []
         for q, v in zip(batch.column(3), batch.column(4)):
             q, v = q.values.to_numpy(), v.values.to_numpy()
             product = q @ v if np.abs(q).sum() * np.abs(v).max(initial=0) < 2.0**53 else sum(int(a) * int(b) for a, b in zip(q.tolist(), v.tolist()))
@@ -142,7 +145,11 @@ def _products(batches):
             scores.append(min(max(product, LONG_MIN), LONG_MAX))
             beyond.append((product > LONG_MAX) - (product < LONG_MIN))
             keys.append((product + (1 << 2150)).to_bytes(270, "big") if beyond[-1] else None)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.int64()), pa.array(beyond, pa.int32()), pa.array(keys, pa.binary())], schema=schema)
+            largest = np.abs(q).max(initial=0.0)
+            shift = int(np.frexp(largest if largest > 0 else 1.0)[1]) + 64  # as Scan.bounds() scales: by the query and by SMALL
+            low = float(product / (1 << shift)) if shift >= 0 else float(product << -shift)
+            lows.append(low - abs(low) * 2.0**-50)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.int64()), pa.array(beyond, pa.int32()), pa.array(keys, pa.binary()), pa.array(lows, pa.float64())], schema=schema)
 
 
 def _above(pairs: DataFrame, k: int) -> DataFrame:
@@ -199,9 +206,30 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
         asking = queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", none))
         columns = ["query_row", "query_id", "row", "vec_id", "lower", "upper"]
         pairs = materialize(_above(pairs.select(*columns).union(scanned(asking, False)), k), "pairs")
+    return _read_in_order(pairs, rows, queries, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _read_in_order(pairs: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best pairs of each query by exact product, with rank and `n_read`, how many vectors were read for the query."""
     exact = rows.select("row", "v")
     asked = queries.select(F.col("row").alias("query_row"), F.col("v").alias("q"))
-    read = pairs.select("query_row", "query_id", "row", "vec_id").join(exact, "row").join(asked, "query_row").select("query_row", "query_id", "vec_id", "q", "v")
-    found = map_arrow(read, _products, "query_row long, query_id long, vec_id long, score long, beyond int, key binary")
-    order = Window.partitionBy("query_row").orderBy(F.col("beyond").desc(), F.col("score").desc(), F.col("key").desc(), F.col("vec_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    own = Window.partitionBy("query_row")
+    best = own.orderBy(F.col("beyond").desc(), F.col("score").desc(), F.col("key").desc(), F.col("vec_id").asc_nulls_last())
+    by_bound = own.orderBy(F.col("upper").desc(), F.col("lower").desc(), F.col("vec_id").asc_nulls_last(), "row")
+    todo = materialize(pairs.select("query_row", "query_id", "row", "vec_id", "upper", F.row_number().over(by_bound).alias("place")), "todo")
+    found, many = None, k
+    while True:
+        read = todo.where(F.col("place") <= many).join(exact, "row").join(asked, "query_row").select("query_row", "query_id", "vec_id", "q", "v")
+        got = map_arrow(read, _products, "query_row long, query_id long, vec_id long, score long, beyond int, key binary, low double").withColumn("n_read", F.lit(1).cast("long"))
+        every = got if found is None else got.unionByName(found)
+        ranked = every.withColumn("n_read", F.sum("n_read").over(own)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        before, found = found, materialize(ranked.withColumn("n_read", F.when(F.col("rank") == 1, F.col("n_read")).otherwise(0)).drop("rank"), "found")
+        if before is not None:
+            forget(before)
+        kth = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_row", F.col("low").alias("kth"))
+        left = todo.where(F.col("place") > many).join(kth, "query_row", "left").where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))).drop("kth")
+        left = materialize(left, "todo")
+        forget(todo)
+        todo, many = left, 4 * many
+        if todo.isEmpty():
+            return found.withColumn("rank", F.row_number().over(best)).withColumn("n_read", F.max("n_read").over(own))

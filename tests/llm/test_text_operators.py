@@ -243,6 +243,28 @@ def test_topk_in_blocks(spark, monkeypatch):
     assert multiset(map(tuple, topk.top_k(emb, F.col("vec_id") % 20 == 0).collect())) == brute_top(rows, 20)
 
 
+def test_reading_stops_when_the_kth_is_certain(spark, monkeypatch):
+    """Vectors are read in order of their bounds, fewer than there are candidates, and never too few."""
+    rng = np.random.default_rng(17)
+    rows = [(k, (rng.standard_normal(16) * (1 + 3 * (k % 50 == 0))).tolist()) for k in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = []
+    read = topk._read_in_order
+    monkeypatch.setattr(topk, "_read_in_order", lambda pairs, *a: seen.append((pairs.count(), read(pairs, *a))) or seen[-1][1])
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, scale=4.0)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_top_of(rows, 5, 4.0))
+    candidates, found = seen[0]
+    n_read = sum(r.n_read for r in found.where("rank = 1").collect())
+    assert 5 * 30 <= n_read <= candidates
+
+
+def brute_top_of(rows, k, scale):
+    whole = {i: [int(np.floor(scale * x)) for x in v] for i, v in rows}
+    for q in (i for i in whole if i % 20 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:k]
+        yield from ((q, r + 1, i, -s) for r, (s, i) in enumerate(scores))
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(8)
     for size in (1.0, 1e5, 1e14, 1e120):
@@ -412,24 +434,44 @@ def test_bk_tree_finds_all_links():
     assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
 
 
-def test_large_groups_are_split(spark):
+def test_searches_visit_few_nodes():
+    """Edges outside the radius aren't followed: a search in a shard of random fingerprints meets a small part of it."""
+    values = np.random.default_rng(16).integers(0, 2**63, simhash.SHARD * 2, dtype=np.uint64)
+    tree = simhash.BKTree(values)
+    tree.links(simhash.RADIUS)
+    assert tree.visited < 0.25 * len(values) ** 2
+
+
+@pytest.mark.parametrize("most", [10, 150])
+def test_large_groups_are_split(spark, most):
     rng = random.Random(9)
     base = rng.getrandbits(64)
     fps = sorted({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for _ in range(900)})
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
     roots = brute_components(fps)
-    for most in (150,):
-        linked = {r.node % 2**64: r.root % 2**64 for r in simhash.components(simhash.near_links(df, most)).collect()}
-        of = [linked.get(x, x) for x in fps]
-        assert len(set(zip(of, roots))) == len(set(of)) == len(set(roots))
+    linked = {r.node % 2**64: r.root % 2**64 for r in simhash.components(simhash.near_links(df, most)).collect()}
+    of = [linked.get(x, x) for x in fps]
+    assert len(set(zip(of, roots))) == len(set(of)) == len(set(roots))
 
 
-def test_bands_and_components(spark):
-    masks = [m & (2**64 - 1) for m in simhash.band_masks()]
+def test_shards_and_components(spark, monkeypatch):
+    """Near fingerprints share a shard, however many there are."""
     rng = random.Random(7)
+    pairs = []
     for _ in range(500):
-        flip = sum(1 << b for b in rng.sample(range(64), 2))
-        assert any(flip & m == 0 for m in masks)
+        a = rng.getrandbits(64)
+        pairs.append((a, a ^ sum(1 << b for b in rng.sample(range(64), 2))))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "a long, b long")
+    for n in (0, 1, 5000, 10**6, 10**10, 10**13):
+        keys = [simhash.shard_keys(F.col(c), n) for c in "ab"]
+        assert df.where(~F.arrays_overlap(*keys)).count() == 0
+    monkeypatch.setattr(simhash, "SHARD", 4)  # many shards
+    some = sorted({x for p in pairs for x in p})
+    roots = brute_components(some)
+    linked = {r.node % 2**64: r.root % 2**64 for r in simhash.components(simhash.near_links(spark.createDataFrame([(signed(x),) for x in some], "fp long"))).collect()}
+    of = [linked.get(x, x) for x in some]
+    assert len(set(zip(of, roots))) == len(set(of)) == len(set(roots))
     path = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 102), (100, 102)]
     rng.shuffle(path)
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(path, "a long, b long")).collect()}
