@@ -28,8 +28,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import by_bytes, map_arrow, materialize
+from .common import broadcast_if_small, by_bytes, map_arrow, materialize
 
 ORDER = 4
 FOLDS = 5
@@ -41,7 +42,7 @@ BITS = 16
 PRIVATE, PRIVATE_SIZE = 0xE000, 0x1900
 #: Logarithms are held in whole units of 2^-LOG_BITS.
 LOG_BITS = 24
-#: Rows of models that are broadcast at once (some 32 bytes each), and languages.
+#: Rows of models that are broadcast at once (some 32 bytes each), and languages whose numbers are (others are joined).
 SHARD_ROWS, MAX_LANGS = 4_000_000, 10_000
 FLUSH = 1_000_000
 
@@ -232,10 +233,6 @@ class Identifier:
     limits: dict[str, float]
 
 
-def fold(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
-
-
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all documents with text and lang."""
     labelled = docs.where("text is not null and lang is not null").select("text", "lang")
@@ -252,9 +249,7 @@ def fit(docs: DataFrame, shard_rows: int | None = None) -> Languages:
     counts = {ORDER: materialize(count_ngrams(docs), "grams")}
     for size in range(ORDER - 1, 0, -1):  # the count of a shorter n-gram is how many characters it was seen after
         counts[size] = materialize(counts[size + 1].groupBy("lang", _lower(size).alias("gram")).agg(F.count("*").alias("n")), "grams")
-    kinds = counts[1].groupBy("lang").agg(F.count("*").alias("k")).orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(kinds) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    kinds = counts[1].groupBy("lang").agg(F.count("*").alias("k")).orderBy("lang").collect()  # a row per language
     uniform = {r["lang"]: 1 / (r["k"] + 1) for r in kinds}
     if not uniform:
         return Languages([], {}, None, None, 1)
@@ -264,17 +259,14 @@ def fit(docs: DataFrame, shard_rows: int | None = None) -> Languages:
         of = counts[size]
         d = of.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
         d = d.select("lang", F.when((F.col("once") > 0) & (F.col("twice") > 0), F.col("once") / (F.col("once") + 2 * F.col("twice"))).otherwise(0.5).alias("d"))
-        d = F.broadcast(d)  # a row per language, MAX_LANGS at most
+        d = broadcast_if_small(materialize(d, "discounts"), MAX_LANGS)  # a row per language
         context = F.shiftrightunsigned("gram", BITS) if size > 1 else F.lit(0).cast("long")
         of = of.withColumn("context", context)
         ctx = of.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(d, "lang")
         ctx = materialize(ctx.select("lang", "context", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("back")), "contexts")
         rows = of.join(ctx, ["lang", "context"])
         if lower is None:
-            base = F.lit(0.0)
-            for lang, u in uniform.items():
-                base = F.when(F.col("lang") == lang, u).otherwise(base)
-            rows = rows.withColumn("below", base)
+            rows = rows.withColumn("below", _looked_up(uniform, F.col("lang")))
         else:
             rows = rows.withColumn("suffix", _lower(size - 1)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
         p = F.greatest(F.lit(0.0), F.col("n") - F.col("d")) / F.col("total") + F.col("back") * F.col("below")
@@ -289,36 +281,62 @@ def fit(docs: DataFrame, shard_rows: int | None = None) -> Languages:
     return Languages(list(uniform), uniform, *every, max(1, -(-rows // (shard_rows or SHARD_ROWS))))
 
 
-def _add_shard(docs: DataFrame, shard: Shard) -> DataFrame:
-    """docs with the sums of a shard added to __sums, and __n."""
+def _shard_sums(rows: DataFrame, shard: Shard) -> DataFrame:
+    """(__row, __sums, __n) of rows (__row, text): a shard's sums, and the number of n-grams."""
+    shared = rows.sparkSession.sparkContext.broadcast(shard)
+    schema = pa.schema([("__row", pa.int64()), ("__sums", pa.list_(pa.int64())), ("__n", pa.int64())])
+
+    def run(batches):
+        for whole in batches:
+            for batch in by_bytes(whole, "text", SLICE):
+                sums, n = shared.value.sums(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(sums), pa.list_(pa.int64())), pa.array(n)], schema=schema)
+
+    return map_arrow(rows.select("__row", "text"), run, "__row long, __sums array<long>, __n long")
+
+
+def _one_shard(docs: DataFrame, shard: Shard) -> DataFrame:
+    """docs with __sums and __n where one shard holds all models: nothing is joined."""
     shared = docs.sparkSession.sparkContext.broadcast(shard)
-    place, sums_at, n_at = (docs.columns.index(c) for c in ("text", "__sums", "__n"))
+    place = docs.columns.index("text")
 
     def run(batches):
         for whole in batches:
             for batch in by_bytes(whole, "text", SLICE):
                 sums, n = shared.value.sums(batch.column(place))
-                old = np.array([x if x is not None else [0] * sums.shape[1] for x in batch.column(sums_at).to_pylist()], np.int64).reshape(sums.shape)
-                columns = list(batch.columns)
-                columns[sums_at] = pa.array(list(sums + old), pa.list_(pa.int64()))
-                columns[n_at] = pa.array(n)
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(sums), pa.list_(pa.int64())), pa.array(n)], names=[*batch.schema.names, "__sums", "__n"])
+
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("__sums", T.ArrayType(T.LongType())), T.StructField("__n", T.LongType())]))
 
-    return map_arrow(docs, run, docs.schema)
+
+def _many_shards(docs: DataFrame, languages: Languages) -> DataFrame:
+    """docs with __sums and __n: texts are written once, with a number; each shard reads them and writes only sums, which are
+    added up by number and joined to the texts once."""
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    parts = [materialize(_shard_sums(numbered, languages.shard(k)), "sums") for k in range(languages.shards)]
+    every = reduce(DataFrame.union, parts).groupBy("__row").agg(F.collect_list("__sums").alias("__parts"), F.first("__n").alias("__n"))  # a list per shard
+    zero = F.transform(F.get("__parts", F.lit(0)), lambda _: F.lit(0).cast("long"))
+    added = F.aggregate("__parts", zero, lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q))
+    return numbered.join(every.select("__row", added.alias("__sums"), "__n"), "__row").drop("__row")
+
+
+def _looked_up(values: dict[str, float], key: Column) -> Column:
+    """The value of a key; null where there is none. One literal, however many keys there are."""
+    if not values:
+        return F.lit(None).cast("double")
+    return F.try_element_at(F.map_from_arrays(F.lit(list(values)), F.lit([float(v) for v in values.values()])), key)
 
 
 def _scores(docs: DataFrame, languages: Languages) -> DataFrame:
     """docs with __best (language), __entropy, __n and __score of text; null and 0 if there are no letters."""
-    out = docs.withColumn("__sums", F.lit(None).cast("array<long>")).withColumn("__n", F.lit(0).cast("long"))
-    if languages.names:
-        for k in range(languages.shards):
-            out = _add_shard(out, languages.shard(k))
-            if k + 1 < languages.shards:
-                out = materialize(out, "sums")
+    if not languages.names:
+        out = docs.withColumn("__sums", F.lit(None).cast("array<long>")).withColumn("__n", F.lit(0).cast("long"))
+    else:
+        out = _one_shard(docs, languages.shard(0)) if languages.shards == 1 else _many_shards(docs, languages)
     bits = F.transform("__sums", lambda x: -x / F.greatest(F.col("__n"), F.lit(1)) / 2.0**LOG_BITS)
     some = F.col("__n") > 0 if languages.names else F.lit(False)
     out = out.withColumn("__bits", F.when(some, bits)).withColumn("__entropy", F.array_min("__bits"))
-    names = F.array(*map(F.lit, languages.names)) if languages.names else F.array().cast("array<string>")
+    names = F.lit(languages.names) if languages.names else F.array().cast("array<string>")
     best = F.get(names, F.array_position("__bits", F.col("__entropy")).cast("int") - 1)
     others = F.aggregate("__bits", F.lit(0.0), lambda acc, x: acc + F.pow(F.lit(2.0), -F.least(F.lit(60.0), (x - F.col("__entropy")) * F.least(F.col("__n"), F.lit(50)))))
     return out.withColumn("__best", best).withColumn("__score", F.coalesce(1 / others, F.lit(0.0))).drop("__sums", "__bits")
@@ -342,17 +360,11 @@ def train(docs: DataFrame, rejected: float = 0.001, spread: float = 8.0, shard_r
 
 
 def _excess(lang: Column, means: dict[str, float]) -> Column:
-    mean = F.lit(None).cast("double")
-    for name, m in means.items():
-        mean = F.when(lang == name, m).otherwise(mean)
-    return (F.col("__entropy") - mean) * F.sqrt("__n")
+    return (F.col("__entropy") - _looked_up(means, lang)) * F.sqrt("__n")
 
 
 def _judged(docs: DataFrame, identifier: Identifier) -> DataFrame:
-    limit = F.lit(None).cast("double")
-    for lang, most in identifier.limits.items():
-        limit = F.when(F.col("__best") == lang, most).otherwise(limit)
-    above = F.coalesce(_excess(F.col("__best"), identifier.means) > limit, F.lit(False))
+    above = F.coalesce(_excess(F.col("__best"), identifier.means) > _looked_up(identifier.limits, F.col("__best")), F.lit(False))
     return _scores(docs, identifier.languages).withColumn("__rejected", F.col("__best").isNull() | above)
 
 
