@@ -7,7 +7,8 @@ copies; its fraction p is the document's inclusion probability for one more. Doc
 (U/(1-U)) / (p/(1-p)), U uniform from a hash, and taken in that order, each that still fits into what certain copies
 leave of the target: rounds of cuts, where a cut is the place at which the running sum exceeds the gap, and the next
 round goes on after it with the documents that fit the smaller gap. A cut is found on sums per source and bucket of the
-ranks, 12 bits at a time, so no task holds a whole source; documents are then compared with the rounds of their source.
+ranks, 12 bits at a time, so no task holds a whole source. Sources whose documents that may still fit are FINISH at most go
+through all their rounds in one task; documents are then compared with the rounds of their source.
 
 Null texts have size 0. Null is a source of its own, the last one. Rows that repeat, or that share id and text, share
 their U and are taken or left together; of documents with equal ranks too all or none are taken. An empty table gives an
@@ -16,6 +17,8 @@ empty one. Columns other than doc_id, text and source are ignored.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ SLOPE = 0.25
 #: Ranks are logarithms of odds ratios in so many bits: STEPS to 1, from -FLOOR on.
 RANK_BITS, STEPS, FLOOR = 53, 2**44, 256
 BITS, LEVELS = 12, 2
+#: Ranks of a source that one task goes through (some 16 bytes each).
+FINISH = 200_000
 
 
 def uniform(seed: int) -> Column:
@@ -125,6 +130,25 @@ def next_cut(units: DataFrame, left: DataFrame, few: bool) -> DataFrame:
     return materialize(found.select("source", "after", "most", F.coalesce("last.rank", below).alias("cut"), (F.col("rest") - F.coalesce("last.upto", F.lit(0))).alias("gap")), "cuts")
 
 
+def _finish(key: tuple, units: pd.DataFrame) -> pd.DataFrame:
+    """All rounds of a source from its few units (source, rank, words, cut, gap) in order of rank."""
+    units = units.sort_values("rank")
+    ranks, words = units["rank"].to_numpy(np.int64), units["words"].to_numpy(np.int64)
+    after, gap, at, out = int(units["cut"].iloc[0]), float(units["gap"].iloc[0]), 0, []
+    while True:
+        fit = at + np.flatnonzero(words[at:] <= gap)
+        if not len(fit):
+            break
+        sums = np.cumsum(words[fit])
+        n = int(np.searchsorted(sums, gap, side="right"))  # one at least
+        cut = int(ranks[fit[n - 1]])
+        out.append((after, cut, gap))
+        after, gap, at = cut, gap - float(sums[n - 1]), int(fit[n - 1]) + 1
+    rounds = pd.DataFrame(out, columns=["after", "cut", "most"])
+    rounds.insert(0, "source", units["source"].iloc[0])
+    return rounds
+
+
 def mixing_plan(docs: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, source, size, u) of the documents; of each source and class source_size, target, whole copies, p and the
     rounds (after, cut, most) of the sample; (source, rank, words) of the ranks with several rows."""
@@ -139,11 +163,18 @@ def mixing_plan(docs: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame, D
     left = materialize(left, "left")
     few = left.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
     rounds = left.limit(0).select("source", F.col("cut").alias("after"), "cut", F.col("gap").alias("most"))
+    schema = "source string, after long, cut long, most double"
     while True:  # each round takes a document of each of its sources at least
-        units = materialize(_with(units.select("source", "rank", "words"), left, "source", few=few).where("rank > cut and words > 0 and words <= gap").select("source", "rank", "words"), "units")
-        new = next_cut(units, left, few)
-        if new.isEmpty():
+        units = _with(units.select("source", "rank", "words"), left, "source", few=few).where("rank > cut and words > 0 and words <= gap")
+        units = materialize(units.select("source", "rank", "words", "cut", "gap"), "units")
+        sizes = materialize(units.groupBy("source").agg(F.count("*").alias("n")), "sizes")
+        short = _with(units, sizes.where(F.col("n") <= FINISH).select("source"), "source", few=few)
+        rounds = rounds.union(short.groupBy("source").applyInPandas(_finish, schema))
+        long = sizes.where(F.col("n") > FINISH).select("source")
+        if long.isEmpty():
             break
+        units = materialize(_with(units.select("source", "rank", "words"), long, "source", few=few), "units")
+        new = next_cut(units, _with(left, long, "source", few=few), few)
         rounds = rounds.union(new.select("source", "after", "cut", "most"))
         left = new.select("source", "cut", "gap")
     of_source = rounds.groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list(F.struct("after", "cut", "most"))).alias("rounds"))  # as many as rounds

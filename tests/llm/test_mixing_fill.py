@@ -4,6 +4,8 @@ import collections
 import math
 import random
 
+import pytest
+
 from omicsgraph.llm import mixing
 
 
@@ -23,7 +25,10 @@ def brute_rates(sizes, target, cap=3.0):
         capped.add(min(over))
 
 
-def test_what_fits_is_taken(spark):
+@pytest.mark.parametrize("finish", [0, 300, 200_000])
+def test_what_fits_is_taken(spark, monkeypatch, finish):
+    """In rounds of cuts, in one pass, and with sources that change from one to the other."""
+    monkeypatch.setattr(mixing, "FINISH", finish)
     rng = random.Random(4)
     rows = []
     for source, small, large in (("a", 3000, 12), ("b", 1500, 3), ("c", 40, 0), (None, 500, 2)):
