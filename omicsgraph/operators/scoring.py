@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import abs_dot, dot, mean_of, segment_softmax, sum_of, weighted_sum
 from ..sources.shared import materialize
@@ -152,29 +154,106 @@ def top_interactions(edges: DataFrame, reference: DataFrame, own: DataFrame, n_s
     return top_edges(both.drop("edge_row"), k), both.count()
 
 
-def sparse_importance(genes: DataFrame, own: DataFrame, n_samples: int, head: Head) -> DataFrame:
-    """A12, A13 for samples that differ from a reference at few genes, mean readout: equal to gene_importance() over
-    gradient_x_input() of the full overlay. genes: (gene_id, z) of the reference; own: (sample_id, gene_id, z).
+def sparse_importance(genes: DataFrame, own: DataFrame, n_samples: int, head: Head, mode: str = "mean", attention: tuple[list[float], float] | None = None) -> DataFrame:
+    """A12, A13 for samples that differ from a reference at few genes: equal to gene_importance() over gradient_x_input() of the
+    full overlay. genes: (gene_id, z) of the reference; own: (sample_id, gene_id, z).
 
-    |z * v| is |z| * |v|, so the sum over samples of a reference vector's score is its product with the sum of |v|, one
-    vector in all; a sample corrects the genes that it changes. Its readout is the reference's plus the mean of its changes.
+    A sample's readout is the reference's with its changes. For the mean readout, |z * v| is |z| * |v|, so the sum over samples
+    of a reference vector's score is its product with the sum of |v|, one vector in all. For attention each sample has
+    its own weights: blocks of genes meet groups of samples' gradients, and only one sum per gene and cell comes out. In
+    both a sample corrects the genes that it changes; no row is made for each gene and sample.
     """
     ref = materialize(genes.select("gene_id", F.col("z").cast("array<double>").alias("z")), "reference_genes")
     mine = own.select("sample_id", "gene_id", F.col("z").cast("array<double>").alias("own")).join(ref, "gene_id")
     mine = materialize(mine, "changed_genes")
-    n = ref.count()
+    if mode == "mean":
+        total, fixes, each = _mean_sums(ref, mine, n_samples, head)
+    elif mode == "attention" and attention is not None:
+        total, fixes, each = _attention_sums(ref, mine, n_samples, head, attention)
+    else:
+        raise ValueError("mode is mean, or attention with its (a, b)")
+    scores = total.join(fixes, "gene_id", "left").select(F.col("gene_id").alias("id"), ((F.col("total") + F.coalesce("fix", F.lit(0.0))) / (each * n_samples)).alias("score"))
+    return rank_genes(scores)
+
+
+def _inner(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, t: acc + t)
+
+
+def _mean_sums(ref: DataFrame, mine: DataFrame, n_samples: int, head: Head) -> tuple[DataFrame, DataFrame, int]:
+    n, slope = ref.count(), _gradient_of(head)
     less = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
     size = lambda c: F.transform(c, F.abs)
-    inner = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, t: acc + t)
     g = F.broadcast(ref.agg(mean_of(F.col("z")).alias("g")))  # one row
     change = mine.groupBy("sample_id").agg(sum_of(less(F.col("own"), F.col("z"))).alias("c"))
     readouts = change.crossJoin(g).select("sample_id", F.zip_with("g", "c", lambda x, y: x + y / F.lit(n)).alias("g"))
-    slope = _gradient_of(head)
     per_sample = materialize(readouts.select("sample_id", size(slope("g")).alias("v")), "gradients")
     n_changed = per_sample.count()
     plain = g.select(size(slope("g")).alias("v")).select(F.transform("v", lambda x: x * (n_samples - n_changed)).alias("v"))
-    total = F.broadcast(materialize(per_sample.select("v").unionByName(plain).agg(sum_of(F.col("v")).alias("v")), "gradient_sum"))  # one row
-    fixes = mine.join(small_vectors(per_sample, "v"), "sample_id").groupBy("gene_id").agg(F.sum(inner(less(size(F.col("own")), size(F.col("z"))), F.col("v"))).alias("fix"))
-    scores = ref.crossJoin(total).join(fixes, "gene_id", "left")
-    score = (inner(size(F.col("z")), F.col("v")) + F.coalesce("fix", F.lit(0.0))) / (n * n_samples)
-    return rank_genes(scores.select(F.col("gene_id").alias("id"), score.alias("score")))
+    sums = F.broadcast(materialize(per_sample.select("v").unionByName(plain).agg(sum_of(F.col("v")).alias("v")), "gradient_sum"))  # one row
+    fix = _inner(less(size(F.col("own")), size(F.col("z"))), F.col("v"))
+    fixes = mine.join(small_vectors(per_sample, "v"), "sample_id").groupBy("gene_id").agg(F.sum(fix).alias("fix"))
+    return ref.crossJoin(sums).select("gene_id", _inner(size(F.col("z")), F.col("v")).alias("total")), fixes, n
+
+
+#: Bytes of gradients of a group of samples.
+GROUP_BYTES = 32 << 20
+
+
+def _weighed_scores(z: np.ndarray, e: np.ndarray, v: np.ndarray, vg: np.ndarray, total: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Attention scores of rows: z, their weights e/total, and the gradient of each row's sample (see gradient_x_input)."""
+    return np.abs(z * (v + ((z * v).sum(axis=1) - vg)[:, None] * a)).sum(axis=1) * e / total
+
+
+def _attention_sums(ref: DataFrame, mine: DataFrame, n_samples: int, head: Head, attention: tuple[list[float], float]) -> tuple[DataFrame, DataFrame, int]:
+    a, b = np.array(attention[0], float), float(attention[1])
+    spark, slope = ref.sparkSession, _gradient_of(head)
+    t = lambda c: dot(F.col(c), attention[0]) + F.lit(b)
+    top = ref.agg(F.max(t("z"))).first()[0]
+    if top is None:
+        top = 0.0
+    top = max(top, (mine.agg(F.max(t("own"))).first()[0] or -math.inf) - 600.0)  # so that no exponential overflows
+    e = lambda c: F.exp(t(c) - F.lit(float(top)))
+    scaled = lambda c, w: F.transform(F.col(c), lambda x: x * F.col(w))
+    ref = materialize(ref.withColumn("e", e("z")), "weighed_genes")
+    whole = F.broadcast(ref.agg(F.sum("e").alias("e0"), sum_of(scaled("z", "e")).alias("g0")))  # one row
+    mine = mine.withColumn("e", e("own")).withColumn("e_ref", e("z"))
+    change = mine.groupBy("sample_id").agg(F.sum(F.col("e") - F.col("e_ref")).alias("de"), sum_of(F.zip_with(scaled("own", "e"), scaled("z", "e_ref"), lambda x, y: x - y)).alias("dg"), F.lit(1).alias("times"))
+    n_changed = change.count()
+    none = whole.select(F.lit(None).cast(mine.schema["sample_id"].dataType).alias("sample_id"), F.lit(0.0).alias("de"), F.transform("g0", lambda x: x * 0.0).alias("dg"), F.lit(n_samples - n_changed).alias("times"))
+    every = change.unionByName(none).crossJoin(whole).withColumn("total", F.col("e0") + F.col("de"))
+    g = F.zip_with("g0", "dg", lambda x, y: (x + y) / F.col("total"))
+    params = every.withColumn("g", g).withColumn("v", slope("g")).select("sample_id", "times", "total", "v", _inner(F.col("v"), F.col("g")).alias("vg"))
+    params = materialize(params, "gradients")
+
+    groups = max(1, -(-params.count() * (len(a) + 2) * 8 // GROUP_BYTES))
+    blocks = max(1, -(-2 * spark.sparkContext.defaultParallelism // groups))
+    ident = ref.schema["gene_id"]
+
+    def cell(rows: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(rows))
+        if len(rows):
+            z, weight = np.stack(rows["z"].to_numpy()), rows["e"].to_numpy(float)
+            for times, of, v, vg in zip(samples["times"], samples["total"], samples["v"], samples["vg"]):
+                total += times * _weighed_scores(z, weight, np.asarray(v)[None, :], np.full(len(z), vg), np.full(len(z), of), a)
+        return pd.DataFrame({"gene_id": rows["gene_id"], "s": total})
+
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = ref.select("gene_id", "z", "e", F.pmod(F.xxhash64("gene_id"), F.lit(blocks)).alias("block"), every_of(groups).alias("group"))
+    right = params.select("times", "total", "v", "vg", F.pmod(F.xxhash64("sample_id"), F.lit(groups)).alias("group"), every_of(blocks).alias("block"))
+    schema = T.StructType([ident, T.StructField("s", T.DoubleType())])
+    sums = left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInPandas(cell, schema).groupBy("gene_id").agg(F.sum("s").alias("total"))
+
+    @F.pandas_udf("double")
+    def differs(rows: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for z, e_ref, changed, e_own, v, vg, of in rows:
+            if not len(z):
+                yield pd.Series([], dtype=float)
+                continue
+            z, changed, v = (np.stack(x.to_numpy()) for x in (z, changed, v))
+            vg, of = vg.to_numpy(float), of.to_numpy(float)
+            yield pd.Series(_weighed_scores(changed, e_own.to_numpy(float), v, vg, of, a) - _weighed_scores(z, e_ref.to_numpy(float), v, vg, of, a))
+
+    own = small_vectors(params.where("sample_id is not null").drop("times"), "v")
+    fixes = mine.join(own, "sample_id").select("gene_id", differs("z", "e_ref", "own", "e", "v", "vg", "total").alias("fix")).groupBy("gene_id").agg(F.sum("fix").alias("fix"))
+    return sums, fixes, 1

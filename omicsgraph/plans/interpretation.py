@@ -37,8 +37,7 @@ def score_interactions(
     """(importance, top edges): gene scores averaged over samples, and the best edges of each type that touch the top genes.
 
     nodes: the reference's vectors; delta: what each sample changes. Vectors stay sparse: no row is made for each node
-    and sample, except for the genes' scores with an attention readout, whose weights differ in every sample.
-    only, max_samples: the samples to use.
+    and sample. only, max_samples: the samples to use.
     """
     used = materialize(chosen_samples(samples, only, max_samples), "samples")
     n = used.count()
@@ -47,11 +46,7 @@ def score_interactions(
     own = delta.join(small(used), "sample_id", "left_semi").select("sample_id", "node_type", "node_id", "x")
     reference, own = (materialize(df, "sparse_vectors") for df in graph.sync_tf_deltas(nodes.select("node_type", "node_id", "x"), own, strict_tf))
     gene = lambda df, *keys: df.where("node_type = 'gene'").select(*keys, F.col("node_id").alias("gene_id"), F.col("x").alias("z"))
-    if mode == "mean":
-        importance = scoring.sparse_importance(gene(reference), gene(own, "sample_id"), n, head)
-    else:
-        full = graph.overlay_deltas(reference.where("node_type = 'gene'"), own.where("node_type = 'gene'"), used)
-        importance = scoring.gene_importance(scoring.gradient_x_input(gene(full, "sample_id"), head, mode, attention))
+    importance = scoring.sparse_importance(gene(reference), gene(own, "sample_id"), n, head, mode, attention)
     importance = materialize(importance, "importance")
     masked = scoring.mask_edges_by_top_genes(edges, ranking.top_ids(importance, top_genes))
     keys = masked.select("edge_ix", "src_type", "rel", "dst_type", "src_id", "dst_id")

@@ -184,6 +184,18 @@ def a13s(spark, d):
     return scoring.sparse_importance(base, own, 3, HEAD).select("id", F.round("score", 9).alias("score"))
 
 
+@register("a13_sparse_attention", "fx_node", f"""select id, round(score, 9) score from (with zz as materialized (select sample_ix, node_ix, unnest(z) zd, unnest(range(0,64)) i from {SPARSE_Z} where node_type='gene'),
+    t as (select sample_ix, node_ix, sum(zd*((i*3)%7-3)/10.0e0)+0.1e0 s from zz group by sample_ix, node_ix), ww as materialized (select sample_ix, node_ix, exp(s-mx)/sum(exp(s-mx)) over (partition by sample_ix) w from (select *, max(s) over (partition by sample_ix) mx from t)),
+    g as materialized (select zz.sample_ix, zz.i, sum(zz.zd*ww.w) g from zz join ww on zz.sample_ix=ww.sample_ix and zz.node_ix=ww.node_ix group by zz.sample_ix, zz.i), vv as materialized (select * from {_gradient('g')}),
+    vg as (select g.sample_ix, sum(g.g*vv.v) vg from g join vv on g.sample_ix=vv.sample_ix and g.i=vv.i group by g.sample_ix),
+    vz as (select zz.sample_ix, zz.node_ix, sum(zz.zd*vv.v) vz from zz join vv on zz.sample_ix=vv.sample_ix and zz.i=vv.i group by zz.sample_ix, zz.node_ix)
+    select zz.node_ix id, sum(abs(zz.zd*ww.w*(vv.v+(vz.vz-vg.vg)*((zz.i*3)%7-3)/10.0e0)))/3 score from zz join vv on zz.sample_ix=vv.sample_ix and zz.i=vv.i join ww on ww.sample_ix=zz.sample_ix and ww.node_ix=zz.node_ix
+    join vg on vg.sample_ix=zz.sample_ix join vz on vz.sample_ix=zz.sample_ix and vz.node_ix=zz.node_ix group by zz.node_ix)""")
+def a13a(spark, d):
+    base, own = (df.where("node_type='gene'").withColumnRenamed("node_id", "gene_id") for df in _sparse(spark, d))
+    return scoring.sparse_importance(base, own, 3, HEAD, "attention", ATTENTION).select("id", F.round("score", 9).alias("score"))
+
+
 @register("t1_top_edges", "fx_region_edge", "select edge_ix, src_type, rel, dst_type, score, \"rank\" from (select *, row_number() over (partition by src_type, rel, dst_type order by score desc, edge_ix) \"rank\" from (select edge_ix, chrom src_type, rel, 'gene' dst_type, max(weight) score from fx_region_edge group by edge_ix, chrom, rel)) where \"rank\"<=25")
 def t1(spark, d):
     return ranking.top_edges(sql(spark, d, "fx_region_edge", "select edge_ix, chrom src_type, rel, 'gene' dst_type, max(weight) score from fx_region_edge group by edge_ix, chrom, rel"), 25)
