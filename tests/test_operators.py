@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from omicsgraph.functions import vectors as V
 from omicsgraph.operators import chains, enrichment, evaluation, genome, graph, grid, ranking, scoring, variants
 from omicsgraph.operators.embed import TokenTable, embed_sequences
+from omicsgraph.plans import reference_graph
 from omicsgraph.sources import tables, text
 
 
@@ -350,3 +351,21 @@ def test_generated_code_compiles(spark):
             QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_token_table_counts_letters():
+    table = {"A": [1.0, 0.0], "C": [0.0, 1.0], "N": [0.5, 0.5]}
+    seqs = ["ACCA", "", "NX", "漢A", "C" * 5000]
+    slow = [np.mean([table.get(c, [0.0, 0.0]) for c in s] or [[0.0, 0.0]], axis=0) for s in seqs]
+    assert np.allclose(TokenTable(table)(seqs), slow) and TokenTable(table)([]).shape == (0, 2)
+    assert np.allclose(TokenTable(table, "cls")(seqs), [table.get(s[:1], [0.0, 0.0]) for s in seqs])
+
+
+def test_embedding_options_of_plans(spark):
+    """Pooling of a long gene's windows, strands and the length that the embedder takes come from the sizes."""
+    e = TokenTable({"A": [1.0, 0.0], "C": [0.0, 1.0]})
+    df = spark.createDataFrame([("gene", "g", "AAAACC", 0), ("region", "r", "AC", 4)], "kind string, locus_id string, seq string, fixed_len int")
+    got = lambda **how: {r.locus_id: r.x for r in reference_graph.embed_kinds(df, e, 2, ["kind", "locus_id"], reference_graph.Sizes(gene_short=2, gene_window=2, gene_stride=2, strands=None, **how)).collect()}
+    assert got() == {"g": [2 / 3, 1 / 3], "r": [0.25, 0.25]}
+    assert got(window_pooling="max")["g"] == [1.0, 1.0] and got(window_pooling="last")["g"] == [0.0, 1.0]
+    assert got(max_length=2)["r"] == [0.5, 0.0]
