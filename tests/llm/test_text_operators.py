@@ -379,6 +379,14 @@ def test_language_id(spark, edge_docs):
     assert kept.columns == edge_docs.columns and {2, 3, 6, 7}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_many_languages(spark):
+    """Limits and names of any number of languages are one literal in the plan."""
+    values = {f"l{k}": k / 7 for k in range(20_000)}
+    rows = spark.createDataFrame([("l5",), ("l19999",), ("no",), (None,)], "lang string")
+    got = {r.lang: r.v for r in rows.select("lang", langid._looked_up(values, F.col("lang")).alias("v")).collect()}
+    assert got == {"l5": 5 / 7, "l19999": 19999 / 7, "no": None, None: None}
+
+
 def test_language_id_uses_training_rows_only(spark):
     """Changing the language of held-out rows changes nothing."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
