@@ -33,6 +33,8 @@ SEED = 42
 SLICE = 1 << 20
 #: Fingerprints of a tree at most, and keys of larger groups that are broadcast.
 MAX_TREE, MAX_LARGE = 20_000, 500_000
+#: Nodes with links up to which rounds of components broadcast them.
+MAX_POINTED = 100_000
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> list[int]:
@@ -199,21 +201,23 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; root is the least node reachable.
 
     Each round points a node's larger neighbours, then its smaller ones, at the least of them; the links shrink to
-    stars. Rounds grow with the logarithm of the longest path, and go on until nothing changes.
+    stars and never become more. Rounds grow with the logarithm of the longest path, and go on until all links are stars: every
+    node has one neighbour, a smaller one, or larger ones only. The driver keeps a record of every task, so few nodes
+    (MAX_POINTED) are looked up without dealing the links out anew.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct(), "links")
-    mark = None
     while True:
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).union(edges.select(F.col("m").alias("u"), F.col("v").alias("w")))
-        least = both.groupBy("u").agg(F.least(F.min("w"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("w > u").select(F.col("w").alias("v"), "m").where("v <> m").distinct()
-        least = large.groupBy("v").agg(F.min("m").alias("low"))
-        small = large.join(least, "v").select(F.explode(F.array(F.struct("v", F.col("low").alias("m")), F.struct(F.col("m").alias("v"), F.col("low").alias("m")))).alias("e")).select("e.*").where("v <> m").distinct()
+        least = materialize(both.groupBy("u").agg(F.min("w").alias("low"), F.max("w").alias("high")), "least")
+        n, open_ = least.agg(F.count("*"), F.count_if((F.col("low") < F.col("u")) & (F.col("low") < F.col("high")))).first()
+        if not open_:
+            return least.where("low < u").select(F.col("u").alias("node"), F.col("low").alias("root"))
+        few = F.broadcast if n <= MAX_POINTED else lambda df: df
+        pointed = few(least.select(F.col("u").alias("m"), F.least("low", "u").alias("to")))
+        large = edges.join(pointed, "m").select("v", F.col("to").alias("m"))
+        lowest = few(large.groupBy("v").agg(F.min("m").alias("low")))
+        small = large.join(lowest, "v").select(F.when(F.col("m") == F.col("low"), F.col("v")).otherwise(F.col("m")).alias("v"), F.col("low").alias("m"))
         edges = materialize(small, "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("v").alias("node"), F.col("m").alias("root"))
-        mark = now
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
