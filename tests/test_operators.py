@@ -341,6 +341,31 @@ def test_bitmaps(spark):
     assert len(found) == len(want) and all(set(r.overlap_genes.split(",")) == sets[r.set_name] & terms[r.go_id] & bg for r in found)
 
 
+def repeated_genes(spark):
+    """Frames of gene sets, background and annotation where rows repeat ids, and counts (k, n, big_n, m) of rows by set and term."""
+    rng = np.random.default_rng(15)
+    bg = [f"g{k}" for k in range(200) for _ in range(1 + 70 * (k == 3) + k % 3)]
+    fg = [(f"s{s}", bg[k], float(rng.integers(0, 5))) for s in range(3) for k in np.flatnonzero(rng.random(len(bg)) < 0.3)]
+    ann = [(g, f"t{t}") for t in range(12) for g in sorted({f"g{k}" for k in rng.integers(0, 210, 40)})]
+    want = {}
+    for t in sorted({t for _, t in ann}):
+        of = {g for g, x in ann if x == t}
+        for s in sorted({s for s, _, _ in fg}):
+            mine = [g for x, g, _ in fg if x == s]
+            want[s, t] = (sum(g in of for g in mine), sum(g in of for g in bg), len(mine), len(bg))
+    frames = spark.createDataFrame(fg, "set_name string, gene_id string, weight double"), spark.createDataFrame([(g,) for g in bg], "gene_id string"), spark.createDataFrame(ann, "gene_id string, go_id string")
+    return frames, fg, ann, want
+
+
+def test_go_counts_of_repeated_genes(spark):
+    """Each row of an id counts, as in SQL over rows."""
+    frames, _, _, want = repeated_genes(spark)
+    got = {(r.set_name, r.go_id): (r.k, r.n, r.big_n, r.m) for r in enrichment.go_counts(*frames, repeats=True).collect()}
+    assert got == {at: c for at, c in want.items() if c[0]}
+    once = enrichment.go_counts(*frames).collect()
+    assert {r.m for r in once} == {200}  # without repeats an id counts once
+
+
 def test_generated_code_compiles(spark):
     """Plans of the interval joins stay within the size of a method; with fallback they would only be slow."""
     from omicsgraph.queries import QUERIES
