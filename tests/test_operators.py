@@ -1,6 +1,8 @@
 """Files, intervals, graph and score operators on small cases."""
 
 import gzip
+import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -137,6 +139,15 @@ def test_enrichment(spark):
     assert rows(enrichment.overlap_gene_list(g, ["s"], 0)) == [("s", "")]
 
 
+def test_tails_of_large_backgrounds(spark):
+    """Digits are not lost with the background's size: to 1e-8 of exact sums of fractions."""
+    cases = [(3, 1_000_000, 50, 1000), (2, 1_200_000, 400, 2000), (40, 1_150_001, 20_000, 1500)]
+    exact = [float(sum(Fraction(math.comb(n, x) * math.comb(m - n, b - x), math.comb(m, b)) for x in range(k, min(n, b, k + 60) + 1))) for k, m, n, b in cases]
+    df = spark.createDataFrame(cases, "k long, m long, n long, b long").coalesce(1)
+    p = [r[0] for r in df.select(enrichment.hypergeom_sf(*map(F.col, ("k", "m", "n", "b")))).collect()]
+    assert np.allclose(p, exact, rtol=1e-8, atol=0)
+
+
 def test_sets(spark):
     one = lambda s: spark.createDataFrame([(c,) for c in s], "gene_id string")
     ops = chains.gene_set_ops(one("abca"), one("bcde"))
