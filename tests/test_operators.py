@@ -377,6 +377,16 @@ def test_go_counts_of_repeated_genes(spark):
     assert {r.m for r in once} == {200}  # without repeats an id counts once
 
 
+def test_enrichment_of_repeated_genes(spark):
+    """Each row of an id counts and is listed."""
+    frames, fg, ann, want = repeated_genes(spark)
+    found = enrichment.go_enrichment(*frames, max_genes=1000, repeats=True).collect()
+    assert {(r.set_name, r.go_id): (r.overlap_k, r.bg_with_go_n, r.fg_n, r.bg_m) for r in found} == {at: c for at, c in want.items() if c[0]}
+    for r in found:
+        mine = sorted((-w, g) for s, g, w in fg if s == r.set_name and (g, r.go_id) in set(ann))
+        assert r.overlap_genes.split(",") == [g for _, g in mine]
+
+
 def test_generated_code_compiles(spark):
     """Plans of the interval joins stay within the size of a method; with fallback they would only be slow."""
     from omicsgraph.queries import QUERIES
