@@ -387,6 +387,14 @@ def test_enrichment_of_repeated_genes(spark):
         assert r.overlap_genes.split(",") == [g for _, g in mine]
 
 
+def test_loci_of_genes_that_share_an_id(spark):
+    genes = spark.createDataFrame([("g", k, "Chr1", 10 * k, 10 * k + 5, "+") for k in (1, 2, 3)], "gene_id string, gene_key long, chrom string, gstart long, gend long, strand string")
+    none = spark.createDataFrame([], "region_id string, chrom string, rstart long, rend long, rtype string"), spark.createDataFrame([], "window_id string, chrom string, wstart long, wend long")
+    starts = lambda **by: sorted(r.start for r in variants.build_loci(genes, *none, genes.where("gene_key=2"), **by).collect())
+    assert starts(by=("gene_key",)) == [20]
+    assert starts() == [10, 20, 30]
+
+
 def test_generated_code_compiles(spark):
     """Plans of the interval joins stay within the size of a method; with fallback they would only be slow."""
     from omicsgraph.queries import QUERIES

@@ -8,7 +8,7 @@ from test_queries import SF, TABLES, plain
 
 from omicsgraph.queries import ORACLE_SQL, QUERIES
 
-NAMES = ["a18_go_counts", "a19_hypergeom_sf", "a20_go_enrichment", "j17_add_go_names", "t3_top_terms"]
+NAMES = ["a18_go_counts", "a19_hypergeom_sf", "a20_go_enrichment", "j1_build_loci", "j17_add_go_names", "t3_top_terms"]
 
 
 @pytest.fixture(scope="module")
